@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlight.llm import bpe_words, packing, token_counts
+from ledgerlight.llm import bpe_words, packing, quality_rules, token_counts
 
 WORD_BPE, BYTE_BPE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
 
@@ -17,6 +17,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judged(table(spark, sf_dir, "documents"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = bpe_words.encode(table(spark, sf_dir, "documents"), WORD_BPE)
     out = bpe_words.decode(ids, WORD_BPE, keep=("n_tokens", "ids"))
@@ -32,7 +36,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_bpe, op5_packing, op10_token_counts)}
+    return {f.__name__: f for f in (op2_quality_rules, op4_bpe, op5_packing, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
