@@ -22,22 +22,23 @@ from ledgerlight.llm.common import WORD, map_batches, words_of, written
 
 SYMBOLS = "#*$%&|<>"
 #: Measure, and the least distance of a limit from the quartiles. The first four have an upper limit, the last both.
-MEASURES = {"symbol_rate": 250, "repeat_rate": 250, "dup_line_rate": 250, "upper_rate": 250, "word_length": 200}
+MEASURES = {"symbol_rate": 250, "repeat_rate": 400, "dup_word_rate": 300, "upper_rate": 250, "word_length": 200}
 #: A sketch holds no more counts than this for a group; groups up to GROUPS are broadcast, more are joined with salt.
 GROUPS = 50_000
 
 
 def measures_of(text: str | None) -> tuple[int, ...]:
-    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_upper"""
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_dup_words, n_upper"""
     if not text:
         return (0,) * 7
     words = words_of(text)
     lines = Counter(text.split("\n"))
     for x in [x for x in lines if not WORD.search(x)]:
         del lines[x]
-    n_lines = sum(lines.values())
+    dup = sum(lines.values()) - len(lines)
+    dup_words = sum(len(words_of(x)) * (k - 1) for x, k in lines.items() if k > 1)
     upper = sum(len(w) > 1 for w in words if w.isupper())
-    return len(words), sum(map(len, words)), sum(map(text.count, SYMBOLS)), n_lines - len(lines), repeated(words), n_lines, upper
+    return len(words), sum(map(len, words)), sum(map(text.count, SYMBOLS)), dup, repeated(words), dup_words, upper
 
 
 def repeated(words: list[str]) -> int:
@@ -64,7 +65,7 @@ def repeated(words: list[str]) -> int:
 
 def measures(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     kind = df.schema[id_col].dataType.simpleString()
-    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper")
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_dup_words", "n_upper")
 
     def make():
         def of(batch):
@@ -75,7 +76,7 @@ def measures(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", l
 
     rows = map_batches(df.select(F.col(id_col), F.col(text_col), F.col(lang_col).cast("string").alias("lang"), F.col(source_col).cast("string").alias("source")), make, f"`{id_col}` {kind}, lang string, source string, " + ", ".join(f"{n} bigint" for n in names))
     per = lambda a, b, k=1000: F.when(F.col(b) > 0, F.floor(F.col(a) * k / F.col(b))).otherwise(0).cast("bigint")
-    return rows.withColumns({"symbol_rate": per("n_symbols", "n_words"), "repeat_rate": per("n_repeat_words", "n_words"), "dup_line_rate": per("n_dup_lines", "n_lines"), "upper_rate": per("n_upper", "n_words"), "word_length": per("word_chars", "n_words", 100)})
+    return rows.withColumns({"symbol_rate": per("n_symbols", "n_words"), "repeat_rate": per("n_repeat_words", "n_words"), "dup_word_rate": per("n_dup_words", "n_words"), "upper_rate": per("n_upper", "n_words"), "word_length": per("word_chars", "n_words", 100)})
 
 
 def bucket(value: Column) -> Column:

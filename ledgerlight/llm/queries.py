@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlight.llm import bpe_words, packing, quality_rules, token_counts
+from ledgerlight.llm import bpe_words, packing, quality_rules, token_counts, toxicity, vector_dedup
 
 WORD_BPE, BYTE_BPE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
 
@@ -21,6 +21,11 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged(table(spark, sf_dir, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.scored(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = bpe_words.encode(table(spark, sf_dir, "documents"), WORD_BPE)
     out = bpe_words.decode(ids, WORD_BPE, keep=("n_tokens", "ids"))
@@ -31,12 +36,16 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces_written(table(spark, sf_dir, "documents"), WORD_BPE))
 
 
+def op9_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality_rules, op4_bpe, op5_packing, op10_token_counts)}
+    return {f.__name__: f for f in (op2_quality_rules, op3_toxicity, op4_bpe, op5_packing, op9_vector_dedup, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
