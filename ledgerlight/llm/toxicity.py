@@ -26,17 +26,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlight.llm.common import Recent, arrow_schema, map_batches, words_of
+from ledgerlight.llm.common import Recent, arrow_schema, map_batches, words_of, written
 
 STRIP = "\"'.,;:!?()[]{}*#$%&|<>-_"
 
 
+def bare(word: str) -> str:
+    return word.strip(STRIP).lower()
+
+
 def forms(word: str) -> tuple[str, ...]:
     """The word itself and its prefixes, which stand for inflected forms."""
-    w = word.strip(STRIP).lower()
-    if not w:
-        return ()
-    return (w, *(f"{w[:k]}~" for k in (4, 5, 6) if len(w) > k))
+    w = bare(word)
+    return (w, *(f"{w[:k]}~" for k in (6, 5, 4) if len(w) > k))
 
 
 def segments(scores: list[float]) -> list[tuple[int, int, float]]:
@@ -73,8 +75,7 @@ class Model:
     bias: float = -20.0
 
     def word(self, word: str) -> float:
-        hits = [self.odds[f] for f in forms(word) if f in self.odds]
-        return max(hits, key=abs) if hits else self.step
+        return next((self.odds[f] for f in forms(word) if f in self.odds), self.step)
 
     def passages(self, scores: list[float]) -> list[tuple[int, int, float, float]]:
         """Segments with E: how many as good are expected by chance in a text of this length."""
@@ -94,41 +95,45 @@ def in_fold(id_col: Column, folds: int) -> Column:
     return F.crc32(id_col.cast("string").cast("binary")) % folds == 0
 
 
-def train(docs: DataFrame, labels: DataFrame, *, folds: int = 5, most_rows: int = 40_000, most_forms: int = 20_000, prior: float = 1000.0, least_z: float = 4.0, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+def train(docs: DataFrame, labels: DataFrame, *, folds: int = 5, most_rows: int = 40_000, most_forms: int = 20_000, prior: float = 0.1, least_z: float = 4.0, least_odds: float = 2.0, least_types: int = 6, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Learns from at most most_rows labelled rows outside the held-out fold; the model has at most most_forms forms."""
     spark = docs.sparkSession
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where(F.col("id").isNotNull() & F.col("y").isin(0, 1) & ~F.coalesce(in_fold(F.col("id"), folds), F.lit(True)))
     known = known.groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(most_rows)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(known), "id").select("text", "y")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    # copies of a text train once; at most most_rows short rows
+    known = written(texts.join(F.broadcast(known), "id").groupBy(F.xxhash64("text").alias("h"), "y").agg(F.min("id").alias("id")).select("id", "y"))
+    rows = texts.join(F.broadcast(known), "id").select("text", "y")
 
     schema = arrow_schema("form string, y int, n bigint")
 
     def count(batches):
-        seen = {0: Counter(), 1: Counter()}
+        seen, of = {0: Counter(), 1: Counter()}, Recent(bare).__getitem__
         for batch in batches:
             for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                seen[y].update(words_of(text or ""))
-        for y, words in seen.items():
-            out: Counter = Counter()
-            for w, n in words.items():
-                for f in forms(w):
-                    out[f] += n
+                # once a document: a text that repeats a word says no more
+                seen[y].update({of(w) for w in set(words_of(text or ""))} - {""})
+        for y, out in seen.items():
             yield pa.RecordBatch.from_arrays([pa.array(out.keys(), pa.string()), pa.array([y] * len(out), pa.int32()), pa.array(out.values(), pa.int64())], schema=schema)
 
-    table = rows.mapInArrow(count, "form string, y int, n bigint").groupBy("form").agg(F.sum(F.expr("n * y")).alias("n1"), F.sum(F.expr("n * (1 - y)")).alias("n0")).persist()
-    try:
-        t1, t0 = table.where("not form like '%~'").agg(F.sum("n1"), F.sum("n0")).first()
-        if not t1 or not t0:
-            return Model()
-        alpha = F.lit(prior) * (F.col("n1") + F.col("n0")) / F.lit(float(t1 + t0))
+    words = written(rows.mapInArrow(count, "form string, y int, n bigint").groupBy("form").agg(F.sum(F.expr("n * y")).alias("n1"), F.sum(F.expr("n * (1 - y)")).alias("n0")))
+    t1, t0 = words.agg(F.sum("n1"), F.sum("n0")).first()
+    if not t1 or not t0:
+        return Model()
+
+    def standing_out(table: DataFrame) -> DataFrame:
+        # the prior: `prior` times the corpus' own counts
+        alpha, mass = F.lit(prior) * (F.col("n1") + F.col("n0")), prior * (t1 + t0)
         a1, a0 = F.col("n1") + alpha, F.col("n0") + alpha
-        delta = F.log(a1 / (F.lit(float(t1) + prior) - a1)) - F.log(a0 / (F.lit(float(t0) + prior) - a0))
-        z = delta / F.sqrt(1 / a1 + 1 / a0)
-        # most forms that stand out are words; z ranks them
-        best = table.select("form", delta.alias("d"), z.alias("z")).where(F.abs("z") >= least_z).orderBy(F.desc(F.abs("z")), "form").limit(most_forms).collect()
-    finally:
-        table.unpersist()
-    model = Model({r.form: float(r.d) for r in best if r.d > 0.7})
+        delta = F.log(a1 / (F.lit(float(t1 + mass)) - a1)) - F.log(a0 / (F.lit(float(t0 + mass)) - a0))
+        return table.withColumns({"d": delta, "z": delta / F.sqrt(1 / a1 + 1 / a0)}).where((F.col("z") >= least_z) & (F.col("d") >= least_odds))
+
+    own = written(standing_out(words).select("form", "d", "z"))
+    # prefixes count the words that don't stand out themselves, and only where many words share one
+    rest = words.join(own.select("form"), "form", "left_anti").select(F.explode(F.transform(F.array(*map(F.lit, (4, 5, 6))), lambda k: F.when(F.length("form") > k, F.concat(F.substring(F.col("form"), F.lit(1), k), F.lit("~"))))).alias("form"), "n1", "n0").where("form is not null")
+    stems = standing_out(rest.groupBy("form").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"), F.count(F.lit(1)).alias("types")).where(F.col("types") >= least_types)).select("form", "d", "z")
+    best = own.union(stems).orderBy(F.desc("z"), "form").limit(most_forms).collect()
+    model = Model({r.form: float(r.d) for r in best})
     return calibrated(model, rows, spark)
 
 
