@@ -13,6 +13,7 @@ from functools import lru_cache
 from itertools import chain
 
 import numpy as np
+import tiktoken
 from tokenizers import Tokenizer
 
 from ledgerlight.llm.common import Recent
@@ -22,7 +23,8 @@ _L = "".join(map(re.escape, (c for c in _LOW if unicodedata.category(c)[0] == "L
 _N = "".join(map(re.escape, (c for c in _LOW if unicodedata.category(c)[0] == "N")))
 #: White space as in Unicode, unlike Python's \s, which holds U+001C to U+001F too.
 _S = "\t-\r \x85\xa0"
-_HIGH = re.compile("[^\x00-˿]")
+#: Beyond them, and the one letter below that becomes two in lower case.
+_HIGH = re.compile("[^\x00-\u02ff]|\u0130")
 _MARKS = "'s|'t|'re|'ve|'m|'ll|'d"
 _WORDS = re.compile(f"[{_L}]+|{_MARKS}|[{_N}]|[^{_S}{_L}{_N}]+")
 _BYTES = re.compile(f" ?[{_L}]+|{_MARKS}| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
@@ -37,7 +39,7 @@ class Splitter:
     def __init__(self, path: str) -> None:
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+            spec = self.spec = json.load(f)
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         if any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] for t in spec["added_tokens"]):
             raise ValueError("added tokens that strip, stand alone or are normalized aren't supported")
@@ -75,14 +77,36 @@ class Splitter:
         return self.cut_up(text, self.plain)
 
 
+def merger(tokenizer: Tokenizer, spec: dict) -> tuple[tiktoken.Encoding, bytes]:
+    """The same merges by rank on bytes, and the byte that ends a word, which UTF-8 doesn't use.
+
+    A word's end is merged into its last byte first, since those tokens have lower ids than all merges."""
+    vocab, suffix = tokenizer.get_vocab(with_added_tokens=False), spec["model"].get("end_of_word_suffix") or ""
+    made = [vocab[x.replace(" ", "", 1) if isinstance(x, str) else "".join(x)] for x in spec["model"]["merges"]]
+    if made != sorted(made) or len(vocab) - len(made) not in (256, 512):
+        raise ValueError("ids that don't follow the order of merges aren't supported")
+    to_byte = byte_alphabet()
+    ranks = {}
+    for s, i in vocab.items():
+        ends = bool(suffix) and s.endswith(suffix)
+        ranks[bytes(to_byte[c] for c in (s[: -len(suffix)] if ends else s)) + b"\xff" * ends] = i
+    return tiktoken.Encoding("own", pat_str=".", mergeable_ranks=ranks, special_tokens={}), b"\xff" if suffix else b""
+
+
 class Encoder:
-    """Ids of texts; parts and pieces met lately aren't encoded again."""
+    """Ids of texts; parts met lately aren't encoded again."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, most: int = 150_000) -> None:
         self.splitter = Splitter(path)
-        encode = self.splitter.tokenizer.encode
-        piece = Recent(lambda p: np.array(encode(p, add_special_tokens=False).ids, "<u4").tobytes()).__getitem__
-        self.part = Recent(lambda p: p.to_bytes(4, "little") if isinstance(p, int) else b"".join(map(piece, self.splitter.split(p)))).__getitem__
+        encoding, self.end = merger(self.splitter.tokenizer, self.splitter.spec)
+        self.merge = encoding._encode_single_piece
+        self.as_bytes = [i.to_bytes(4, "little") for i in range(self.splitter.tokenizer.get_vocab_size())]
+        self.part = Recent(self.of_part, most).__getitem__
+
+    def of_part(self, part: str | int) -> bytes:
+        if isinstance(part, int):
+            return self.as_bytes[part]
+        return b"".join([self.as_bytes[i] for p in self.splitter.split(part) for i in self.merge(p.encode("utf-8", "surrogatepass") + self.end)])
 
     def ids(self, text: str) -> np.ndarray:
         return np.frombuffer(b"".join(map(self.part, self.splitter.all_parts(text))), "<u4")

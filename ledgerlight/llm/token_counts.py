@@ -15,12 +15,11 @@ import bisect
 from functools import lru_cache
 from itertools import accumulate
 
-import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlight.llm.common import Recent, map_batches
-from ledgerlight.llm.pretokens import Splitter, byte_alphabet
+from ledgerlight.llm.pretokens import Splitter, merger
 
 _BROKEN = {"'r", "'v", "'l"}  # begun contractions split in two
 
@@ -30,13 +29,13 @@ class PrefixCounter:
 
     def __init__(self, path: str) -> None:
         self.splitter = Splitter(path)
-        to_byte = byte_alphabet()
-        vocab = self.splitter.tokenizer.get_vocab(with_added_tokens=False)
-        self.ids = {bytes(to_byte[c] for c in s): i for s, i in vocab.items()}
+        encoding, end = merger(self.splitter.tokenizer, self.splitter.spec)
+        if end:
+            raise ValueError("vocabularies with word ends aren't supported: a prefix of a word has another end")
+        self.ids = encoding._mergeable_ranks
         self.longest = max(map(len, self.ids))
         self.token = {i: b for b, i in self.ids.items()}
-        # ids follow the order of merges, so they serve as ranks
-        self.merge = tiktoken.Encoding("own", pat_str=".", mergeable_ranks=self.ids, special_tokens={})._encode_single_piece
+        self.merge = encoding._encode_single_piece
         self.fits = Recent(lambda ab: self.merge(self.token[ab[0]] + self.token[ab[1]]) == [*ab])
         self.piece = Recent(lambda p: self.of_bytes(p.encode("utf-8", "surrogatepass"))[-1])
         self.totals = Recent(lambda p: 1 if isinstance(p, int) else sum(map(self.piece.__getitem__, self.splitter.split(p))))

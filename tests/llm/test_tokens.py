@@ -33,3 +33,13 @@ def test_count_at_every_prefix():
         for budget in (0, 1, 3, 100):
             fit = cut_to(want, budget)
             assert want[fit] <= budget and all(x > budget for x in want[fit + 1 :])
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_every_entry_of_the_vocabulary_encodes_to_itself(name):
+    """What merging by rank relies on."""
+    model = Tokenizer.from_file(public_tokenizers.path(name)).model
+    vocab = Tokenizer.from_file(public_tokenizers.path(name)).get_vocab(with_added_tokens=False)
+    assert name and not [s for s, i in vocab.items() if not s.endswith("</w>") and name[0] == "b" and [t.id for t in model.tokenize(s)] != [i]]
+    ends = [(s, i) for s, i in vocab.items() if s.endswith("</w>")]
+    assert not [s for s, i in ends if [t.id for t in model.tokenize(s[:-4])] != [i]]
