@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlight.llm import bpe_words, jaccard_join, packing, quality_rules, secret_scan, token_counts, toxicity, vector_dedup
+from ledgerlight.llm import bpe_words, jaccard_join, packing, passage_dedup, quality_rules, secret_scan, token_counts, toxicity, vector_dedup
 
 WORD_BPE, BYTE_BPE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
 
@@ -44,6 +44,10 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_copies(table(spark, sf_dir, "documents"))
 
 
+def op8_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passage_dedup.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op9_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -53,7 +57,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality_rules, op3_toxicity, op4_bpe, op5_packing, op6_secret_scan, op7_jaccard_join, op9_vector_dedup, op10_token_counts)}
+    return {f.__name__: f for f in (op2_quality_rules, op3_toxicity, op4_bpe, op5_packing, op6_secret_scan, op7_jaccard_join, op8_passage_dedup, op9_vector_dedup, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
