@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlight.llm import bpe_words, jaccard_join, packing, passage_dedup, quality_rules, secret_scan, token_counts, toxicity, vector_dedup
+from ledgerlight.llm import bpe_words, chat_format, jaccard_join, packing, passage_dedup, quality_rules, secret_scan, token_counts, toxicity, vector_dedup
 
 WORD_BPE, BYTE_BPE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
 
@@ -17,6 +17,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.chat_turns(table(spark, sf_dir, "conversations"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged(table(spark, sf_dir, "documents"))
 
@@ -57,7 +61,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality_rules, op3_toxicity, op4_bpe, op5_packing, op6_secret_scan, op7_jaccard_join, op8_passage_dedup, op9_vector_dedup, op10_token_counts)}
+    return {f.__name__: f for f in (op1_chat_format, op2_quality_rules, op3_toxicity, op4_bpe, op5_packing, op6_secret_scan, op7_jaccard_join, op8_passage_dedup, op9_vector_dedup, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
