@@ -60,8 +60,15 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_format, op2_quality_rules, op3_toxicity, op4_bpe, op5_packing, op6_secret_scan, op7_jaccard_join, op8_passage_dedup, op9_vector_dedup, op10_token_counts)}
+    found = (op1_chat_format, op2_quality_rules, op3_toxicity, op4_bpe, op5_packing, op6_secret_scan, op7_jaccard_join, op8_passage_dedup, op9_vector_dedup, op10_token_counts, pipeline)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
