@@ -39,7 +39,7 @@ def prohibited(works: DataFrame, strict: bool = False) -> DataFrame:
     tail = F.when(F.col("text").rlike(f"(?i){config.VERBS}"), F.regexp_replace("text", f"(?is)^.*?{config.VERBS}(.*)$", "$2")).otherwise(F.col("text"))
     head = F.regexp_replace(F.regexp_replace(tail, f"(?is){config.PLACE_WORDS}.*$", ""), r"^[ ,.\-:;()]+|[ ,.\-:;()]+$", "")
     rows = rows.withColumn("head", head).withColumn("asset", F.nullif(F.regexp_extract("head", asset, 0), F.lit("")))
-    after = F.regexp_replace("head", f"(?s)^.*?{asset}", "")
+    after = F.regexp_replace("head", f"(?s)^.*?(?:{asset})", "")
     words = lambda c: F.transform(F.split(F.lower(c), r"\s+"), lambda w: F.regexp_replace(w, r"^[ ,.\-:;()]+|[ ,.\-:;()]+$", ""))
     allowed = F.array(*map(F.lit, config.PERMISSIBLE))
     landmark = F.col("text").rlike(f"(?i){config.SECULAR}") | after.rlike(f"(?i){config.LOCATIVE}") | F.arrays_overlap(words(F.col("head")), allowed) | F.arrays_overlap(words(F.col("text")), allowed)

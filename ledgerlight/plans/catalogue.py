@@ -772,3 +772,11 @@ def s_ledger(spark, sf):
     e = demo.table(spark, sf, "events").select("event_id")
     last = e.agg(F.max("event_id").alias("event_id"))
     return sinks.newest(e.join(last, "event_id", "left_anti"), last, "event_id")
+
+
+@query("analysis")
+def analysis(spark, sf):
+    """Every module over the whole corpus, folded into cases."""
+    from ledgerlight.plans.analysis import Corpus, analysed
+
+    return analysed(Corpus(paid_works(spark, sf), demo.payments(spark, sf), demo.flows(spark, sf), edits(spark, sf)), TODAY).select("entity_type", "entity_id", "score", "n_findings", F.array_join("rules", ",").alias("rules"), "alert", "band", "primary_rule")
