@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import re
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -34,6 +38,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 _written: list[str] = []
+_freed = [0.0]
+
+
+def free(spark: SparkSession, seconds: float = 2.0) -> None:
+    """Lets Spark delete shuffle files of plans that nothing refers to: it does so when the driver collects garbage."""
+    if time.monotonic() - _freed[0] >= seconds:
+        _freed[0] = time.monotonic()
+        gc.collect()
+        spark._jvm.System.gc()
 
 
 def written(df: DataFrame, *, partition_by: Iterable[str] = ()) -> DataFrame:
@@ -42,7 +55,10 @@ def written(df: DataFrame, *, partition_by: Iterable[str] = ()) -> DataFrame:
     path = f"{shared_dir(spark)}/ledgerlight-{uuid.uuid4().hex}"
     df.write.parquet(path, partitionBy=list(partition_by) or None)
     _written.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    schema = df.schema
+    del df
+    free(spark)
+    return spark.read.schema(schema).parquet(path)
 
 
 def release(spark: SparkSession, keep: int = 0) -> None:
@@ -63,6 +79,14 @@ def arrow_schema(ddl: str) -> pa.Schema:
     return to_arrow_schema(T.StructType.fromDDL(ddl))
 
 
+def trim() -> None:
+    """Gives a worker's free memory back: idle workers of other stages stay beside those that run."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]], ddl: str) -> DataFrame:
     """mapInArrow; ``make()`` runs once a task and returns the function of a batch, which gives columns by name."""
     schema = arrow_schema(ddl)
@@ -73,6 +97,9 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dic
             if batch.num_rows:
                 cols = of(batch)
                 yield pa.RecordBatch.from_arrays([pa.array(cols[f.name], f.type) if not isinstance(cols[f.name], pa.Array) else cols[f.name].cast(f.type) for f in schema], schema=schema)
+                del cols
+        del of
+        trim()
 
     return df.mapInArrow(run, ddl)
 
@@ -94,23 +121,18 @@ class Recent(dict):
         return found
 
 
-class WordHashes:
-    """64-bit hashes of words."""
-
-    def __init__(self) -> None:
-        self.get = Recent(lambda w: xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))).__getitem__
-
-    def of(self, words: list[str]) -> np.ndarray:
-        return np.fromiter(map(self.get, words), np.uint64, len(words))
-
+def word_hashes(text: str | None, *, lower: bool = True) -> np.ndarray:
+    """64-bit hashes of the words of a text; with ``lower``, A-Z count as a-z and other letters keep their case.
 
-_A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
+    bytes.lower() and bytes.split() know ASCII only, which is just what words are made by."""
+    raw = (text or "").encode("utf-8", "surrogatepass")
+    return np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, (raw.lower() if lower else raw).split())), ">u8").astype(np.uint64)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
     """Spreads 64-bit values; one to one."""
     x = x ^ (x >> np.uint64(30))
-    x = x * _B
+    x = x * np.uint64(0xBF58476D1CE4E5B9)
     x = x ^ (x >> np.uint64(27))
     x = x * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
@@ -121,10 +143,9 @@ def shingle_hashes(hashes: np.ndarray, k: int) -> np.ndarray:
     n = len(hashes)
     if n == 0:
         return hashes
-    k, total = min(k, n), np.zeros(max(1, n - k + 1), np.uint64)
-    for i in range(k):
-        total = mixed(total * _A + hashes[i : i + len(total)] + np.uint64(i + 1))
-    return total if n >= k else total
+    k = min(k, n)
+    # words' hashes are random, so an odd multiple of each keeps sums apart
+    return mixed(sum(hashes[i : n - k + 1 + i] * np.uint64(0x9E3779B97F4A7C15 * (2 * i + 1) % 2**64 | 1) for i in range(k)))
 
 
 def signed(x: np.ndarray) -> np.ndarray:
