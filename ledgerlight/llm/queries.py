@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlight.llm import bpe_words, chat_format, jaccard_join, packing, passage_dedup, quality_rules, secret_scan, token_counts, toxicity, vector_dedup
+from ledgerlight.llm import bpe_words, chat_format, jaccard_join, oracles, packing, passage_dedup, quality_rules, secret_scan, token_counts, toxicity, vector_dedup
 
 WORD_BPE, BYTE_BPE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
 
@@ -72,4 +72,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracles.SQL)
