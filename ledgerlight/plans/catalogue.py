@@ -780,3 +780,125 @@ def analysis(spark, sf):
     from ledgerlight.plans.analysis import Corpus, analysed
 
     return analysed(Corpus(paid_works(spark, sf), demo.payments(spark, sf), demo.flows(spark, sf), edits(spark, sf)), TODAY).select("entity_type", "entity_id", "score", "n_findings", F.array_join("rules", ",").alias("rules"), "alert", "band", "primary_rule")
+
+
+# ---------------------------------------------------------------- more of the read and text surface
+@query("j_enrich", f"with {WORKS_SQL} select work_id, sanction_date is not null as is_sanctioned, completion_date is not null or cast(work_id as bigint) % 50 = 0 as is_completed from works")
+def j_enrich(spark, sf):
+    w = demo.works(spark, sf)
+    listing = w.select("work_id", (F.col("work_id").cast("bigint") % 50 == 0).cast("int").alias("in_completed"))
+    return compliance.enrich(w.join(listing, "work_id", "left")).select("work_id", "is_sanctioned", "is_completed")
+
+
+@query("j_shards", """with sh as (select n_name as shard_id, n_nationkey as k from nation), wm as (select n_name as shard_id, count(*) as listed from customer join nation on c_nationkey = n_nationkey where n_nationkey % 2 = 0 group by 1), pa as (select n_name as shard_id, sum(s_acctbal) as total from supplier join nation on s_nationkey = n_nationkey group by 1)
+select shard_id, listed, round(total, 2) as total, (select count(*) from customer where c_nationkey = k) as here from sh left join wm using (shard_id) left join pa using (shard_id)""")
+def j_shards(spark, sf):
+    n, c, s = (demo.table(spark, sf, t) for t in ("nation", "customer", "supplier"))
+    here = c.groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count(F.lit(1)).alias("here"))
+    marks = here.where("n_nationkey % 2 = 0").withColumnRenamed("here", "listed")
+    parity = s.groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.round(F.sum("s_acctbal"), 2).alias("total"))
+    return n.join(marks, "n_nationkey", "left").join(parity, "n_nationkey", "left").join(here, "n_nationkey", "left").select(F.col("n_name").alias("shard_id"), "listed", "total", F.coalesce("here", F.lit(0)).alias("here"))
+
+
+@query("j_stale_checks", "select o_orderkey as group_id from orders left join (select l_orderkey, max(l_shipdate) as checked_at from lineitem where l_linenumber < 3 group by 1) on l_orderkey = o_orderkey where checked_at is null or checked_at < o_orderdate")
+def j_stale_checks(spark, sf):
+    """Groups never checked, or checked before they last changed."""
+    o = demo.table(spark, sf, "orders")
+    checks = demo.table(spark, sf, "lineitem").where("l_linenumber < 3").groupBy("l_orderkey").agg(F.max("l_shipdate").alias("checked_at"))
+    return o.join(checks, F.col("o_orderkey") == F.col("l_orderkey"), "left").where("checked_at is null or checked_at < o_orderdate").select(F.col("o_orderkey").alias("group_id"))
+
+
+@query("g_value_counts", f"with {WORKS_SQL} select 'era' as facet, era as value, count(*) as n from works group by era union all select 'house', house, count(*) from works group by house union all select 'status', status, count(*) from works group by status")
+def g_value_counts(spark, sf):
+    return cases.facets(demo.works(spark, sf), "era", "house", "status")
+
+
+@query("g_distincts", f"with {WORKS_SQL} select vendor_name, count(distinct vendor_id) as ids, count(distinct district) as districts, count(distinct state) as states, min(house) as first_house, round(avg(case when status = 'Completed' then 1 else 0 end), 4) as done_share from works group by vendor_name")
+def g_distincts(spark, sf):
+    w = demo.works(spark, sf)
+    return w.groupBy("vendor_name").agg(F.countDistinct("vendor_id").alias("ids"), F.countDistinct("district").alias("districts"), F.countDistinct("state").alias("states"), F.min("house").alias("first_house"), F.round(F.avg((F.col("status") == "Completed").cast("int")), 4).alias("done_share"))
+
+
+@query("g_first_examples", f"with {WORKS_SQL}, r as (select ia_name, work_id, row_number() over (partition by ia_name order by cost desc, work_id) as n from works) select ia_name, string_agg(work_id, ',' order by n) as examples from r where n <= 5 group by ia_name")
+def g_first_examples(spark, sf):
+    """Five examples for each authority: the limit is the feature; ranks are cut before they are gathered."""
+    w = demo.works(spark, sf).withColumn("n", F.row_number().over(Window.partitionBy("ia_name").orderBy(S.cost().desc(), "work_id"))).where("n <= 5")
+    return w.groupBy("ia_name").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "work_id"))), lambda x: x["work_id"]), ",").alias("examples"))
+
+
+@query("o_oldest_first", "select n_name as slice, cast(row_number() over (order by case when n_nationkey % 3 = 0 then null else n_nationkey end nulls first, n_name) as integer) as place from nation")
+def o_oldest_first(spark, sf):
+    """25 slices, so one window is fine here."""
+    n = demo.table(spark, sf, "nation").select(F.col("n_name").alias("slice"), F.when(F.col("n_nationkey") % 3 != 0, F.col("n_nationkey")).alias("last_read"))
+    return ingest.oldest_first(n).select("slice", F.row_number().over(Window.orderBy(F.asc_nulls_first("last_read"), "slice")).alias("place"))
+
+
+@query("e_confidence", """with a as (select n_name as shard_id, case when n_nationkey % 5 = 0 then null else timestamp '2024-01-01' + n_nationkey * interval 12 hour end as fetched_at, n_nationkey % 2 as exact, n_nationkey % 3 as consecutive_failures from nation),
+r as (select shard_id, list_filter([case when fetched_at is null then 'never read' end, case when fetched_at < timestamp '2024-01-10' - interval 36 hour then 'stale' end, case when exact = 0 then 'figures differ from the portal' end, case when consecutive_failures > 0 then 'last reads failed' end], lambda x: x is not null) as reasons from a)
+select shard_id, array_to_string(reasons, ',') as reasons, case when len(reasons) = 0 then 'high' when len(reasons) = 1 then 'medium' else 'low' end as confidence from r""")
+def e_confidence(spark, sf):
+    k = F.col("n_nationkey")
+    a = demo.table(spark, sf, "nation").select(F.col("n_name").alias("shard_id"), F.when(k % 5 != 0, F.expr("timestamp'2024-01-01' + make_interval(0, 0, 0, 0, n_nationkey * 12)")).alias("fetched_at"), (k % 2).alias("exact"), (k % 3).alias("consecutive_failures"), F.lit("live").alias("lifecycle"), F.lit(0).alias("awaiting_removal"))
+    return cases.confidence(a.select("shard_id"), a, "2024-01-10 00:00:00").select("shard_id", F.array_join("reasons", ",").alias("reasons"), "confidence")
+
+
+@query("e_allowed_actions", f"{FINDINGS_SQL} select entity_id, 'request records' as action from cas where score >= 20 union all select entity_id, 'hold payment' from cas where score >= 40 and list_contains(rules, 'P-SEQ-01')")
+def e_allowed_actions(spark, sf):
+    catalogue = spark.createDataFrame([("request records", ["district", "state"], 20, []), ("hold payment", ["district"], 40, ["P-SEQ-01"]), ("order inquiry", ["state"], 40, [])], "action string, roles array<string>, min_score int, evidence array<string>")
+    c = cases.cases(all_findings(spark, sf))
+    return cases.allowed_actions(catalogue, c, "district").join(c.select("case_id", "entity_id"), "case_id").select("entity_id", "action")
+
+
+@query("e_number_guard", "select o_orderkey, o_orderkey % 2 = 1 as unsupported from orders")
+def e_number_guard(spark, sf):
+    o = demo.table(spark, sf, "orders").select("o_orderkey", F.format_string("%d works over %d days.", F.lit(7), F.lit(365) + F.col("o_orderkey") % 2).alias("text"), F.array(F.lit("7"), F.lit("365")).alias("facts"))
+    return o.select("o_orderkey", (F.size(cases.unsupported_numbers("text", "facts")) > 0).alias("unsupported"))
+
+
+@query("f_template", f"with {WORKS_SQL} select work_id, 'Work ' || work_id || ' is ' || format('{{:,}}', date '{TODAY}' - sanction_date) || ' days past its sanction.' as en from works where sanction_date is not null")
+def f_template(spark, sf):
+    from ledgerlight.functions.templates import rendered
+
+    w = demo.works(spark, sf).where("sanction_date is not null").withColumn("days", F.datediff(F.lit(TODAY).cast("date"), "sanction_date"))
+    return w.select("work_id", rendered("late", "en").alias("en"))
+
+
+@query("w_top_k", "select user_id, event_id, k from (select user_id, event_id, cast(row_number() over (partition by user_id order by value desc, event_id) as integer) as k from events) where k <= 5")
+def w_top_k(spark, sf):
+    """Five neighbours each: the limit is the feature."""
+    k = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("value"), "event_id"))
+    return demo.table(spark, sf, "events").select("user_id", "event_id", k.alias("k")).where("k <= 5")
+
+
+@query("w_group_transform", "select l_orderkey, l_linenumber, count(*) over (partition by l_orderkey) as n, median(l_quantity) over (partition by l_orderkey) as med from lineitem")
+def w_group_transform(spark, sf):
+    li = demo.table(spark, sf, "lineitem")
+    g = li.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"), F.median("l_quantity").alias("med"))
+    return li.join(g, "l_orderkey").select("l_orderkey", "l_linenumber", "n", "med")
+
+
+@query("t_unchanged", "select o_orderpriority as slice from orders group by 1 having min(o_orderkey) % 2 = 0")
+def t_unchanged(spark, sf):
+    o = demo.table(spark, sf, "orders").select(F.col("o_orderpriority").alias("slice"), "o_orderkey", "o_totalprice", F.col("o_custkey").alias("Sno"))
+    seen = ingest.payloads(o)
+    odd = o.groupBy("slice").agg((F.min("o_orderkey") % 2).alias("odd"))
+    seen = seen.join(odd, "slice").select("slice", F.when(F.col("odd") == 0, F.col("payload")).otherwise("other").alias("payload"))
+    return ingest.unchanged(o, seen).select("slice")
+
+
+@query("a_isolation")
+def a_isolation(spark, sf):
+    w = demo.works(spark, sf).select("work_id", "state", "category", S.cost().alias("cost"), F.datediff("sanction_date", "recommended_date").cast("double").alias("days")).where("days is not null")
+    return peers.isolation_scores(w, ["state", "category"], ["cost", "days"]).select("work_id", F.round("isolation", 4).alias("isolation"))
+
+
+@query("g_payee_villages")
+def g_payee_villages(spark, sf):
+    p = demo.payments(spark, sf).select(F.col("implementing_agency").alias("batch"), F.concat(F.lit("GP "), "vendor_name").alias("name"))
+    return duplicates.payee_villages(p)
+
+
+@query("x_sample")
+def x_sample(spark, sf):
+    """A seeded tenth: sampling is the feature."""
+    return demo.table(spark, sf, "orders").select("o_orderkey").sample(0.1, 7)
