@@ -61,18 +61,24 @@ def written(df: DataFrame, *, partition_by: Iterable[str] = ()) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def release(spark: SparkSession, keep: int = 0) -> None:
-    """Deletes the tables of ``written`` but for the first ``keep``; only for when nothing unread depends on them."""
-    for path in _written[keep:]:
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-    del _written[keep:]
+def taken(since: int) -> list[str]:
+    """Tables that ``written`` has made since it had made so many; the caller answers for them from now on."""
+    out = _written[since:]
+    del _written[since:]
+    return out
 
 
 def n_written() -> int:
     return len(_written)
 
 
+def delete(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes tables that nothing unread depends on."""
+    for path in paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def arrow_schema(ddl: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
 
