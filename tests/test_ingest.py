@@ -69,3 +69,34 @@ def test_streamed_upserts_and_windows(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "log")).select("field", "old_value", "new_value").collect()[0] == ("estimated_cost", "5", "8")
     events = spark.createDataFrame([("2024-01-01 00:01:00", 1, 2.0), ("2024-01-01 00:59:00", 1, 3.0), ("2024-01-01 02:00:00", 1, 4.0)], "ts string, user_id int, value double").withColumn("ts", F.col("ts").cast("timestamp"))
     assert sorted(r.n for r in ingest.windowed(events, "1 hour").collect()) == [1, 2] and ingest.sessions(events, "30 minutes").count() == 3
+
+
+def test_calls_give_errors_in_place_and_breaker_opens(spark):
+    from ledgerlight.sources.remote import Breaker, called
+
+    def call(row):
+        if row["id"] % 3 == 0:
+            raise ValueError("no")
+        return str(row["id"])
+
+    got = called(spark.range(9), call).collect()
+    assert {r.id for r in got if r.error == "ValueError: no"} == {0, 3, 6} and all(r.body == str(r.id) for r in got if not r.error)
+    b = Breaker(window=4)
+    for ok in (True, False, False, False):
+        b.record(ok, 0.0)
+    assert not b.allows(59) and b.allows(60)
+    b.record(False, 60.0)
+    assert not b.allows(179) and b.allows(180)
+    b.record(True, 180.0)
+    assert b.allows(180) and b.pause == 60
+
+
+def test_tile_cache_knows_its_place(spark, tmp_path):
+    import gzip
+
+    folder = tmp_path / "LS" / "UTTAR%20PRADESH" / "SITAPUR"
+    folder.mkdir(parents=True)
+    with gzip.open(folder / "completed.json.gz", "wt") as f:
+        f.write('{"WORK_ID": 1}\n{"WORK_ID": 2}\n')
+    got = readers.tile_cache(spark, str(tmp_path), "WORK_ID bigint").collect()
+    assert len(got) == 2 and got[0].house == "LS" and got[0].constituency == "SITAPUR" and got[0].tile == "completed" and got[0].state.startswith("UTTAR")
