@@ -86,6 +86,8 @@ def start_upserts(spark: SparkSession, stream: DataFrame, table: str, log: str,
         else:
             merged = batch.dropDuplicates([key])
         merged.write.mode("overwrite").parquet(f"{table}/v={epoch}")
+        # the version before stays: a batch that comes again starts from it
+        fs(table).delete(spark._jvm.org.apache.hadoop.fs.Path(f"{table}/v={epoch - 2}"), True)
 
     writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=trigger) if trigger else writer.trigger(availableNow=True)).start()
