@@ -1,10 +1,11 @@
 """BPE encoding and decoding over a table of distinct words.
 
 Texts are split into words in Spark; the corpus' words are counted into one table in which each distinct word is
-encoded once. The ``frequent`` most common words (a bound that doesn't grow with the corpus) go to all tasks; the
-ids of all other words come back by a join on the word, with the positions where they stand. Positions of rare
-words in a document travel as one array for each word, so nothing is exploded to a row for each token.
-Decoding joins ids with the id-to-piece table, which has a row for each entry of the vocabulary and is broadcast.
+encoded once. The ids of the most common words, ``frequent`` at most, go to all tasks as sorted arrays of about 32 bytes a
+word, a bound that doesn't grow with the corpus. Where the table has more words than that, a document's other words are
+joined with the table on the word, and come back to the document as one small map, for which each text is shuffled
+once; the ids then stand where the words stand. Where it hasn't, nothing but the table is shuffled. Decoding joins ids with the id-to-piece table, which has a row for each entry
+of the vocabulary and is broadcast.
 
 Nulls: a null text is empty: no ids, an empty decoded text. Empty tables give empty results; rows repeat as they
 do in the input; other columns are ignored, whatever their names.
@@ -12,46 +13,36 @@ do in the input; other columns are ignored, whatever their names.
 
 from __future__ import annotations
 
-import struct
+import hashlib
 from collections import Counter
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from ledgerlight.llm.common import Recent, arrow_schema, map_batches, written
-from ledgerlight.llm.pretokens import Splitter, encoder
+from ledgerlight.llm.common import arrow_schema, map_batches, trim, written
+from ledgerlight.llm.pretokens import encoder, splitter
 
-#: Words whose ids are given to every task; about 10 MB.
-FREQUENT = 65_536
-
-
-class Pieces:
-    """Pieces of texts; how a part splits is remembered."""
-
-    def __init__(self, path: str) -> None:
-        self.splitter = Splitter(path)
-        self.split = Recent(lambda p: (p,) if isinstance(p, int) else self.splitter.split(p)).__getitem__
-
-    def of(self, text: str) -> list[str | int]:
-        return list(chain.from_iterable(map(self.split, self.splitter.all_parts(text))))
+#: Words whose ids are given to every task: 130 MB or so at most.
+FREQUENT = 1 << 22
 
 
 def distinct_words(df: DataFrame, path: str, text_col: str = "text") -> DataFrame:
     """(word, n): the corpus' words and their counts; counted in each task first."""
     schema = arrow_schema("word string, n bigint")
-    most = 200_000
+    most = 100_000
 
     def run(batches):
-        splitter, parts, seen = Splitter(path), Counter(), Counter()
+        cut, parts, seen = splitter(path), Counter(), Counter()
 
         def rows():
             for part, n in parts.items():
                 if isinstance(part, str):
-                    for word in splitter.split(part):
+                    for word in cut.split(part):
                         seen[word] += n
             parts.clear()
             out = pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], schema=schema)
@@ -61,11 +52,13 @@ def distinct_words(df: DataFrame, path: str, text_col: str = "text") -> DataFram
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 if text:
-                    parts.update(splitter.all_parts(text))
+                    parts.update(cut.all_parts(text))
             if len(parts) > most:
                 yield rows()
         if parts:
             yield rows()
+        del parts, seen
+        trim()
 
     return df.select(text_col).mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -74,87 +67,163 @@ def encoded_words(words: DataFrame, path: str) -> DataFrame:
     """(word, n, ids): each distinct word is encoded here, and only here."""
 
     def make():
-        tokenizer = Tokenizer.from_file(path)
+        of_word = encoder(path).of_part
 
         def of(batch):
-            found = tokenizer.encode_batch_fast(batch.column(0).to_pylist(), add_special_tokens=False)
-            return {"word": batch.column(0), "n": batch.column(1), "ids": [np.array(e.ids, "<u2").tobytes() for e in found]}
+            return {"word": batch.column(0), "n": batch.column(1), "ids": list(map(of_word, batch.column(0).to_pylist()))}
 
         return of
 
     return map_batches(words.select("word", "n"), make, "word string, n bigint, ids binary")
 
 
-def encode(df: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT) -> DataFrame:
-    """(id_col, n_tokens, ids): ids of each row's whole text, as little-endian unsigned 32-bit integers in one binary value."""
-    spark = df.sparkSession
+class Known:
+    """Ids of words in sorted arrays, looked up by 128-bit hash."""
+
+    def __init__(self, high: np.ndarray, low: np.ndarray, starts: np.ndarray, ends: np.ndarray, ids: bytes) -> None:
+        """ids: little-endian unsigned 16-bit; starts and ends: bytes in it, for each word in the order of hashes."""
+        self.high, self.low, self.starts, self.ends, self.ids = high, low, starts, ends, ids
+
+    @staticmethod
+    def hash(word: str) -> bytes:
+        return xxhash.xxh3_128_digest(word.encode("utf-8", "surrogatepass"))
+
+    @staticmethod
+    def of(rows) -> Known:
+        """From (hashes, lengths, ids) of parts of the table, taken one by one; ids stay where they come."""
+        hashes, lengths, ids = bytearray(), bytearray(), bytearray()
+        for h, n, x in rows:
+            hashes += h
+            lengths += n
+            ids += x
+        h, ends = np.frombuffer(hashes, ">u8").reshape(-1, 2), np.cumsum(np.frombuffer(lengths, "<u2"), dtype=np.uint32) * np.uint32(2)
+        order = np.lexsort((h[:, 1], h[:, 0]))
+        starts = ends - np.frombuffer(lengths, "<u2").astype(np.uint32) * np.uint32(2)
+        return Known(h[order, 0].astype(np.uint64), h[order, 1].astype(np.uint64), starts[order], ends[order], bytes(ids))
+
+    def get(self, words: list[str]) -> dict[str, bytes | None]:
+        """Ids as little-endian unsigned 16-bit integers; None for words not in the table."""
+        if not words or not len(self.high):
+            return dict.fromkeys(words)
+        h = np.frombuffer(b"".join(map(self.hash, words)), ">u8").reshape(-1, 2)
+        high, low = h[:, 0].astype(np.uint64), h[:, 1].astype(np.uint64)
+        at = np.minimum(self.high.searchsorted(high), len(self.high) - 1)
+        for _ in range(4):  # words that share the first half of their hash stand side by side
+            on = np.minimum(at + 1, len(self.high) - 1)
+            at = np.where((self.high[at] == high) & (self.low[at] != low) & (self.high[on] == high), on, at)
+        found = (self.high[at] == high) & (self.low[at] == low)
+        starts, ends, ids = self.starts[at].tolist(), self.ends[at].tolist(), self.ids
+        return {w: ids[a:b] if ok else None for w, ok, a, b in zip(words, found.tolist(), starts, ends, strict=True)}
+
+
+def common_words(table: DataFrame, frequent: int) -> Known:
+    """The words that occur at least so often that there are ``frequent`` of them at most."""
+    left, least = frequent, None
+    for r in table.groupBy("n").agg(F.count(F.lit(1)).alias("k")).orderBy(F.desc("n")).toLocalIterator():
+        left -= r.k
+        if left < 0:
+            break
+        least = r.n
+    if least is None:
+        return Known.of([])
+    schema = arrow_schema("hashes binary, lengths binary, ids binary")
+
+    def packed(batches):
+        for batch in batches:
+            ids = [np.frombuffer(x, "<u4").astype("<u2") for x in batch.column(1).to_pylist()]
+            if any(len(x) > 0xFFFF for x in ids):
+                raise ValueError("a word of more than 65535 tokens can't be among the frequent ones")
+            yield pa.RecordBatch.from_pydict({"hashes": [b"".join(map(Known.hash, batch.column(0).to_pylist()))], "lengths": [np.array([len(x) for x in ids], "<u2").tobytes()], "ids": [b"".join(x.tobytes() for x in ids)]}, schema=schema)
+
+    return Known.of(table.where((F.col("n") >= least) & (F.length("ids") < 4 * 0xFFFF)).select("word", "ids").mapInArrow(packed, "hashes binary, lengths binary, ids binary").toLocalIterator())
+
+
+def rare_maps(docs: DataFrame, rare_words, table: DataFrame) -> DataFrame:
+    """(key, rare): the ids of each document's words that aren't common."""
+    rare = docs.select("key", "text").mapInArrow(rare_words, "key bigint, word string").distinct()
+    return written(rare.join(table.select("word", "ids"), "word").groupBy("key").agg(F.collect_list(F.struct("word", "ids")).alias("rare")))
+
+
+def encode(df: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT, digests: bool = False) -> DataFrame:
+    """(id_col, n_tokens, ids): ids of each row's whole text, as little-endian unsigned 32-bit integers in one binary value.
+
+    With ``digests``, (id_col, n_tokens, ids_sha256, decoded_sha256) instead: the round trip, without moving ids and texts."""
     if Tokenizer.from_file(path).get_vocab_size() > 65_536:
         raise ValueError("ids of more than 16 bits aren't supported")
     kind = df.schema[id_col].dataType.simpleString()
     table = written(encoded_words(distinct_words(df, path, text_col), path))
-    common = spark.sparkContext.broadcast({r.word: bytes(r.ids) for r in table.orderBy(F.desc("n"), "word").limit(frequent).select("word", "ids").toLocalIterator()})
-
-    schema = arrow_schema(f"row bigint, id {kind}, word string, places binary, known binary")
+    common = df.sparkSession.sparkContext.broadcast(common_words(table, frequent))
+
+    class Coder:
+        """Ids of the parts of texts; None for parts with words that aren't common."""
+
+        def __init__(self) -> None:
+            self.splitter, self.parts, self.words = splitter(path), {}, {}
+
+        def learn(self, lists: list[list]) -> None:
+            parts, words, split = self.parts, self.words, self.splitter.split
+            if len(parts) > 150_000:
+                parts.clear()
+                words.clear()
+            new = set().union(*lists).difference(parts)
+            pieces = {p: split(p) for p in new if isinstance(p, str)}
+            words.update(common.value.get(list(set(chain.from_iterable(pieces.values())).difference(words))))
+            for p in new:
+                ids = [words[w] for w in pieces[p]] if isinstance(p, str) else [p.to_bytes(2, "little")]
+                parts[p] = None if None in ids else b"".join(ids)
+
+        def lists(self, texts: list[str | None]):
+            """For some texts at a time: (first, their parts)."""
+            for at in range(0, len(texts), 500):
+                lists = [self.splitter.all_parts(t or "") for t in texts[at : at + 500]]
+                self.learn(lists)
+                yield at, lists
+
+        def rare(self, parts: list) -> set[str]:
+            return {w for p in {p for p in parts if self.parts[p] is None} for w in self.splitter.split(p) if self.words[w] is None}
+
+        def ids(self, parts: list, own: dict[str, bytes]) -> bytes:
+            ids = list(map(self.parts.__getitem__, parts))
+            if own:
+                words = self.words
+                ids = [b"".join([own[w] if (i := words[w]) is None else i for w in self.splitter.split(p)]) if x is None else x for p, x in zip(parts, ids, strict=True)]
+            return np.frombuffer(b"".join(ids), "<u2").astype("<u4").tobytes()
+
+    # rows alike in id and text share a key, and then their words
+    docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"))
+
+    def rare_words(batches):
+        coder, schema = Coder(), pa.schema([("key", pa.int64()), ("word", pa.string())])
+        for batch in batches:
+            keys = batch.column(0).to_pylist()
+            found = [(keys[at + i], w) for at, lists in coder.lists(batch.column(1).to_pylist()) for i, parts in enumerate(lists) for w in coder.rare(parts)]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found, strict=True), schema, strict=True)], schema=schema)
+        del coder
+        trim()
 
-    def split(batches):
-        """For each text: its known ids with holes, and each rare word with its places. Places are word numbers."""
-        from pyspark import TaskContext
+    maps = None
+    if table.count() > frequent or not table.where(F.length("ids") >= 4 * 0xFFFF).isEmpty():
+        maps = rare_maps(docs, rare_words, table)
 
-        split_up, known = Pieces(path).of, common.value
-        row = TaskContext.get().partitionId() << 36
-        for batch in batches:
-            rows: list[tuple] = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                pieces = split_up(text or "")
-                parts = [struct.pack("<H", p) if isinstance(p, int) else known.get(p) for p in pieces]
-                rare: dict[str, list[int]] = {}
-                for i, p in enumerate(parts):
-                    if p is None:
-                        rare.setdefault(pieces[i], []).append(i)
-                # words with rare ones among them: lengths, then ids
-                lengths = np.fromiter((len(p) // 2 if p is not None else 0xFFFF for p in parts), "<u2", len(parts)).tobytes() if rare else b""
-                rows.append((row, doc, None, struct.pack("<I", len(parts) if rare else 0), lengths + b"".join(p for p in parts if p is not None)))
-                rows += [(row, doc, w, np.array(at, "<u4").tobytes(), None) for w, at in rare.items()]
-                row += 1
-                if len(rows) > 20_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
-                    rows = []
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
-
-    parts = written(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(split, f"row bigint, id {kind}, word string, places binary, known binary"))
-    rare = parts.where("word is not null").select("row", "word", "places").join(table.select("word", "ids"), "word").groupBy("row").agg(F.collect_list(F.struct("places", "ids")).alias("rare"))
-    texts = parts.where("word is null").select("row", "id", "places", "known").join(rare, "row", "left")
+    joined, pieces = maps is not None, pieces_by_id(df.sparkSession, path) if digests else None
 
     def make():
+        coder = Coder()
+
         def of(batch):
-            n, ids = [], []
-            for places, known, rare in zip(*(batch.column(c).to_pylist() for c in ("places", "known", "rare")), strict=True):
-                (words,) = struct.unpack("<I", places)
-                got = np.frombuffer(known, "<u2")
-                if words:
-                    lengths, flat = got[:words].astype(np.int64), got[words:]
-                    hole, starts = lengths == 0xFFFF, None
-                    found: dict[int, np.ndarray] = {}
-                    for r in rare:
-                        w = np.frombuffer(r["ids"], "<u2")
-                        for at in np.frombuffer(r["places"], "<u4").tolist():
-                            found[at] = w
-                    at = np.flatnonzero(hole)
-                    lengths[hole] = 0
-                    starts = np.cumsum(lengths)[at]
-                    lists, last = [], 0
-                    for i, s in zip(at.tolist(), starts.tolist(), strict=True):
-                        lists += [flat[last:s], found[i]]
-                        last = s
-                    got = np.concatenate([*lists, flat[last:]])
-                n.append(len(got))
-                ids.append(got.astype("<u4").tobytes())
-            return {id_col: batch.column("id"), "n_tokens": n, "ids": pa.array(ids, pa.binary())}
+            rare, out = batch.column("rare").to_pylist() if joined else [None] * batch.num_rows, []
+            for at, lists in coder.lists(batch.column("text").to_pylist()):
+                out += [coder.ids(parts, {r["word"]: np.frombuffer(r["ids"], "<u4").astype("<u2").tobytes() for r in rare[at + i] or ()}) for i, parts in enumerate(lists)]
+            found = {id_col: batch.column("id"), "n_tokens": [len(x) // 4 for x in out]}
+            if pieces is None:
+                return found | {"ids": pa.array(out, pa.binary())}
+            return found | {"ids_sha256": [hashlib.sha256(x).hexdigest() for x in out], "decoded_sha256": [hashlib.sha256(decoded(x, pieces.value)).hexdigest() for x in out]}
 
         return of
 
-    return map_batches(texts.select("id", "places", "known", "rare"), make, f"`{id_col}` {kind}, n_tokens bigint, ids binary")
+    with_maps = docs.join(maps, "key", "left").select("id", "text", "rare") if maps is not None else docs.select("id", "text")
+    return map_batches(with_maps, make, f"`{id_col}` {kind}, n_tokens bigint, " + ("ids binary" if pieces is None else "ids_sha256 string, decoded_sha256 string"))
 
 
 def piece_table(spark, path: str) -> DataFrame:
@@ -162,28 +231,31 @@ def piece_table(spark, path: str) -> DataFrame:
     return spark.createDataFrame(sorted((i, s) for s, i in Tokenizer.from_file(path).get_vocab(with_added_tokens=True).items()), "id int, piece string")
 
 
-def decode(df: DataFrame, path: str, *, id_col: str = "doc_id", ids_col: str = "ids", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(id_col, *keep, decoded): texts of ``ids_col``, as the library joins pieces for a tokenizer without decoder, special tokens kept.
-
-    A map-side join: the id-to-piece table is bounded by the vocabulary. Null ids give null."""
-    spark = df.sparkSession
+def pieces_by_id(spark, path: str):
+    """The id-to-piece table for a map-side join, broadcast: as long as the vocabulary."""
     if Tokenizer.from_file(path).decoder is not None:
         raise ValueError("tokenizers with a decoder of their own aren't supported")
-    pieces = spark.sparkContext.broadcast({r.id: r.piece for r in piece_table(spark, path).collect()})
+    rows = {r.id: r.piece.encode() for r in piece_table(spark, path).collect()}
+    return spark.sparkContext.broadcast([rows.get(i) for i in range(max(rows) + 1)])
+
+
+def decoded(ids: bytes, pieces: list[bytes]) -> bytes:
+    """The text of ids in UTF-8, as the library joins pieces for a tokenizer without decoder, special tokens kept."""
+    return b" ".join(map(pieces.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+
+
+def decode(df: DataFrame, path: str, *, id_col: str = "doc_id", ids_col: str = "ids", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id_col, *keep, decoded): texts of ``ids_col``, by a map-side join with the id-to-piece table. Null ids give null."""
+    pieces = pieces_by_id(df.sparkSession, path)
     cols = [id_col, *keep]
     ddl = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in cols) + ", decoded string"
 
     def make():
-        piece = pieces.value.__getitem__
+        table = pieces.value
 
         def of(batch):
-            return {c: batch.column(c) for c in cols} | {"decoded": [None if x is None else " ".join(map(piece, np.frombuffer(x, "<u4").tolist())) for x in batch.column(ids_col).to_pylist()]}
+            return {c: batch.column(c) for c in cols} | {"decoded": [None if x is None else decoded(x, table).decode() for x in batch.column(ids_col).to_pylist()]}
 
         return of
 
     return map_batches(df.select(*dict.fromkeys((*cols, ids_col))), make, ddl)
-
-
-def encode_directly(texts: list[str], path: str) -> list[np.ndarray]:
-    """The same ids for a few texts on the driver."""
-    return [encoder(path).ids(t) for t in texts]

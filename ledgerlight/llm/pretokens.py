@@ -39,7 +39,7 @@ class Splitter:
     def __init__(self, path: str) -> None:
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
-            spec = self.spec = json.load(f)
+            spec = json.load(f)
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         if any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] for t in spec["added_tokens"]):
             raise ValueError("added tokens that strip, stand alone or are normalized aren't supported")
@@ -58,7 +58,7 @@ class Splitter:
         return _WORD_PARTS.findall(text.lower()) if self.words else _BYTE_PARTS.findall(text)
 
     def split(self, part: str) -> list[str]:
-        return [part] if _HIGH.search(part) else self.find(part)
+        return self.find(part) if part.isascii() or not _HIGH.search(part) else [part]
 
     def plain(self, text: str) -> list[str]:
         """Pieces of a text without added tokens."""
@@ -77,12 +77,21 @@ class Splitter:
         return self.cut_up(text, self.plain)
 
 
-def merger(tokenizer: Tokenizer, spec: dict) -> tuple[tiktoken.Encoding, bytes]:
+@lru_cache(2)
+def splitter(path: str) -> Splitter:
+    """Kept for the life of a Python worker."""
+    return Splitter(path)
+
+
+@lru_cache(2)
+def merger(path: str) -> tuple[tiktoken.Encoding, bytes]:
     """The same merges by rank on bytes, and the byte that ends a word, which UTF-8 doesn't use.
 
     A word's end is merged into its last byte first, since those tokens have lower ids than all merges."""
-    vocab, suffix = tokenizer.get_vocab(with_added_tokens=False), spec["model"].get("end_of_word_suffix") or ""
-    made = [vocab[x.replace(" ", "", 1) if isinstance(x, str) else "".join(x)] for x in spec["model"]["merges"]]
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)["model"]
+    vocab, suffix = spec["vocab"], spec.get("end_of_word_suffix") or ""
+    made = [vocab[x.replace(" ", "", 1) if isinstance(x, str) else "".join(x)] for x in spec["merges"]]
     if made != sorted(made) or len(vocab) - len(made) not in (256, 512):
         raise ValueError("ids that don't follow the order of merges aren't supported")
     to_byte = byte_alphabet()
@@ -97,8 +106,8 @@ class Encoder:
     """Ids of texts; parts met lately aren't encoded again."""
 
     def __init__(self, path: str, most: int = 150_000) -> None:
-        self.splitter = Splitter(path)
-        encoding, self.end = merger(self.splitter.tokenizer, self.splitter.spec)
+        self.splitter = splitter(path)
+        encoding, self.end = merger(path)
         self.merge = encoding._encode_single_piece
         self.as_bytes = [i.to_bytes(4, "little") for i in range(self.splitter.tokenizer.get_vocab_size())]
         self.part = Recent(self.of_part, most).__getitem__
@@ -126,4 +135,4 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-__all__ = ["Encoder", "Splitter", "byte_alphabet", "encoder"]
+__all__ = ["Encoder", "Splitter", "byte_alphabet", "encoder", "merger", "splitter"]

@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ledgerlight.llm import bpe_words, chat_format, jaccard_join, oracles, packing, passage_dedup, quality_rules, secret_scan, token_counts, toxicity, vector_dedup
 
@@ -31,9 +30,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = bpe_words.encode(table(spark, sf_dir, "documents"), WORD_BPE)
-    out = bpe_words.decode(ids, WORD_BPE, keep=("n_tokens", "ids"))
-    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+    return bpe_words.encode(table(spark, sf_dir, "documents"), WORD_BPE, digests=True)
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlight.llm.common import Recent, map_batches
-from ledgerlight.llm.pretokens import Splitter, merger
+from ledgerlight.llm.pretokens import merger, splitter
 
 _BROKEN = {"'r", "'v", "'l"}  # begun contractions split in two
 
@@ -28,8 +28,8 @@ class PrefixCounter:
     """Counts at every prefix for the byte-level vocabulary at ``path``."""
 
     def __init__(self, path: str) -> None:
-        self.splitter = Splitter(path)
-        encoding, end = merger(self.splitter.tokenizer, self.splitter.spec)
+        self.splitter = splitter(path)
+        encoding, end = merger(path)
         if end:
             raise ValueError("vocabularies with word ends aren't supported: a prefix of a word has another end")
         self.ids = encoding._mergeable_ranks
