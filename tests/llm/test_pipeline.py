@@ -6,6 +6,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline as c
 from ledgerlight.llm import packing
 from tests.llm.test_jaccard_join import brute as components
+from tests.llm.test_jaccard_join import corpus
 from tests.llm.test_quality_rules import brute as measures
 from tests.llm.test_secret_scan import brute as secrets
 
@@ -44,6 +45,18 @@ def test_each_stage_does_what_it_says(spark, tmp_path):
     assert c.run(spark, str(tmp_path)).count() == len(packed)
 
 
+def test_near_copies_share_four_fifths_of_their_five_word_shingles(spark, tmp_path):
+    rng = random.Random(6)
+    text = lambda n: " ".join("".join(rng.choice("abcdefghijklm") for _ in range(6)) for _ in range(n))
+    base = text(100)
+    rows = [(1, base), (2, f"{base} {text(18)}"), (3, f"{base} {text(30)}"), (4, text(100)), *((10 + d, t) for d, t in corpus(7) if d is not None)]
+    df = spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = sorted(r.doc_id for r in c.near_copies(spark, df, str(tmp_path)).collect())
+    groups = {(d, low) for d, _, low in components(rows, num=80, k=5)}
+    assert [d for d in got if d < 10] == [1, 3, 4]
+    assert set(got) == {d for d, _ in rows} - {int(d) for d, low in groups if d != low and (d, d) not in groups}
+
+
 def test_no_documents(spark, tmp_path):
     spark.createDataFrame([], "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
     assert c.run(spark, str(tmp_path)).count() == 0
