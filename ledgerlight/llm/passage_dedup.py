@@ -8,7 +8,8 @@
 3. The matches of a pair of documents are chained: ordered in both, with gap costs, by a Fenwick tree over the places
    in the first document that holds the best chain so far.
 4. Chains are aligned on the words themselves, between seeds and beyond the ends, and kept where they cover
-   ``least`` words or more of the later document with an identity of ``identity`` or more.
+   ``least`` words or more of the later document with an identity of ``identity`` or more. A chain below that identity
+   is split at the stretches that take it there, and each part is judged on its own.
 
 The first document keeps its passage; later ones have theirs as spans. A document is (id, text): rows that repeat both are
 one document and get the same spans. A null text has no words; rows with a null id come first in the order. Empty
@@ -131,24 +132,64 @@ def reach(a: np.ndarray, b: np.ndarray, drop: int = 6, price: int = 2) -> tuple[
     return best[1], best[2], best[3]
 
 
-def aligned(a: np.ndarray, b: np.ndarray, chain: list[tuple[int, int]], k: int) -> tuple[int, int, int, int, int]:
-    """(start, end, start there, end there, words in common) of a chain, grown as far as both go on alike."""
+def links(a: np.ndarray, b: np.ndarray, chain: list[tuple[int, int]], k: int) -> tuple[list[tuple[int, int]], list[int]]:
+    """Seeds of a chain that agree with each other, and the words in common that each adds to the one before."""
     # seeds may overlap: those off the diagonal of the last one that they overlap are left out
-    kept = [chain[0]]
+    kept, matches = [chain[0]], []
     for p, h in chain[1:]:
         q, g = kept[-1]
-        if p - q == h - g or (p >= q + k and h >= g + k):
-            kept.append((p, h))
-    (p, h), matches = kept[0], k
-    for (q, g), (x, y) in zip(kept, kept[1:], strict=False):
-        if x - q == y - g:
-            matches += min(x - q, k) + (int((a[q + k : x] == b[g + k : y]).sum()) if x > q + k else 0)
+        if p - q == h - g:
+            matches.append(min(p - q, k) + (int((a[q + k : p] == b[g + k : h]).sum()) if p > q + k else 0))
+        elif p >= q + k and h >= g + k:
+            matches.append(k + common_words(a[q + k : p], b[g + k : h]))
         else:
-            matches += k + common_words(a[q + k : x], b[g + k : y])
-    q, g = kept[-1]
-    left = reach(a[:p][::-1], b[:h][::-1])
-    right = reach(a[q + k :], b[g + k :])
-    return p - left[0], q + k + right[0], h - left[1], g + k + right[1], matches + left[2] + right[2]
+            continue
+        kept.append((p, h))
+    return kept, matches
+
+
+def grown(a: np.ndarray, b: np.ndarray, kept: list[tuple[int, int]], matches: list[int], k: int, price: int = 2) -> tuple[int, int, int, int, int]:
+    """(start, end, start there, end there, words in common) of linked seeds, grown as far as both go on alike."""
+    (p, h), (q, g) = kept[0], kept[-1]
+    left = reach(a[:p][::-1], b[:h][::-1], price=price)
+    right = reach(a[q + k :], b[g + k :], price=price)
+    return p - left[0], q + k + right[0], h - left[1], g + k + right[1], k + sum(matches) + left[2] + right[2]
+
+
+def aligned(a: np.ndarray, b: np.ndarray, chain: list[tuple[int, int]], k: int) -> tuple[int, int, int, int, int]:
+    """(start, end, start there, end there, words in common) of a whole chain, grown as far as both go on alike."""
+    return grown(a, b, *links(a, b, chain, k), k)
+
+
+def parts(a: np.ndarray, b: np.ndarray, chain: list[tuple[int, int]], k: int, least: int, identity: float) -> list[tuple[int, int, int, int, int]]:
+    """A chain as ``aligned`` gives it, where that is a passage; else the passages among its parts.
+
+    The longest stretch of seeds with the identity is judged first, then what is left on both sides of it."""
+    kept, matches = links(a, b, chain, k)
+    whole = grown(a, b, kept, matches, k)
+    if whole[4] >= identity * (whole[1] - whole[0]):
+        return [whole] if whole[1] - whole[0] >= least else []
+    at = np.array([p for p, _ in kept])
+    # words in common less those that the identity asks for, up to each seed
+    gain = np.concatenate([[0.0], np.cumsum(np.array(matches) - identity * np.diff(at))])
+    out, open_ranges = [], [(0, len(kept))]
+    while open_ranges:
+        lo, hi = open_ranges.pop()
+        if lo >= hi:
+            continue
+        # for each first seed, the last one up to which the identity holds
+        later = np.maximum.accumulate(gain[lo:hi][::-1])
+        last = hi - 1 - np.searchsorted(later, gain[lo:hi] - (1 - identity) * k - 1e-9)
+        i = lo + int((at[last] - at[lo:hi]).argmax())
+        j = int(last[i - lo])
+        for price in (2, 8):  # 8: up to the first word that differs
+            x = grown(a, b, kept[i : j + 1], matches[i:j], k, price)
+            if x[4] >= identity * (x[1] - x[0]):
+                if x[1] - x[0] >= least:
+                    out.append(x)
+                break
+        open_ranges += [(lo, i), (j + 1, hi)]
+    return out
 
 
 def seeds(docs: DataFrame, k: int, window: int) -> DataFrame:
@@ -213,17 +254,17 @@ def passages(df: DataFrame, *, k: int = 5, window: int = 12, least: int = 50, id
                     c = [(x["pos"], x["there"]) for x in c]
                     if any(s["start"] <= c[0][0] and c[-1][0] + k <= s["end"] for s in spans):
                         continue  # inside one that grew over it
-                    start, end, there, _, n = aligned(a, b, c, k)
-                    if end - start >= least and n >= identity * (end - start):
-                        spans.append({"start": start, "end": end, "first_id": first_id, "there": there, "matches": n})
+                    for start, end, there, _, n in parts(a, b, c, k, least, identity):
+                        if not any(s["start"] <= start and end <= s["end"] for s in spans):
+                            spans.append({"start": start, "end": end, "first_id": first_id, "there": there, "matches": n})
                 out.append(spans)
             return {"id": batch.column("id"), "th": batch.column("th"), "spans": out}
 
         return of
 
-    grown = map_batches(both.select("id", "th", "first_id", "chains", "text", "there_text"), align, f"id bigint, th bigint, spans {span}").where(F.size("spans") > 0)
+    found = map_batches(both.select("id", "th", "first_id", "chains", "text", "there_text"), align, f"id bigint, th bigint, spans {span}").where(F.size("spans") > 0)
     # no more spans for a document than it has words
-    return written(grown.groupBy("id", "th").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans")))
+    return written(found.groupBy("id", "th").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans")))
 
 
 def union_of(spans: str):

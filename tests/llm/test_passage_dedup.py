@@ -89,3 +89,23 @@ def test_texts_that_repeat_themselves(spark):
     rows = [(1, "one short loop " + "ab cd ef " * 3), (2, f"x y z {loop}"), (3, f"{loop} other words follow"), (4, "no loop here at all")]
     got = {r.doc_id: r.dup_words for r in p.repeated_passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert got[1] == got[2] == got[4] == 0 and 115 <= got[3] <= 122
+
+
+def test_chains_below_the_identity_are_split(spark):
+    rng = random.Random(4)
+    text = lambda n: ["".join(rng.choice("abcdefghijk") for _ in range(6)) for _ in range(n)]
+    head, foot, stray = text(60), text(60), text(16)
+    rows = [(1, head + text(100) + foot), (2, text(7) + head + text(100) + foot + text(9)), (3, head + text(40) + stray), (4, head[:40] + text(12) + head[40:] + text(45) + stray)]
+    rows += [(5, text(30) + stray), (6, text(300) + stray + text(35) + stray[::-1]), (7, text(20) + stray + text(35) + stray[::-1])]
+    got = {r.doc_id: [tuple(map(int, x.split(":"))) for x in r.passages.split(",") if x] for r in p.repeated_passages(spark.createDataFrame([(d, " ".join(w)) for d, w in rows], "doc_id bigint, text string")).collect()}
+    assert got == {1: [], 2: [(7, 67, 1), (167, 227, 1)], 3: [(0, 60, 1)], 4: [(0, 72, 1)], 5: [], 6: [], 7: []}
+
+
+def test_parts_are_the_longest_with_the_identity():
+    a, b = np.arange(1000, dtype=np.uint64), np.arange(1000, dtype=np.uint64)
+    seeds = [(x, x) for x in (0, 20, 40, 52, 75, 95, 300, 305, 340, 600)]
+    b[57:69] += np.uint64(5000)  # 12 words between stretches of 57 and 100
+    b[110:297] += np.uint64(5000)
+    b[350:] += np.uint64(5000)
+    b[600:605] -= np.uint64(5000)
+    assert sorted(p.parts(a, b, seeds, 5, 50, 0.8)) == [(0, 110, 0, 110, 98), (297, 350, 297, 350, 53)]
