@@ -3,7 +3,8 @@
 1. Words are hashed (A-Z as a-z), runs of ``k`` words are k-mers, and winnowing keeps the least k-mer of every
    ``window``, so that equal stretches of window + k - 1 words share a seed wherever they stand.
 2. Each seed that two documents hold links its occurrences to the first document that has it (smallest id), never
-   all to each other: as many matches as occurrences. The first document comes from an aggregation with partial
+   all to each other: as many matches as occurrences. The n-th occurrence within a text goes with the n-th there; one beyond those
+   that the first document has goes with its first occurrence too, so at most two matches each. The first document comes from an aggregation with partial
    minima, and the join back to it is one that Spark can split where a seed is hot.
 3. The matches of a pair of documents are chained: ordered in both, with gap costs, by a Fenwick tree over the places
    in the first document that holds the best chain so far.
@@ -42,19 +43,20 @@ def winnowed(kmers: np.ndarray, window: int) -> np.ndarray:
     return at[np.concatenate([[True], at[1:] != at[:-1]])]
 
 
-def numbered(seeds: np.ndarray) -> np.ndarray:
+def numbered(seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Seeds that a text holds more than once, told apart by their number: the second occurrence here goes with the second there.
+    And whether each is such a later occurrence.
 
     So a text that repeats itself matches another one along its whole length, with no more matches than seeds."""
     order = np.argsort(seeds, kind="stable")
     x = seeds[order]
     new = np.concatenate([[True], x[1:] != x[:-1]]) if len(x) else np.array([], bool)
     if new.all():
-        return seeds
+        return seeds, np.zeros(len(seeds), bool)
     at = np.arange(len(x))
     number = np.empty(len(x), np.uint64)
     number[order] = at - np.maximum.accumulate(np.where(new, at, 0))
-    return np.where(number > 0, mixed(seeds + number * np.uint64(0x9E3779B97F4A7C15)), seeds)
+    return np.where(number > 0, mixed(seeds + number * np.uint64(0x9E3779B97F4A7C15)), seeds), number > 0
 
 
 def chains(places: list[tuple[int, int]]) -> list[list[tuple[int, int]]]:
@@ -193,24 +195,29 @@ def parts(a: np.ndarray, b: np.ndarray, chain: list[tuple[int, int]], k: int, le
 
 
 def seeds(docs: DataFrame, k: int, window: int) -> DataFrame:
-    """(seed, id, th, pos)"""
-    schema = arrow_schema("seed bigint, id bigint, th bigint, pos int")
+    """(seed, id, th, pos, plain): plain is the seed without its number, on later occurrences within a text only."""
+    ddl = "seed bigint, id bigint, th bigint, pos int, plain bigint"
+    schema = arrow_schema(ddl)
 
     def run(batches):
         for batch in batches:
             found, n = [np.array([], np.uint64)], []
+            plain, later = [np.array([], np.uint64)], [np.array([], bool)]
             places = [np.array([], np.int64)]
             for text in batch.column(2).to_pylist():
                 words = word_hashes(text)
                 kmers = shingle_hashes(words, k) if len(words) >= k else words[:0]
                 at = winnowed(kmers, window)
-                found.append(numbered(kmers[at]))
+                own, again = numbered(kmers[at])
+                found.append(own)
+                plain.append(kmers[at])
+                later.append(again)
                 places.append(at)
                 n.append(len(at))
             row = np.repeat(np.arange(len(n)), n)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array(np.concatenate(places).astype(np.int32))], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array(np.concatenate(places).astype(np.int32)), pa.array(np.concatenate(plain).view(np.int64), mask=~np.concatenate(later))], schema=schema)
 
-    return docs.select("id", "th", "text").mapInArrow(run, "seed bigint, id bigint, th bigint, pos int")
+    return docs.select("id", "th", "text").mapInArrow(run, ddl)
 
 
 def passages(df: DataFrame, *, k: int = 5, window: int = 12, least: int = 50, identity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -218,10 +225,13 @@ def passages(df: DataFrame, *, k: int = 5, window: int = 12, least: int = 50, id
     docs = df.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID)).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text")).where("text is not null")
     rows = seeds(docs, k, window)
     first = written(rows.groupBy("seed").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("seed", F.col("lo").alias("first_id")))
-    shared = written(rows.join(first, "seed"))
+    shared = written(rows.join(first, "seed", "left").where("first_id is not null or plain is not null"))
     # where that document holds the seed first
-    there = written(shared.where("id = first_id").groupBy("seed").agg(F.min(F.struct("pos", "th")).alias("x")).select("seed", F.col("x.pos").alias("there"), F.col("x.th").alias("first_th")))
-    matches = shared.where("id <> first_id").join(there, "seed")
+    there = written(shared.where("id = first_id").groupBy("seed").agg(F.min(F.struct("pos", "th")).alias("x"), F.first("first_id").alias("first_id")).select("seed", "first_id", F.col("x.pos").alias("there"), F.col("x.th").alias("first_th")))
+    # occurrences beyond those that the first document of the seed has go with its first one as well
+    own = shared.where("id <> first_id").select("seed", "id", "th", "pos", F.lit(None).cast("bigint").alias("other"))
+    beyond = shared.where("plain is not null").select(F.col("plain").alias("seed"), "id", "th", "pos", F.col("first_id").alias("other"))
+    matches = own.union(beyond).join(there, "seed").where("id <> first_id and (other is null or other <> first_id)")
     pairs = matches.groupBy("id", "th", "first_id", "first_th").agg(F.collect_list(F.struct("pos", "there")).alias("places")).where(F.size("places") > 1)
     ddl = "id bigint, th bigint, first_id bigint, first_th bigint, chains array<array<struct<pos:int,there:int>>>"
     of_pair = ("id", "th", "first_id", "first_th")

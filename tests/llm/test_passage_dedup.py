@@ -109,3 +109,12 @@ def test_parts_are_the_longest_with_the_identity():
     b[350:] += np.uint64(5000)
     b[600:605] -= np.uint64(5000)
     assert sorted(p.parts(a, b, seeds, 5, 50, 0.8)) == [(0, 110, 0, 110, 98), (297, 350, 297, 350, 53)]
+
+
+def test_copies_beyond_those_of_the_first_document_are_found(spark):
+    rng = random.Random(5)
+    text = lambda n: ["".join(rng.choice("abcdefghijk") for _ in range(6)) for _ in range(n)]
+    passage = text(60)
+    rows = [(1, text(10) + passage + text(10)), (2, text(20) + passage + text(150) + passage + text(5)), (3, passage + text(200) + passage + text(170) + passage), (4, text(9) + passage), (5, text(20) + (twice := text(60)) + text(90) + twice)]
+    got = {r.doc_id: {tuple(map(int, x.split(":")[:2])) for x in r.passages.split(",") if x} for r in p.repeated_passages(spark.createDataFrame([(d, " ".join(w)) for d, w in rows], "doc_id bigint, text string")).collect()}
+    assert got == {1: set(), 2: {(20, 80), (230, 290)}, 3: {(0, 60), (260, 320), (490, 550)}, 4: {(9, 69)}, 5: set()}
