@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from ledgerlight import config
 from ledgerlight.functions import scalar as S
 
+#: Actions up to which a catalogue is broadcast.
+BROADCAST = 10_000
+
 
 def weight() -> Column:
     return F.coalesce(F.create_map(*[F.lit(x) for kv in config.WEIGHTS.items() for x in kv])[F.col("severity")], F.lit(0))
@@ -136,7 +139,8 @@ def facets(case: DataFrame, *columns: str) -> DataFrame:
 def allowed_actions(catalogue: DataFrame, case: DataFrame, role: str) -> DataFrame:
     """Actions that a role may take on a case: by role, least score, and evidence the case has."""
     rows = catalogue.where(F.array_contains("roles", role))
-    return case.join(F.broadcast(rows.limit(10_000)), (F.col("score") >= F.col("min_score")) & ((F.size("evidence") == 0) | F.arrays_overlap("rules", "evidence"))).select("case_id", "action")
+    few = rows.limit(BROADCAST + 1).count() <= BROADCAST
+    return case.join(F.broadcast(rows) if few else rows, (F.col("score") >= F.col("min_score")) & ((F.size("evidence") == 0) | F.arrays_overlap("rules", "evidence"))).select("case_id", "action")
 
 
 def unsupported_numbers(text: str, facts: str) -> Column:

@@ -127,3 +127,11 @@ def test_cases_fold_and_score(spark):
     assert {r.entity_id: r.score for r in shuffled.collect()} == {k: r.score for k, r in got.items()}
     all_, notes = analysis.findings(analysis.Corpus(w), TODAY)
     assert notes["P-SEQ-01"] == "no payments" and all_.count() >= f.count()
+
+
+def test_allowed_actions_of_a_long_catalogue(spark):
+    case = spark.createDataFrame([("F-1", 50, ["P-SEQ-01"]), ("F-2", 10, ["A-COST-01"])], "case_id string, score int, rules array<string>")
+    for n in (3, 10_003):
+        catalogue = spark.range(n).selectExpr("concat('act ', id) as action", "array('district') as roles", "20 as min_score", "if(id % 2 = 0, array(), array('P-SEQ-02')) as evidence")
+        got = cases.allowed_actions(catalogue, case, "district").collect()
+        assert {r.action for r in got} == {f"act {i}" for i in range(0, n, 2)} and {r.case_id for r in got} == {"F-1"} and len(got) == (n + 1) // 2
