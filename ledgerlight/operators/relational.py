@@ -13,8 +13,9 @@ def first_of(df: DataFrame, keys, *order) -> DataFrame:
 
 
 def payment_rollup(payments: DataFrame) -> DataFrame:
-    """Total, number, last date and last status of each work's payments."""
-    return payments.groupBy("work_id").agg(F.sum("amount").alias("total_paid"), F.count(F.lit(1)).alias("payment_count"), F.max("paid_on").alias("last_payment_date"), F.max_by("status", F.struct("paid_on", "seq")).alias("payment_status"))
+    """Total, number, last date and last status of each work's payments; the last by date, then number, then amount, then status."""
+    last = F.max_by("status", F.struct("paid_on", "seq", "amount", "status"))
+    return payments.groupBy("work_id").agg(F.sum("amount").alias("total_paid"), F.count(F.lit(1)).alias("payment_count"), F.max("paid_on").alias("last_payment_date"), last.alias("payment_status"))
 
 
 def primary_vendor(payments: DataFrame) -> DataFrame:
@@ -31,7 +32,7 @@ def main_agency(payments: DataFrame) -> DataFrame:
 
 def works_from_reports(recommended: DataFrame, sanctioned: DataFrame, completed: DataFrame, payments: DataFrame) -> DataFrame:
     """Recommended works with what the other reports know, each reduced to one row a work before it is joined."""
-    one = lambda df, order: first_of(df, ["work_id"], order)
+    one = lambda df, order: first_of(df, ["work_id"], order, *df.columns)
     return (
         recommended.join(one(sanctioned.select("work_id", "sanction_date", "sanctioned_amount"), "sanction_date"), "work_id", "left")
         .join(one(completed.select("work_id", "completion_date"), "completion_date"), "work_id", "left")

@@ -71,7 +71,7 @@ def paid_works(spark, sf):
     return demo.works(spark, sf).join(relational.payment_rollup(demo.payments(spark, sf)), "work_id", "left")
 
 
-PAID_SQL = f"{WORKS_SQL}, {PAYMENTS_SQL}, rollup0 as (select work_id, sum(amount) as total_paid, count(*) as payment_count, max(paid_on) as last_payment_date, max_by(status, (paid_on, seq)) as payment_status from payments group by work_id), paid as (select works.*, total_paid, payment_count from works left join rollup0 using (work_id))"
+PAID_SQL = f"{WORKS_SQL}, {PAYMENTS_SQL}, rollup0 as (select work_id, sum(amount) as total_paid, count(*) as payment_count, max(paid_on) as last_payment_date, max_by(status, (paid_on, seq, amount, status)) as payment_status from payments group by work_id), paid as (select works.*, total_paid, payment_count from works left join rollup0 using (work_id))"
 
 
 @query("a_peer_01", f"""with {PAID_SQL}, big as (select state, category, era from works group by all having count(*) >= 30),
