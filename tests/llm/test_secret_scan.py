@@ -51,3 +51,65 @@ def test_base_spans_and_added_strings(spark):
     assert s.digest(s.scan(df.limit(0))).count() == 0
     clean = dict(scanned.select("doc_id", s.masked(scanned).alias("t")).where("doc_id >= 1000").collect())
     assert clean[1004] == "é🙂 [SECRET] é [SECRET]" and clean[1006] == ""
+
+
+def brute_added(token, ratios, least=16.0, drop=10.0, mean=0.6, length=16):
+    """Spans in one run of candidate characters, by the definition."""
+    read = token.lower() if re.fullmatch("[A-Z/_=+-]+", token) else token
+    x = [s.ALPHABET.index(c) for c in read]
+    out, begin, total, best, end = set(), 0, 0.0, 0.0, 0
+
+    def close():
+        if best >= least and best >= mean * (end - begin - 1):
+            left = len(re.search("[A-Za-z0-9]*$", token[:begin])[0])
+            right = len(re.match("[A-Za-z0-9]*=*", token[end:])[0])
+            if end + right - begin + left >= length:
+                out.add((begin - left, end + right))
+
+    for i, (a, b) in enumerate(zip(x, x[1:])):
+        r = ratios[a * len(s.ALPHABET) + b]
+        if total + r <= 0 or best - total - r > drop:
+            close()
+            begin, total, best, end = i + 1, 0.0, 0.0, i + 1
+            continue
+        total += r
+        if total > best:
+            best, end = total, i + 2
+    close()
+    return out
+
+
+def test_planted_strings_are_found_among_identifiers_whatever_their_share(spark):
+    rng = random.Random(7)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    some = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
+    secrets = [lambda: some(letters, 24), lambda: some(letters, 32), lambda: some(letters + "+/", 39) + "=", lambda: some(letters + "-_", 32), lambda: f"files/{some(letters, 28)}/index", lambda: f"live_{some(letters, 28)}", lambda: some("abcdefghijklmnopqrstuvwxyz0123456789", 30)]
+    nouns = "river mountain forest castle bridge garden teacher hospital music winter yellow silver kitchen hammer pocket butter pepper engine".split()
+    w = lambda: rng.choice(nouns)
+    plain = [lambda: "_".join(w() for _ in range(4)), lambda: w() + "".join(w().title() for _ in range(3)), lambda: "/".join(w() for _ in range(4)), lambda: f"{w()}-{w()}-2021-0{rng.randrange(1, 9)}-17", lambda: f"{w()}/{w()}/{rng.randrange(3000)}/{w()}-{w()}", lambda: str(rng.randrange(10**17, 10**18)), lambda: "_".join(w().upper() for _ in range(4)), lambda: f"{w()}{w()}{w()}{w()}"]
+    for share in (0.02, 0.5):  # the models don't learn from what they are to find
+        rows = []
+        for i in range(1200):
+            bad = rng.random() < share
+            rows.append((i, bad, f"so {rng.choice(secrets if bad else plain)()} it is"))
+        df = spark.createDataFrame(rows, "doc_id bigint, bad boolean, text string")
+        ratios = s.train(s.samples(df))
+        got = {r.doc_id: [(x.start, x.end) for x in r.spans] for r in s.scan(df).collect()}
+        found = [bool(got[i]) for i, bad, _ in rows if bad]
+        wrong = [bool(got[i]) for i, bad, _ in rows if not bad]
+        assert sum(found) >= 0.95 * len(found) and sum(wrong) <= 0.01 * len(wrong)
+        for i, _, t in rows[:300]:
+            token = t.split()[1]
+            if not brute(t):
+                assert set(got[i]) == ({(a + 3, b + 3) for a, b in brute_added(token, ratios)} if len(token) >= 16 else set())
+
+
+def test_labelled_strings_may_be_given_and_long_texts_keep_their_places(spark):
+    labelled = s.samples(spark.createDataFrame([], "text string"))
+    rng = random.Random(8)
+    parts = [rng.choice(["ok", f"secret={rng.randrange(10**9, 10**10)}", "é🙂", "a" * 30]) for _ in range(3000)]
+    text = " ".join(parts)
+    r = s.scan(spark.createDataFrame([(1, text)], "doc_id int, text string"), labelled=labelled).collect()[0]
+    assert [(x.start, x.kind, x.end) for x in r.base] == brute(text)
+    scanned = s.scan(spark.createDataFrame([(1, text)], "doc_id int, text string"), labelled=labelled)
+    assert scanned.select(s.masked(scanned)).first()[0] == " ".join("[SECRET]" if p[:2] in ("se", "aa") else p for p in parts)
