@@ -1,11 +1,16 @@
-"""BPE encoding and decoding over a table of distinct words.
+"""BPE encoding and decoding over the distinct words of the corpus.
 
-Texts are split into words in Spark; the corpus' words are counted into one table in which each distinct word is
-encoded once. The ids of the most common words, ``frequent`` at most, go to all tasks as sorted arrays of about 32 bytes a
-word, a bound that doesn't grow with the corpus. Where the table has more words than that, a document's other words are
-joined with the table on the word, and come back to the document as one small map, for which each text is shuffled
-once; the ids then stand where the words stand. Where it hasn't, nothing but the table is shuffled. Decoding joins ids with the id-to-piece table, which has a row for each entry
-of the vocabulary and is broadcast.
+1. Each task goes through its rows in blocks of about ``block_chars`` characters, splits texts into words, and gives
+   each distinct word of a block once: (word, block).
+2. These rows are shuffled by word and sorted, so that all rows of a word stand together: it is encoded once, and its ids
+   go back to every block that holds it.
+3. Texts meet their block's words in a second shuffle by block. In its partition a block's words come first and
+   its texts after them, and ids take the places of the words they belong to.
+
+Nothing is collected or broadcast but the vocabulary, and a task holds the words of one block at a time, however large the
+corpus is. A word has no more rows than there are blocks, so no key is hot. Blocks follow the order in which the input is
+read; a word that is missing, because rows came in another order the second time, is encoded where it stands, so results never depend on it.
+Decoding joins ids with the id-to-piece table, which has a row for each entry of the vocabulary and is broadcast.
 
 Nulls: a null text is empty: no ids, an empty decoded text. Empty tables give empty results; rows repeat as they
 do in the input; other columns are ignored, whatever their names.
@@ -14,216 +19,175 @@ do in the input; other columns are ignored, whatever their names.
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
+from collections import defaultdict
+from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from ledgerlight.llm.common import arrow_schema, map_batches, trim, written
+from ledgerlight.llm.common import arrow_schema, map_batches, trim
 from ledgerlight.llm.pretokens import encoder, splitter
 
-#: Words whose ids are given to every task: 130 MB or so at most.
-FREQUENT = 1 << 22
+#: Texts and replies that are handled at a time.
+TEXTS, REPLIES = 500, 200_000
+
 
+def in_blocks(batches: Iterator[pa.RecordBatch], text_at: int, block_chars: int) -> Iterator[tuple[int, pa.RecordBatch, list]]:
+    """(block, rows, texts) of a task: rows in the order they come, a new block after so many characters."""
+    first, chars = TaskContext.get().partitionId() << 32, 0
+    for batch in batches:
+        for at in range(0, batch.num_rows, TEXTS):
+            rows = batch.slice(at, TEXTS)
+            texts = rows.column(text_at).to_pylist()
+            ends = chars + np.cumsum([len(t or "") for t in texts])
+            block = np.concatenate([[chars], ends[:-1]]) // block_chars
+            cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(texts)]
+            for a, b in zip(cuts, cuts[1:]):
+                yield first + int(block[a]), rows.slice(a, b - a), texts[a:b]
+            chars = int(ends[-1])
 
-def distinct_words(df: DataFrame, path: str, text_col: str = "text") -> DataFrame:
-    """(word, n): the corpus' words and their counts; counted in each task first."""
-    schema = arrow_schema("word string, n bigint")
-    most = 100_000
+
+def words_of_blocks(docs: DataFrame, path: str, block_chars: int) -> DataFrame:
+    """(word, block): the distinct words of each block."""
+    ddl = "word string, block bigint"
+    schema = arrow_schema(ddl)
 
     def run(batches):
-        cut, parts, seen = splitter(path), Counter(), Counter()
+        cut = splitter(path)
+        block, parts, words = -1, set(), set()
 
         def rows():
-            for part, n in parts.items():
-                if isinstance(part, str):
-                    for word in cut.split(part):
-                        seen[word] += n
+            words.update(chain.from_iterable(cut.split(p) for p in parts if isinstance(p, str)))
+            out = pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(np.full(len(words), block, np.int64))], schema=schema)
             parts.clear()
-            out = pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], schema=schema)
-            seen.clear()
+            words.clear()
             return out
 
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
+        for b, _, texts in in_blocks(batches, 0, block_chars):
+            if b != block and parts:
+                yield rows()
+            block = b
+            for text in texts:
                 if text:
                     parts.update(cut.all_parts(text))
-            if len(parts) > most:
-                yield rows()
         if parts:
             yield rows()
-        del parts, seen
+        del parts, words
         trim()
 
-    return df.select(text_col).mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-
+    return docs.select("text").mapInArrow(run, ddl)
 
-def encoded_words(words: DataFrame, path: str) -> DataFrame:
-    """(word, n, ids): each distinct word is encoded here, and only here."""
 
-    def make():
-        of_word = encoder(path).of_part
+def encoded_words(pairs: DataFrame, path: str, width: str) -> DataFrame:
+    """(block, words, ids): each distinct word is encoded here, once, and given to all blocks that hold it."""
+    ddl = "block bigint, words array<string>, ids array<binary>"
+    schema = arrow_schema(ddl)
 
-        def of(batch):
-            return {"word": batch.column(0), "n": batch.column(1), "ids": list(map(of_word, batch.column(0).to_pylist()))}
+    def run(batches):
+        of_part = encoder(path).of_part
+        last, ids = None, b""
+        words, found, n = defaultdict(list), defaultdict(list), 0
 
-        return of
+        def rows():
+            out = pa.RecordBatch.from_arrays([pa.array(words.keys(), pa.int64()), pa.array(words.values(), schema.field("words").type), pa.array(found.values(), schema.field("ids").type)], schema=schema)
+            words.clear()
+            found.clear()
+            return out
 
-    return map_batches(words.select("word", "n"), make, "word string, n bigint, ids binary")
-
-
-class Known:
-    """Ids of words in sorted arrays, looked up by 128-bit hash."""
-
-    def __init__(self, high: np.ndarray, low: np.ndarray, starts: np.ndarray, ends: np.ndarray, ids: bytes) -> None:
-        """ids: little-endian unsigned 16-bit; starts and ends: bytes in it, for each word in the order of hashes."""
-        self.high, self.low, self.starts, self.ends, self.ids = high, low, starts, ends, ids
-
-    @staticmethod
-    def hash(word: str) -> bytes:
-        return xxhash.xxh3_128_digest(word.encode("utf-8", "surrogatepass"))
-
-    @staticmethod
-    def of(rows) -> Known:
-        """From (hashes, lengths, ids) of parts of the table, taken one by one; ids stay where they come."""
-        hashes, lengths, ids = bytearray(), bytearray(), bytearray()
-        for h, n, x in rows:
-            hashes += h
-            lengths += n
-            ids += x
-        h, ends = np.frombuffer(hashes, ">u8").reshape(-1, 2), np.cumsum(np.frombuffer(lengths, "<u2"), dtype=np.uint32) * np.uint32(2)
-        order = np.lexsort((h[:, 1], h[:, 0]))
-        starts = ends - np.frombuffer(lengths, "<u2").astype(np.uint32) * np.uint32(2)
-        return Known(h[order, 0].astype(np.uint64), h[order, 1].astype(np.uint64), starts[order], ends[order], bytes(ids))
-
-    def get(self, words: list[str]) -> dict[str, bytes | None]:
-        """Ids as little-endian unsigned 16-bit integers; None for words not in the table."""
-        if not words or not len(self.high):
-            return dict.fromkeys(words)
-        h = np.frombuffer(b"".join(map(self.hash, words)), ">u8").reshape(-1, 2)
-        high, low = h[:, 0].astype(np.uint64), h[:, 1].astype(np.uint64)
-        at = np.minimum(self.high.searchsorted(high), len(self.high) - 1)
-        for _ in range(4):  # words that share the first half of their hash stand side by side
-            on = np.minimum(at + 1, len(self.high) - 1)
-            at = np.where((self.high[at] == high) & (self.low[at] != low) & (self.high[on] == high), on, at)
-        found = (self.high[at] == high) & (self.low[at] == low)
-        starts, ends, ids = self.starts[at].tolist(), self.ends[at].tolist(), self.ids
-        return {w: ids[a:b] if ok else None for w, ok, a, b in zip(words, found.tolist(), starts, ends, strict=True)}
-
-
-def common_words(table: DataFrame, frequent: int) -> Known:
-    """The words that occur at least so often that there are ``frequent`` of them at most."""
-    left, least = frequent, None
-    for r in table.groupBy("n").agg(F.count(F.lit(1)).alias("k")).orderBy(F.desc("n")).toLocalIterator():
-        left -= r.k
-        if left < 0:
-            break
-        least = r.n
-    if least is None:
-        return Known.of([])
-    schema = arrow_schema("hashes binary, lengths binary, ids binary")
-
-    def packed(batches):
         for batch in batches:
-            ids = [np.frombuffer(x, "<u4").astype("<u2") for x in batch.column(1).to_pylist()]
-            if any(len(x) > 0xFFFF for x in ids):
-                raise ValueError("a word of more than 65535 tokens can't be among the frequent ones")
-            yield pa.RecordBatch.from_pydict({"hashes": [b"".join(map(Known.hash, batch.column(0).to_pylist()))], "lengths": [np.array([len(x) for x in ids], "<u2").tobytes()], "ids": [b"".join(x.tobytes() for x in ids)]}, schema=schema)
-
-    return Known.of(table.where((F.col("n") >= least) & (F.length("ids") < 4 * 0xFFFF)).select("word", "ids").mapInArrow(packed, "hashes binary, lengths binary, ids binary").toLocalIterator())
-
+            for word, block in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if word != last:
+                    last, ids = word, np.frombuffer(of_part(word), "<u4").astype(width).tobytes()
+                words[block].append(word)
+                found[block].append(ids)
+            n += batch.num_rows
+            if n >= REPLIES:
+                yield rows()
+                n = 0
+        if words:
+            yield rows()
+        trim()
 
-def rare_maps(docs: DataFrame, rare_words, table: DataFrame) -> DataFrame:
-    """(key, rare): the ids of each document's words that aren't common."""
-    rare = docs.select("key", "text").mapInArrow(rare_words, "key bigint, word string").distinct()
-    return written(rare.join(table.select("word", "ids"), "word").groupBy("key").agg(F.collect_list(F.struct("word", "ids")).alias("rare")))
+    return pairs.repartition("word").sortWithinPartitions("word").mapInArrow(run, ddl)
 
 
-def encode(df: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT, digests: bool = False) -> DataFrame:
+def encode(df: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", block_chars: int = 4_000_000, digests: bool = False) -> DataFrame:
     """(id_col, n_tokens, ids): ids of each row's whole text, as little-endian unsigned 32-bit integers in one binary value.
 
     With ``digests``, (id_col, n_tokens, ids_sha256, decoded_sha256) instead: the round trip, without moving ids and texts."""
-    if Tokenizer.from_file(path).get_vocab_size() > 65_536:
-        raise ValueError("ids of more than 16 bits aren't supported")
+    width = "<u2" if Tokenizer.from_file(path).get_vocab_size() <= 65_536 else "<u4"
+    size = np.dtype(width).itemsize
     kind = df.schema[id_col].dataType.simpleString()
-    table = written(encoded_words(distinct_words(df, path, text_col), path))
-    common = df.sparkSession.sparkContext.broadcast(common_words(table, frequent))
-
-    class Coder:
-        """Ids of the parts of texts; None for parts with words that aren't common."""
-
-        def __init__(self) -> None:
-            self.splitter, self.parts, self.words = splitter(path), {}, {}
-
-        def learn(self, lists: list[list]) -> None:
-            parts, words, split = self.parts, self.words, self.splitter.split
-            if len(parts) > 150_000:
-                parts.clear()
-                words.clear()
-            new = set().union(*lists).difference(parts)
-            pieces = {p: split(p) for p in new if isinstance(p, str)}
-            words.update(common.value.get(list(set(chain.from_iterable(pieces.values())).difference(words))))
-            for p in new:
-                ids = [words[w] for w in pieces[p]] if isinstance(p, str) else [p.to_bytes(2, "little")]
-                parts[p] = None if None in ids else b"".join(ids)
-
-        def lists(self, texts: list[str | None]):
-            """For some texts at a time: (first, their parts)."""
-            for at in range(0, len(texts), 500):
-                lists = [self.splitter.all_parts(t or "") for t in texts[at : at + 500]]
-                self.learn(lists)
-                yield at, lists
-
-        def rare(self, parts: list) -> set[str]:
-            return {w for p in {p for p in parts if self.parts[p] is None} for w in self.splitter.split(p) if self.words[w] is None}
-
-        def ids(self, parts: list, own: dict[str, bytes]) -> bytes:
-            ids = list(map(self.parts.__getitem__, parts))
-            if own:
-                words = self.words
-                ids = [b"".join([own[w] if (i := words[w]) is None else i for w in self.splitter.split(p)]) if x is None else x for p, x in zip(parts, ids, strict=True)]
-            return np.frombuffer(b"".join(ids), "<u2").astype("<u4").tobytes()
-
-    # rows alike in id and text share a key, and then their words
-    docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"))
-
-    def rare_words(batches):
-        coder, schema = Coder(), pa.schema([("key", pa.int64()), ("word", pa.string())])
+    docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    replies = encoded_words(words_of_blocks(docs, path, block_chars), path, width)
+    schema = arrow_schema(f"block bigint, kind int, id {kind}, text string")
+
+    def numbered(batches):
+        for block, rows, _ in in_blocks(batches, 1, block_chars):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(rows.num_rows, block, np.int64)), pa.array(np.ones(rows.num_rows, np.int32)), rows.column(0), rows.column(1).cast(pa.string())], schema=schema)
+
+    texts = docs.mapInArrow(numbered, f"block bigint, kind int, id {kind}, text string")
+    both = texts.withColumns({"words": F.lit(None).cast("array<string>"), "ids": F.lit(None).cast("array<binary>")}).unionByName(replies.withColumn("kind", F.lit(0)), allowMissingColumns=True)
+    met = both.select("block", "kind", "id", "text", "words", "ids").repartition("block").sortWithinPartitions("block", "kind")
+    pieces = pieces_by_id(df.sparkSession, path) if digests else None
+    out_ddl = f"`{id_col}` {kind}, n_tokens bigint, " + ("ids_sha256 string, decoded_sha256 string" if digests else "ids binary")
+    out_schema = arrow_schema(out_ddl)
+
+    def placed(batches):
+        cut, of_part = splitter(path), encoder(path).of_part
+        known: dict[str, bytes] = {}
+        parts: dict[str | int, tuple[bytes, bytes]] = {}
+        block = None
+
+        def of_word(word) -> bytes:
+            ids = known.get(word)
+            return np.frombuffer(of_part(word), "<u4").astype(width).tobytes() if ids is None else ids
+
+        def learn(part) -> None:
+            ids = b"".join(map(of_word, cut.split(part))) if isinstance(part, str) else part.to_bytes(size, "little")
+            parts[part] = ids, decoded(np.frombuffer(ids, width), pieces.value) if digests else b""
+
+        def answer(ids: pa.Array, texts: list) -> pa.RecordBatch:
+            found, back = [], []
+            for text in texts:
+                own = cut.all_parts(text or "")
+                for p in set(own).difference(parts):
+                    learn(p)
+                own = [parts[p] for p in own]
+                found.append(np.frombuffer(b"".join([x for x, _ in own]), width).astype("<u4").tobytes())
+                if digests:
+                    back.append(hashlib.sha256(b" ".join([x for _, x in own if x])).hexdigest())
+            cols = [ids, pa.array([len(x) // 4 for x in found], pa.int64())]
+            cols += [pa.array([hashlib.sha256(x).hexdigest() for x in found]), pa.array(back, pa.string())] if digests else [pa.array(found, pa.binary())]
+            return pa.RecordBatch.from_arrays(cols, schema=out_schema)
+
         for batch in batches:
-            keys = batch.column(0).to_pylist()
-            found = [(keys[at + i], w) for at, lists in coder.lists(batch.column(1).to_pylist()) for i, parts in enumerate(lists) for w in coder.rare(parts)]
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found, strict=True), schema, strict=True)], schema=schema)
-        del coder
+            blocks, kinds = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            cuts = np.flatnonzero((blocks[1:] != blocks[:-1]) | (kinds[1:] != kinds[:-1])) + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
+                if a == b:
+                    continue
+                if blocks[a] != block:
+                    block = blocks[a]
+                    known.clear()
+                    parts.clear()
+                rows = batch.slice(a, b - a)
+                if kinds[a] == 0:
+                    for words, ids in zip(rows.column(4), rows.column(5), strict=True):
+                        known.update(zip(words.values.to_pylist(), ids.values.to_pylist(), strict=True))
+                    continue
+                for at in range(0, rows.num_rows, TEXTS):
+                    some = rows.slice(at, TEXTS)
+                    yield answer(some.column(2), some.column(3).to_pylist())
+        del known, parts
         trim()
 
-    maps = None
-    if table.count() > frequent or not table.where(F.length("ids") >= 4 * 0xFFFF).isEmpty():
-        maps = rare_maps(docs, rare_words, table)
-
-    joined, pieces = maps is not None, pieces_by_id(df.sparkSession, path) if digests else None
-
-    def make():
-        coder = Coder()
-
-        def of(batch):
-            rare, out = batch.column("rare").to_pylist() if joined else [None] * batch.num_rows, []
-            for at, lists in coder.lists(batch.column("text").to_pylist()):
-                out += [coder.ids(parts, {r["word"]: np.frombuffer(r["ids"], "<u4").astype("<u2").tobytes() for r in rare[at + i] or ()}) for i, parts in enumerate(lists)]
-            found = {id_col: batch.column("id"), "n_tokens": [len(x) // 4 for x in out]}
-            if pieces is None:
-                return found | {"ids": pa.array(out, pa.binary())}
-            return found | {"ids_sha256": [hashlib.sha256(x).hexdigest() for x in out], "decoded_sha256": [hashlib.sha256(decoded(x, pieces.value)).hexdigest() for x in out]}
-
-        return of
-
-    with_maps = docs.join(maps, "key", "left").select("id", "text", "rare") if maps is not None else docs.select("id", "text")
-    return map_batches(with_maps, make, f"`{id_col}` {kind}, n_tokens bigint, " + ("ids binary" if pieces is None else "ids_sha256 string, decoded_sha256 string"))
+    return met.mapInArrow(placed, out_ddl)
 
 
 def piece_table(spark, path: str) -> DataFrame:
@@ -239,9 +203,9 @@ def pieces_by_id(spark, path: str):
     return spark.sparkContext.broadcast([rows.get(i) for i in range(max(rows) + 1)])
 
 
-def decoded(ids: bytes, pieces: list[bytes]) -> bytes:
+def decoded(ids: np.ndarray, pieces: list[bytes]) -> bytes:
     """The text of ids in UTF-8, as the library joins pieces for a tokenizer without decoder, special tokens kept."""
-    return b" ".join(map(pieces.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+    return b" ".join(map(pieces.__getitem__, ids.tolist()))
 
 
 def decode(df: DataFrame, path: str, *, id_col: str = "doc_id", ids_col: str = "ids", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -254,7 +218,7 @@ def decode(df: DataFrame, path: str, *, id_col: str = "doc_id", ids_col: str = "
         table = pieces.value
 
         def of(batch):
-            return {c: batch.column(c) for c in cols} | {"decoded": [None if x is None else decoded(x, table).decode() for x in batch.column(ids_col).to_pylist()]}
+            return {c: batch.column(c) for c in cols} | {"decoded": [None if x is None else decoded(np.frombuffer(x, "<u4"), table).decode() for x in batch.column(ids_col).to_pylist()]}
 
         return of
 

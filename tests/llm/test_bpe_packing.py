@@ -4,6 +4,7 @@ import zlib
 from collections import defaultdict
 
 import public_tokenizers
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from ledgerlight.llm import bpe_words, packing, token_counts
@@ -22,13 +23,31 @@ def test_encode_and_decode_like_the_library(spark):
     rows = [(i, t) for i, t in enumerate(texts(300, 5, 40))] + [(300, None), (301, ""), (302, " ".join(f"w{rng.randrange(9000)}" for _ in range(30_000))), (7, "again"), (7, "again"), (None, "no id")]
     theirs = Tokenizer.from_file(PATH)
     want = sorted(((d if d is not None else -1), (e := theirs.encode(t or "", add_special_tokens=False)).ids, theirs.decode(e.ids, skip_special_tokens=False)) for d, t in rows)
-    for frequent in (5, 65_536):
-        ids = bpe_words.encode(frame(spark, rows), PATH, frequent=frequent)
+    for block_chars in (3000, 4_000_000):
+        ids = bpe_words.encode(frame(spark, rows), PATH, block_chars=block_chars)
         got = bpe_words.decode(ids, PATH, keep=("n_tokens", "ids")).collect()
         assert sorted((r.doc_id if r.doc_id is not None else -1, list(struct.unpack(f"<{r.n_tokens}I", r.ids)), r.decoded) for r in got) == want
     assert bpe_words.encode(frame(spark, []), PATH).count() == 0
 
 
+def test_each_distinct_word_is_encoded_once_and_goes_to_its_blocks(spark):
+    rows = [(i, t) for i, t in enumerate(texts(200, 6, 30))]
+    docs = frame(spark, rows).select("text").coalesce(1)
+    pairs = bpe_words.words_of_blocks(docs, PATH, 2000).cache()
+    assert pairs.count() == pairs.distinct().count() and pairs.select("block").distinct().count() > 3
+    back = {(r.block, w): bytes(x) for r in bpe_words.encoded_words(pairs, PATH, "<u4").collect() for w, x in zip(r.words, r.ids)}
+    assert set(back) == {(r.block, r.word) for r in pairs.collect()}
+    assert all(len({x for (_, w), x in back.items() if w == word}) == 1 for word in {w for _, w in back})
+
+
+def test_rows_in_another_order_the_second_time_get_the_same_ids(spark):
+    rows = [(i, t) for i, t in enumerate(texts(200, 8, 30))]
+    theirs = Tokenizer.from_file(PATH)
+    shuffled = frame(spark, rows).orderBy(F.rand())  # another order each time it is read
+    got = {r.doc_id: list(struct.unpack(f"<{r.n_tokens}I", r.ids)) for r in bpe_words.encode(shuffled, PATH, block_chars=2000).collect()}
+    assert got == {d: theirs.encode(t, add_special_tokens=False).ids for d, t in rows}
+
+
 def test_packing_is_whole_and_tight(spark):
     rng = random.Random(4)
     rows = [(i, " ".join(rng.choice(["alpha", "beta", "gamma"]) for _ in range(rng.choice([0, 3, 40, 90, 250, 700])))) for i in range(400)] + [(None, None), (1, "a"), (1, "a")]
