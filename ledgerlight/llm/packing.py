@@ -4,7 +4,8 @@ Documents are encoded, cut into pieces of at most ``size`` tokens only where the
 cells of about ``per_cell`` pieces. Each cell is evolved by several islands; after each epoch the best packing of
 an island moves to the next one (elite migration), and the best of all is taken in the end. A packing is a grouping:
 crossover injects whole well-filled bins of one parent into the other, drops the bins that now hold a piece twice,
-and best-fits the displaced pieces. The emptiest bins of each cell (filled below ``full``, at most ``tail``) are
+and best-fits the displaced pieces. Evolution starts from best fits in several orders and runs in every cell; in cells that
+reach the lower bound it still gathers room in few bins, which the next level takes apart. The emptiest bins of each cell (filled below ``full``, at most ``tail``) are
 taken apart and dealt into fewer cells, level by level until one is left, so that the cuts between cells cost
 almost nothing. No task ever holds more than a cell.
 
@@ -28,89 +29,96 @@ from ledgerlight.llm.common import arrow_schema, map_batches, written
 from ledgerlight.llm.pretokens import encoder
 
 Bins = list[list[int]]
+#: Bins, and how much each holds.
+Packing = tuple[Bins, list[int]]
 
 
-def best_fit(items: list[int], lengths: list[int], size: int, bins: Bins | None = None) -> Bins:
-    """Puts items, longest first, where the least room is left; opens a bin where none has room."""
-    bins = [list(b) for b in bins or ()]
-    room = sorted((size - sum(lengths[i] for i in b), k) for k, b in enumerate(bins))
-    for i in sorted(items, key=lambda i: (-lengths[i], i)):
-        at = bisect_left(room, (lengths[i], -1))
+def placed(items: list[int], lengths: list[int], size: int, start: Packing = ((), ())) -> Packing:
+    """Puts items, in the order given, where the least room is left; opens a bin where none has room. start stays as it is."""
+    bins, fills = list(start[0]), list(start[1])
+    room = sorted((size - f, k) for k, f in enumerate(fills))
+    for i in items:
+        n = lengths[i]
+        at = bisect_left(room, (n, -1))
         if at == len(room):
             bins.append([i])
-            left, k = size - lengths[i], len(bins) - 1
+            fills.append(n)
+            insort(room, (size - n, len(bins) - 1))
         else:
             left, k = room.pop(at)
-            bins[k].append(i)
-            left -= lengths[i]
-        insort(room, (left, k))
-    return bins
+            bins[k] = [*bins[k], i]
+            fills[k] += n
+            insort(room, (left - n, k))
+    return bins, fills
+
+
+def longest_first(items: list[int], lengths: list[int]) -> list[int]:
+    return sorted(items, key=lambda i: (-lengths[i], i))
 
 
-def fitness(bins: Bins, lengths: list[int], size: int) -> tuple[int, float]:
+def best_fit(items: list[int], lengths: list[int], size: int) -> Bins:
+    """Best fit of the longest first: one of the packings that evolution starts from."""
+    return placed(longest_first(items, lengths), lengths, size)[0]
+
+
+def fitness(p: Packing, size: int) -> tuple[int, float]:
     """Fewer bins, then bins filled more unevenly: room gathered in one bin is room that can be used."""
-    return len(bins), -sum((sum(lengths[i] for i in b) / size) ** 2 for b in bins)
-
-
-def crossed(a: Bins, b: Bins, lengths: list[int], size: int, rng: random.Random) -> Bins:
-    """Injects well-filled bins of b into a."""
-    full = sorted(b, key=lambda x: -sum(lengths[i] for i in x))
-    take = full[: max(1, len(full) // 2)]
-    start = rng.randrange(len(take))
-    take = take[start : start + max(1, rng.randrange(1, len(take) + 1))]
-    inside = {i for x in take for i in x}
-    kept, displaced = [], []
-    for x in a:
+    return len(p[0]), -sum((f / size) ** 2 for f in p[1])
+
+
+def crossed(a: Packing, b: Packing, lengths: list[int], size: int, rng: random.Random, most: int) -> Packing:
+    """Injects up to ``most`` of b's better-filled bins into a; bins of a that now hold an item twice go, and what they held besides is best-fitted."""
+    full = sorted(range(len(b[0])), key=lambda k: -b[1][k])[: max(1, len(b[0]) // 2)]
+    take = rng.sample(full, min(len(full), rng.randrange(1, most + 1)))
+    inside = {i for k in take for i in b[0][k]}
+    bins, fills, displaced = [b[0][k] for k in take], [b[1][k] for k in take], []
+    for x, f in zip(*a, strict=True):
         if inside.isdisjoint(x):
-            kept.append(x)
+            bins.append(x)
+            fills.append(f)
         else:
             displaced += [i for i in x if i not in inside]
-    return best_fit(displaced, lengths, size, kept + take)
+    return placed(longest_first(displaced, lengths), lengths, size, (bins, fills))
 
 
-def mutated(a: Bins, lengths: list[int], size: int, rng: random.Random) -> Bins:
-    """Takes some bins apart, the emptiest among them."""
-    order = sorted(range(len(a)), key=lambda k: sum(lengths[i] for i in a[k]))
-    out = set(order[:1] + rng.sample(range(len(a)), min(len(a), 3)))
-    items = [i for k in out for i in a[k]]
+def mutated(a: Packing, lengths: list[int], size: int, rng: random.Random) -> Packing:
+    """Takes some bins apart, the emptiest among them, and fits what they held in a random order, to leave the path of the longest first."""
+    n = len(a[0])
+    out = {min(range(n), key=a[1].__getitem__), *rng.sample(range(n), min(n, 3))}
+    items = [i for k in out for i in a[0][k]]
     rng.shuffle(items)
-    rest = [x for k, x in enumerate(a) if k not in out]
-    room = [size - sum(lengths[i] for i in x) for x in rest]
-    # first fit in a random order, to leave the path of best fit
-    for i in items:
-        k = next((k for k in rng.sample(range(len(rest)), min(len(rest), 40)) if room[k] >= lengths[i]), None)
-        if k is None:
-            rest = [*rest, [i]]
-            room.append(size - lengths[i])
-        else:
-            rest[k] = [*rest[k], i]
-            room[k] -= lengths[i]
-    return rest
+    keep = [k for k in range(n) if k not in out]
+    return placed(items, lengths, size, ([a[0][k] for k in keep], [a[1][k] for k in keep]))
 
 
-def evolve(lengths: list[int], size: int, seed: int, elite: Bins | None, *, population: int = 6, generations: int = 12) -> Bins:
-    """One epoch of one island; stops early at the lower bound."""
+def evolve(lengths: list[int], size: int, seed: int, elite: Bins | None, *, population: int = 6, generations: int = 10, most_generations: int = 60) -> Bins:
+    """One epoch of one island: ``generations`` at least, then on until the lower bound is reached, ``most_generations`` at most."""
     rng = random.Random(seed)
     whole = [[i] for i, x in enumerate(lengths) if x >= size]
     items = [i for i, x in enumerate(lengths) if x < size]
-    least = -(-sum(lengths[i] for i in items) // size)
     if not items:
         return whole
-    rank = lambda b: fitness(b, lengths, size)
-    people = [elite] if elite else []
-    people.append(best_fit(items, lengths, size))
-    if len(min(people, key=rank)) > least:
-        while len(people) < population:
-            people.append(mutated(people[0], lengths, size, rng))
-        for _ in range(generations):
-            people.sort(key=rank)
-            if len(people[0]) <= least:
-                break
-            child = crossed(*rng.sample(people, 2), lengths, size, rng)
-            if rng.random() < 0.5:
-                child = mutated(child, lengths, size, rng)
-            people = [*people[: population - 1], child]
-    return whole + min(people, key=rank)
+    least = -(-sum(lengths[i] for i in items) // size)
+    rank = lambda p: fitness(p, size)
+    if elite:
+        kept = [b for b in elite if lengths[b[0]] < size]
+        people = [(kept, [sum(lengths[i] for i in b) for b in kept])]
+    else:
+        people = [placed(longest_first(items, lengths), lengths, size)]
+    # another order: nearly the longest first
+    people.append(placed(sorted(items, key=lambda i: -lengths[i] * rng.uniform(0.8, 1.2)), lengths, size))
+    while len(people) < population:
+        people.append(mutated(people[0], lengths, size, rng))
+    people.sort(key=rank)
+    for k in range(most_generations):
+        if k >= generations and len(people[0][0]) <= least:
+            break
+        a, b = rng.sample(people[: max(2, population // 2 + 1)], 2)
+        child = crossed(a, b, lengths, size, rng, max(1, min(4, len(a[0]) // 8)))
+        if rng.random() < 0.5:
+            child = mutated(child, lengths, size, rng)
+        people = sorted([*people[: population - 1], child], key=rank)
+    return whole + people[0][0]
 
 
 def pieces(df: DataFrame, path: str, *, size: int = 4096, end: int | None = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

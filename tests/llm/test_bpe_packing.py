@@ -74,16 +74,34 @@ def test_packing_is_whole_and_tight(spark):
     assert packing.pack(packing.pieces_written(frame(spark, []), PATH)).count() == 0
 
 
-def test_genetic_steps_beat_a_poor_packing():
+def test_evolution_beats_best_fit_where_that_is_not_the_best():
+    for seed in range(4):
+        rng, size = random.Random(seed), 1000
+        lengths = []
+        for _ in range(40):  # three that fill a bin
+            a = rng.randrange(380, 490)
+            b = rng.randrange(250, (size - a) // 2)
+            lengths += [a, b, size - a - b]
+        items = list(range(len(lengths)))
+        rng.shuffle(lengths)
+        first = packing.best_fit(items, lengths, size)
+        best = None
+        for epoch in range(3):
+            best = packing.evolve(lengths, size, seed * 10 + epoch, best, generations=10, most_generations=100)
+            assert sorted(i for b in best for i in b) == items and all(sum(lengths[i] for i in b) <= size for b in best)
+        assert len(first) >= 46 and len(best) <= len(first) - 3
+
+
+def test_crossover_keeps_whole_bins_and_every_item():
     rng = random.Random(1)
     lengths = [rng.randrange(20, 60) for _ in range(120)]
-    first = packing.best_fit(list(range(120)), lengths, 100)
-    best = packing.evolve(lengths, 100, 1, None, generations=60)
-    assert sorted(i for b in best for i in b) == list(range(120))
-    assert all(sum(lengths[i] for i in b) <= 100 for b in best)
-    assert packing.fitness(best, lengths, 100) <= packing.fitness(first, lengths, 100)
-    child = packing.crossed(first, best, lengths, 100, rng)
-    assert sorted(i for b in child for i in b) == list(range(120))
+    a = packing.placed(list(range(120)), lengths, 100)
+    b = packing.placed(packing.longest_first(list(range(120)), lengths), lengths, 100)
+    before = [list(x) for x in a[0]], [list(x) for x in b[0]]
+    child = packing.crossed(a, b, lengths, 100, rng, 3)
+    assert sorted(i for x in child[0] for i in x) == list(range(120)) and child[1] == [sum(lengths[i] for i in x) for x in child[0]] and max(child[1]) <= 100
+    assert any(x in b[0] for x in child[0]) and (a[0], b[0]) == before
+    assert packing.evolve([100, 100, 3], 100, 1, None) == [[0], [1], [2]] and packing.evolve([], 100, 1, None) == []
 
 
 def test_counts_with_prefixes_and_budgets(spark):
