@@ -1,17 +1,21 @@
-"""Chat formatting: roles of turns by a hidden Markov model, then one canonical form.
+"""Chat formatting: transcripts are parsed into turns, a hidden Markov model recovers their roles, then one canonical form.
 
-Hidden states are the roles. A turn's observations are its speaker marker (a leading ``User:``, ``### Assistant``, ``<|system|>`` and
-the like) and features of its lines: whether it opens the conversation, its length, its line count, a question mark, code
-or lists, and a leading instruction word. Start, transition and emission tables are learned by counting on labelled
-turns of the training fold; Viterbi then finds the likeliest roles of each whole conversation, and turns are rendered
-with the role, without the marker.
+A row's text may hold one turn or a whole transcript. It is cut at lines that open with a speaker marker (``User:``,
+``### Assistant``, ``<|im_start|>system``, ``[TOOL]``, ``**Bot:**`` and the like), but not inside code fences or quotes. Hidden states are
+the roles. A part's observations are whom its marker names, if it has one, and features of its lines: its length, its line
+count, a question mark, code or lists, a leading instruction word, and whether it opens the conversation. Start, transition and
+emission tables are learned by counting on labelled rows of one part in the training folds; a marker names its own role by a prior of
+``trust`` counts, which labelled markers add to, so that markers are understood where no labelled row has any. Viterbi then finds the likeliest roles of
+each whole conversation. A marker inside a row whose part has the role of the part before it is no marker but text, and stays;
+others are left out, and turns are rendered with the role.
 
 A conversation may be of any length: it is cut into blocks, a block is reduced to a matrix of best scores from each
 state to each state (max-plus products), blocks are joined level by level in the same way, and the path goes down again, so
 no task ever holds more than a block, and the result is the same as one pass over the whole.
 
-Nulls: turns with a null conversation are conversations of one turn each; a null turn comes first; a null text is
-empty; null and unknown roles don't train. Repeated rows are turns of their own, in the order of (turn, text). Empty tables give empty results.
+Nulls: turns with a null conversation are conversations of one row each; a null turn comes first; a null text is
+empty; null and unknown roles don't train. Rows of one turn number are in the order of a hash of their text, then by role; repeated
+rows are turns of their own. Turns that aren't whole numbers come first, in their own order. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -26,29 +30,43 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlight.llm.common import arrow_schema, map_batches, written
+from ledgerlight.llm.common import arrow_schema, drop, written
 
 ROLES = ("system", "user", "assistant", "tool")
-MARKER = re.compile(r"^\s*(?:#{1,4}\s*|<\|?(?:im_start\|>)?\s*|\[|\*\*)?(system|user|human|customer|question|q|prompt|instruction|assistant|ai|bot|gpt|model|agent|answer|a|response|tool|function|observation)\s*(?:\|?>|\]|\*\*)?\s*(?::\*\*|:|\n|\|?>)\s*", re.I)
 #: What markers say; fixed values.
 SPEAKERS = {"system": 0, "user": 1, "human": 1, "customer": 1, "question": 1, "q": 1, "prompt": 1, "instruction": 1, "assistant": 2, "ai": 2, "bot": 2, "gpt": 2, "model": 2, "agent": 2, "answer": 2, "a": 2, "response": 2, "tool": 3, "function": 3, "observation": 3}
-#: Sizes of the features: marker (none or a role), opening, length, lines, question, block, instruction.
-SIZES = (5, 2, 8, 4, 2, 2, 2)
-
-
-def features(text: str, opening: bool) -> tuple[int, ...]:
-    m = MARKER.match(text)
-    body = text[m.end() :] if m else text
-    lines = body.count("\n")
-    return (
-        SPEAKERS[m[1].lower()] + 1 if m else 0,
-        int(opening),
-        min(7, max(0, len(body).bit_length() - 3)),
+_WHO = "(?:" + "|".join(SPEAKERS) + ")"
+#: A marker at the start of a text may be a bare line; further on it has to be set off.
+MARKER = re.compile(rf"\s*(?:#{{1,4}}\s*|<\|?(?:im_start\|>)?\s*|\[|\*\*)?({_WHO})\s*(?:\|?>|\]|\*\*)?\s*(?::\*\*|:|\n|\|?>)\s*", re.I)
+LATER = re.compile(rf"^[ \t]*(?:#{{1,4}}[ \t]*{_WHO}[ \t]*:?[ \t]*$|<\|im_start\|>[ \t]*{_WHO}\b|<\|?{_WHO}\|?>|\[{_WHO}\]:?|\*\*{_WHO}:?\*\*:?|{_WHO}[ \t]*:)\s*", re.I | re.M)
+FENCE = re.compile(r"^[ \t]*```", re.M)
+CLOSED = re.compile(r"\s*<\|(?:im_end|end|eot_id|endoftext)\|>\s*$")
+NAMED = re.compile(_WHO, re.I)
+#: Sizes of the features: whom the marker names (none or a role), length, lines, question, block, instruction, opening.
+SIZES = (5, 8, 4, 2, 2, 2, 2)
+
+
+def parts(text: str) -> list[tuple[str, str]]:
+    """(marker, body) of each turn in a text, in order; joined, they are the text again."""
+    fences = [m.start() for m in FENCE.finditer(text)]
+    cuts = [(m.start(), m.end()) for m in LATER.finditer(text) if m.start() and sum(f < m.start() for f in fences) % 2 == 0]
+    first = MARKER.match(text)
+    spans = [(0, first.end() if first else 0), *((a, b) for a, b in cuts if a >= (first.end() if first else 0))]
+    return [(text[a:b], text[b:end]) for (a, b), end in zip(spans, [*(a for a, _ in spans[1:]), len(text)], strict=True)]
+
+
+def features(marker: str, body: str) -> list[int]:
+    """All but the last of SIZES."""
+    lines = body.strip().count("\n")
+    who = NAMED.search(marker.replace("im_start", ""))
+    return [
+        SPEAKERS[who[0].lower()] + 1 if who else 0,
+        min(7, max(0, len(body.strip()).bit_length() - 3)),
         min(3, lines.bit_length()),
         int(body.rstrip().endswith("?")),
         int("```" in body or bool(re.search(r"(?m)^\s*(?:[-*]|\d+\.) ", body))),
         int(bool(re.match(r"(?i)\s*(?:you are|you're|act as|always|never|follow)\b", body))),
-    )
+    ]
 
 
 @dataclass
@@ -68,48 +86,58 @@ class Model:
         return np.column_stack([roles, np.full(len(roles), -math.inf)])
 
 
-def turns_of(df: DataFrame, conv_col: str, turn_col: str, text_col: str, keep: list[str]) -> DataFrame:
-    """Rows with their place in the conversation (from 0), and a row number of their own."""
-    rows = df.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *[F.col(c).alias(f"k_{c}") for c in keep])
+def rows_of(df: DataFrame, conv_col: str, turn_col: str, role_col: str, text_col: str) -> DataFrame:
+    """Rows with the conversation they belong to and what orders them."""
+    rows = df.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), F.col(role_col).cast("string").alias("given"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     # a null conversation falls apart by row
-    return rows.withColumn("group", F.when(F.col("conv").isNull(), F.concat(F.lit("n"), F.uuid())).otherwise(F.concat(F.lit("c"), F.col("conv").cast("string"))))
+    group = F.when(F.col("conv").isNull(), F.concat(F.lit("n"), F.uuid())).otherwise(F.concat(F.lit("c"), F.col("conv").cast("string")))
+    return rows.withColumns({"group": group, "rh": F.xxhash64("text"), "seq": F.monotonically_increasing_id()})
 
 
-def placed(turns: DataFrame, per_block: int) -> DataFrame:
-    """Adds place and block, without bringing a conversation into one task: turns are counted in ranges of turn numbers first."""
-    step = F.floor(F.coalesce(F.col("turn").cast("bigint"), F.lit(-1)) / per_block)
-    cut = turns.withColumn("range", step)
-    sizes = written(cut.groupBy("group", "range").agg(F.count(F.lit(1)).alias("n")))
-    before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("group").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
-    inner = Window.partitionBy("group", "range").orderBy(F.col("turn").asc_nulls_first(), "text")
-    out = cut.withColumn("inner", F.row_number().over(inner) - 1).join(written(before), ["group", "range"])
-    return out.withColumn("place", F.col("before") + F.col("inner")).withColumn("block", F.floor(F.col("place") / per_block)).drop("range", "inner", "before")
-
-
-def observed(turns: DataFrame) -> DataFrame:
-    """Adds obs, the features of each turn; text loses its marker."""
-    names = turns.columns
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in turns.schema) + ", obs array<int>"
+def parsed(rows: DataFrame) -> DataFrame:
+    """One row for each part, numbered from 0, with its marker and features; text is the body. only: its row has no other part."""
+    keep = [c for c in rows.columns if c != "text"]
+    ddl = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep) + ", part int, only boolean, marker string, text string, seen array<int>"
+    schema = arrow_schema(ddl)
 
-    def make():
-        def of(batch):
-            texts = batch.column("text").to_pylist()
-            obs = [list(features(t, p == 0)) for t, p in zip(texts, batch.column("place").to_pylist(), strict=True)]
-            return {n: batch.column(n) for n in names} | {"obs": obs, "text": [t[m.end() :] if (m := MARKER.match(t)) else t for t in texts]}
-
-        return of
+    def run(batches):
+        for batch in batches:
+            found = [parts(t) for t in batch.column("text").to_pylist()]
+            at = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]))
+            flat = [p for x in found for p in x]
+            cols = [batch.column(c).take(at) for c in keep] + [[k for x in found for k in range(len(x))], [len(x) == 1 for x in found for _ in x], [m for m, _ in flat], [CLOSED.sub("", t) for _, t in flat], [features(m, t) for m, t in flat]]
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
-    return map_batches(turns, make, ddl)
+    return rows.select(*keep, "text").mapInArrow(run, ddl)
 
 
-def train(turns: DataFrame, role_col: str, smooth: float = 0.5) -> Model:
-    """Counts over all labelled turns given; the tables have a fixed size."""
+def placed(turns: DataFrame, per_block: int) -> DataFrame:
+    """Adds place (from 0 in the conversation), block and obs, without bringing a conversation, or the rows of one turn number, into
+    one task: cells of a turn number and a part of the hashes are counted first, within ranges of turn numbers."""
+    number = F.col("turn").try_cast("bigint") if dict(turns.dtypes)["turn"] == "string" else F.col("turn").cast("bigint")
+    slot = F.when(number.isNotNull() | F.col("turn").isNull(), F.shiftrightunsigned("rh", 56)).otherwise(F.lit(0).cast("bigint"))
+    cut = turns.withColumns({"t": F.coalesce(number, F.lit(-(2**62))), "slot": slot}).withColumn("range", F.floor(F.col("t") / per_block))
+    before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cells = written(cut.groupBy("group", "range", "t", "slot").agg(F.count(F.lit(1)).alias("n")))
+    ranges = cells.groupBy("group", "range").agg(F.sum("n").alias("n")).withColumn("range_before", before(Window.partitionBy("group").orderBy("range"))).drop("n")
+    cells = cells.withColumn("cell_before", before(Window.partitionBy("group", "range").orderBy("t", "slot"))).drop("n")
+    inner = F.row_number().over(Window.partitionBy("group", "range", "t", "slot").orderBy(F.col("turn").asc_nulls_first(), "rh", F.col("given").asc_nulls_first(), "seq", "part")) - 1
+    out = cut.withColumn("inner", inner).join(cells, ["group", "range", "t", "slot"]).join(ranges, ["group", "range"])
+    place = F.col("range_before") + F.col("cell_before") + F.col("inner")
+    out = out.withColumn("place", place.cast("bigint")).withColumn("block", F.floor(F.col("place") / per_block))
+    obs = F.concat("seen", F.array((F.col("place") == 0).cast("int")))
+    return out.withColumn("obs", obs).drop("t", "slot", "range", "inner", "cell_before", "range_before", "rh", "seen")
+
+
+def train(turns: DataFrame, smooth: float = 0.5, trust: float = 20.0, pooled: float = 5.0) -> Model:
+    """Counts over all labelled rows of one part; the tables have a fixed size. trust: counts by which a marker names its own role;
+    pooled: counts that each role takes over from all roles together, so that a role seldom met looks like any other."""
     r, s = len(ROLES), smooth
-    role = F.array_position(F.array(*map(F.lit, ROLES)), F.lower(F.col(role_col))).cast("int") - 1
-    known = turns.select("group", "place", "obs", role.alias("role"))
-    known = written(known.where("role >= 0"))
+    role = F.array_position(F.array(*map(F.lit, ROLES)), F.lower("given")).cast("int") - 1
+    known = written(turns.where("only").select("group", "place", "obs", role.alias("role")).where("role >= 0"))
     start, step = np.full(r, s), np.full((r, r), s)
     emit = [np.full((r, n), s) for n in SIZES]
+    emit[0][:, 1:] += trust * np.eye(r)
     for x in known.where("place = 0").groupBy("role").count().collect():
         start[x.role] += x["count"]
     nxt = known.select("group", (F.col("place") - 1).alias("place"), F.col("role").alias("next"))
@@ -117,8 +145,11 @@ def train(turns: DataFrame, role_col: str, smooth: float = 0.5) -> Model:
         step[x.role, x.next] += x["count"]
     for x in known.select("role", F.posexplode("obs").alias("k", "v")).groupBy("role", "k", "v").count().collect():
         emit[x.k][x.role, x.v] += x["count"]
+    drop(known)
     log = lambda a: np.log(a / a.sum(-1, keepdims=True))
-    return Model(log(start), log(step), [log(e) for e in emit])
+    emit = [e if k == 0 else e + pooled * e.sum(0) / e.sum() for k, e in enumerate(emit)]
+    # whether there is a marker says nothing of the role; whom it names does
+    return Model(log(start), log(step), [np.column_stack([np.zeros(r), log(emit[0][:, 1:])]), *map(log, emit[1:])])
 
 
 def best_path(steps: np.ndarray, scores: np.ndarray, before: int, last: int | None = None) -> list[int]:
@@ -213,16 +244,18 @@ def recovered(turns: DataFrame, model: Model, per_block: int) -> DataFrame:
 
 
 def chat_turns(df: DataFrame, *, folds: int = 5, per_block: int = 512, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """(conv_col, turn_col, held_out, given_role, role, rendered), one row for each row.
+    """(conv_col, turn_col, part, held_out, given_role, role, rendered): one row for each turn found, part numbering those of one row from 0.
 
     Conversations with crc32(conv) mod folds = 0 are held out: given_role isn't learned from there. Where the role is
     the same as in the turn before, rendered goes on with the turn instead of opening a new one."""
-    rows = written(turns_of(df, conv_col, turn_col, text_col, [role_col]))
-    turns = written(observed(placed(rows, per_block)).withColumn("held_out", F.coalesce(F.crc32(F.col("conv").cast("string").cast("binary")) % folds == 0, F.lit(False))))
-    model = train(turns.where("not held_out"), f"k_{role_col}")
+    rows = written(rows_of(df, conv_col, turn_col, role_col, text_col))
+    turns = written(placed(parsed(rows), per_block).withColumn("held_out", F.coalesce(F.crc32(F.col("conv").cast("string").cast("binary")) % folds == 0, F.lit(False))))
+    drop(rows)
+    model = train(turns.where("not held_out"))
     roles = written(recovered(turns.select("group", "place", "block", "obs"), model, per_block))
-    before = roles.select("group", (F.col("place") + 1).alias("place"), F.col("role").alias("before"))
-    out = turns.join(roles, ["group", "place"]).join(before, ["group", "place"], "left")
-    body = F.concat(F.trim("text"), F.lit("\n<|end|>"))
-    rendered = F.when(F.col("before").eqNullSafe(F.col("role")), body).otherwise(F.concat(F.lit("<|"), "role", F.lit("|>\n"), body))
-    return out.select(F.col("conv").alias(conv_col), F.col("turn").alias(turn_col), "held_out", F.col(f"k_{role_col}").alias("given_role"), F.col("role").alias("role"), rendered.alias("rendered"))
+    near = lambda by, name: roles.select("group", (F.col("place") + by).alias("place"), F.col("role").alias(name))
+    out = turns.join(roles, ["group", "place"]).join(near(1, "before"), ["group", "place"], "left").join(near(-1, "after"), ["group", "place"], "left")
+    goes_on, ends = F.col("before").eqNullSafe(F.col("role")), ~F.col("after").eqNullSafe(F.col("role"))
+    text = F.regexp_replace(F.when(goes_on & (F.col("part") > 0), F.concat("marker", "text")).otherwise(F.col("text")), r"^\s+|\s+$", "")
+    rendered = F.concat(F.when(goes_on, "").otherwise(F.concat(F.lit("<|"), "role", F.lit("|>\n"))), text, F.when(ends, "\n<|end|>").otherwise(""))
+    return out.select(F.col("conv").alias(conv_col), F.col("turn").alias(turn_col), "part", "held_out", F.col("given").alias("given_role"), F.col("role").alias("role"), rendered.alias("rendered"))

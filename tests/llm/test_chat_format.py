@@ -2,6 +2,7 @@ import random
 from itertools import product
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from ledgerlight.llm import chat_format as c
 
@@ -38,6 +39,51 @@ def rows(seed, convs=80):
     return out
 
 
+def best_of_all(m, obs):
+    scores = m.scores(np.array(obs))
+    return max(product(range(4), repeat=len(obs)), key=lambda p: m.start[p[0]] + sum(m.step[a, b] for a, b in zip(p, p[1:])) + sum(scores[i, k] for i, k in enumerate(p)))
+
+
+def test_transcripts_are_cut_at_markers_only():
+    texts = {
+        "User: how are you?\nAssistant: I am well.\nUser: good.": [2, 3, 2],
+        "<|im_start|>system\nBe brief.<|im_end|>\n<|im_start|>user\nhi<|im_end|>": [1, 2],
+        "no marker\nat all": [0],
+        "### Assistant:\nlook:\n```\nUser: not me\n```\n> User: nor me\n[USER] yes": [3, 2],
+        "**Bot:** hi\n**User:** and you?": [3, 2],
+        "the user: of a thing": [0],
+        "": [0],
+    }
+    for text, who in texts.items():
+        found = c.parts(text)
+        assert [c.features(*x)[0] for x in found] == who and "".join(a + b for a, b in found) == text
+
+
+def test_whole_transcripts_against_all_paths(spark):
+    rng = random.Random(4)
+    said = {"system": "You are brief.", "user": "what is this?", "assistant": "It is a long story. " * 6}
+    data = [(i, t, r, said[r]) for i in range(60) for t, r in enumerate((["system"] if i % 3 == 0 else []) + ["user", "assistant"] * rng.randrange(1, 3))]
+    names = {"user": ["User: ", "**Human:** ", "[USER] "], "assistant": ["Assistant: ", "### Bot:\n", "AI: "], "system": ["System: "]}
+    for i in range(100, 160):  # one row holds it all, now and then without a marker
+        turns = ["user", "assistant"] * rng.randrange(1, 3)
+        data.append((i, 0, None, "\n".join((rng.choice(names[r]) if k == 0 or rng.random() < 0.9 else "") + said[r] for k, r in enumerate(turns))))
+    data.append((200, 0, None, "User: how are you?\nAssistant: I am well.\nAnswer: 42\nUser: good."))
+    df = spark.createDataFrame(data, "conv_id bigint, turn bigint, role string, text string")
+    turns = c.placed(c.parsed(c.rows_of(df, "conv_id", "turn", "role", "text")), 4).withColumn("fold", F.crc32(F.col("conv").cast("string").cast("binary")) % 5)
+    model_of = c.train(turns.where("fold <> 0"))
+    got = {}
+    for r in c.chat_turns(df, per_block=4).collect():
+        got.setdefault(r.conv_id, []).append(r)
+    for conv in got:
+        cut = [p for row in sorted(x for x in data if x[0] == conv) for p in c.parts(row[3])]
+        obs = [[*c.features(*p), int(k == 0)] for k, p in enumerate(cut)]
+        rows = sorted(got[conv], key=lambda r: (r.turn, r.part))
+        assert [r.role for r in rows] == [c.ROLES[k] for k in best_of_all(model_of, obs)]
+    last = sorted(got[200], key=lambda r: r.part)
+    assert [r.role for r in last] == ["user", "assistant", "assistant", "user"]
+    assert "".join(r.rendered + "|" for r in last) == "<|user|>\nhow are you?\n<|end|>|<|assistant|>\nI am well.|Answer: 42\n<|end|>|<|user|>\ngood.\n<|end|>|"
+
+
 def test_roles_are_recovered_in_blocks_of_any_size(spark):
     data = rows(3)
     data += [(900, t, "user" if t % 2 == 0 else "assistant", "User: hm?" if t % 2 == 0 else "Because. " * 40) for t in range(300)]
@@ -46,7 +92,7 @@ def test_roles_are_recovered_in_blocks_of_any_size(spark):
     answers = []
     for per_block in (4, 512):
         got = c.chat_turns(df, per_block=per_block).collect()
-        assert len(got) == len(data)
+        assert sum(r.part == 0 for r in got) == len(data)
         answers.append(sorted(map(str, got)))
     assert answers[0] == answers[1]
     held = [r for r in got if r.held_out and r.given_role]
@@ -54,3 +100,5 @@ def test_roles_are_recovered_in_blocks_of_any_size(spark):
     one = [r for r in got if r.conv_id == 1]
     assert one[0].rendered.startswith("<|user|>\nwhat is this?") and one[0].rendered.endswith("<|end|>")
     assert c.chat_turns(df.limit(0)).count() == 0
+    as_text = spark.createDataFrame([("a", "first", "user", "hi"), ("a", "second", None, "x" * 200_000), ("a", None, "user", "User: so")], "conv_id string, turn string, role string, text string")
+    assert [(r.turn, len(r.rendered) > 100_000) for r in c.chat_turns(as_text).collect() if r.turn == "second"] == [("second", True)]
