@@ -1,15 +1,16 @@
 """Toxic passages as maximum-scoring segments of token log-odds.
 
 Tokens get log-odds of toxic against other documents with an informative Dirichlet prior (the corpus' own token
-frequencies, Monroe et al. 2008). A word counts as its lower-case form and as the prefixes of 4 to 6 characters, and
-takes the log-odds of the form that stands out most; all other words cost a small step down. In each text the
+frequencies, Monroe et al. 2008). A word whose log-odds stand out, or one of whose prefixes of 4 to 6 characters (inflected forms) stands
+out, scores them. Every other word that ``least_docs`` training rows hold scores a step down plus its own log-odds, of which what speaks for
+toxic is cut off below the step, since it may be chance; words seldom met cost the step. In each text the
 linear-time scan of Ruzzo and Tompa (1999) then finds every maximal segment. Their scores are calibrated as extreme
 values: the rate lambda solves sum p(s) exp(lambda s) = 1 over the scores of words in non-toxic documents, K fits
-the number of segments seen there, a segment's expected number in a text of n words is E = K n exp(-lambda S), and the
+the tail of the segments seen there, a segment's expected number in a text of n words is E = K n exp(-lambda S), and the
 sum of a text's segments above chance is turned into a probability by a logistic fit on the training rows.
 
 Training rows: labelled rows of the given fold, at most ``most_rows`` of them (those with the smallest hash of their
-id, a documented bound); everything is scored. Only texts are inputs of a score.
+id, a documented bound, which bounds the model too); everything is scored. Only texts are inputs of a score.
 
 Nulls: null and empty texts have no words and get the lowest score there is. Null labels and ids don't train.
 Repeated rows score alike; without any toxic training row all scores are 0. Empty tables give empty results.
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlight.llm.common import Recent, arrow_schema, map_batches, words_of, written
+from ledgerlight.llm.common import Recent, arrow_schema, drop, map_batches, words_of, written
 
 STRIP = "\"'.,;:!?()[]{}*#$%&|<>-_"
 
@@ -65,9 +66,10 @@ def segments(scores: list[float]) -> list[tuple[int, int, float]]:
 
 @dataclass
 class Model:
-    """Scores of forms that stand out, and the calibration."""
+    """Log-odds of forms that stand out and of other words, and the calibration."""
 
     odds: dict[str, float] = field(default_factory=dict)
+    others: dict[str, float] = field(default_factory=dict)
     step: float = -0.5
     lam: float = 1.0
     k: float = 1.0
@@ -75,7 +77,8 @@ class Model:
     bias: float = -20.0
 
     def word(self, word: str) -> float:
-        return next((self.odds[f] for f in forms(word) if f in self.odds), self.step)
+        every = forms(word)
+        return next((self.odds[f] for f in every if f in self.odds), self.step + max(-2.0, min(-0.2 * self.step, self.others.get(every[0], 0.0))))
 
     def passages(self, scores: list[float]) -> list[tuple[int, int, float, float]]:
         """Segments with E: how many as good are expected by chance in a text of this length."""
@@ -95,8 +98,8 @@ def in_fold(id_col: Column, folds: int) -> Column:
     return F.crc32(id_col.cast("string").cast("binary")) % folds == 0
 
 
-def train(docs: DataFrame, labels: DataFrame, *, folds: int = 5, most_rows: int = 40_000, most_forms: int = 20_000, prior: float = 0.1, least_z: float = 4.0, least_odds: float = 2.0, least_types: int = 6, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """Learns from at most most_rows labelled rows outside the held-out fold; the model has at most most_forms forms."""
+def train(docs: DataFrame, labels: DataFrame, *, folds: int = 5, most_rows: int = 40_000, least_docs: int = 5, prior: float = 0.1, least_z: float = 4.0, least_odds: float = 2.0, least_types: int = 6, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+    """Learns from at most most_rows labelled rows outside the held-out fold; the model has the words that least_docs of them hold, and forms that stand out."""
     spark = docs.sparkSession
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where(F.col("id").isNotNull() & F.col("y").isin(0, 1) & ~F.coalesce(in_fold(F.col("id"), folds), F.lit(True)))
     known = known.groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(most_rows)
@@ -121,20 +124,37 @@ def train(docs: DataFrame, labels: DataFrame, *, folds: int = 5, most_rows: int
     if not t1 or not t0:
         return Model()
 
-    def standing_out(table: DataFrame) -> DataFrame:
+    def weighed(table: DataFrame) -> DataFrame:
+        """d, the smoothed log-odds, and z, how far they are from chance."""
         # the prior: `prior` times the corpus' own counts
         alpha, mass = F.lit(prior) * (F.col("n1") + F.col("n0")), prior * (t1 + t0)
         a1, a0 = F.col("n1") + alpha, F.col("n0") + alpha
         delta = F.log(a1 / (F.lit(float(t1 + mass)) - a1)) - F.log(a0 / (F.lit(float(t0 + mass)) - a0))
-        return table.withColumns({"d": delta, "z": delta / F.sqrt(1 / a1 + 1 / a0)}).where((F.col("z") >= least_z) & (F.col("d") >= least_odds))
+        return table.withColumns({"d": delta, "z": delta / F.sqrt(1 / a1 + 1 / a0)})
 
-    own = written(standing_out(words).select("form", "d", "z"))
+    out = (F.col("z") >= least_z) & (F.col("d") >= least_odds)
+    own = written(weighed(words).where(out | (F.col("n1") + F.col("n0") >= least_docs)).select("form", "d", out.alias("out")))
     # prefixes count the words that don't stand out themselves, and only where many words share one
-    rest = words.join(own.select("form"), "form", "left_anti").select(F.explode(F.transform(F.array(*map(F.lit, (4, 5, 6))), lambda k: F.when(F.length("form") > k, F.concat(F.substring(F.col("form"), F.lit(1), k), F.lit("~"))))).alias("form"), "n1", "n0").where("form is not null")
-    stems = standing_out(rest.groupBy("form").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"), F.count(F.lit(1)).alias("types")).where(F.col("types") >= least_types)).select("form", "d", "z")
-    best = own.union(stems).orderBy(F.desc("z"), "form").limit(most_forms).collect()
-    model = Model({r.form: float(r.d) for r in best})
-    return calibrated(model, rows, spark)
+    rest = words.join(own.where("out").select("form"), "form", "left_anti").select(F.explode(F.transform(F.array(*map(F.lit, (4, 5, 6))), lambda k: F.when(F.length("form") > k, F.concat(F.substring(F.col("form"), F.lit(1), k), F.lit("~"))))).alias("form"), "n1", "n0").where("form is not null")
+    stems = weighed(rest.groupBy("form").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"), F.count(F.lit(1)).alias("types")).where(F.col("types") >= least_types)).where(out).select("form", "d")
+    # no more forms than most_rows texts hold
+    model = Model({r.form: float(r.d) for r in own.where("out").select("form", "d").union(stems).toLocalIterator()}, {r.form: float(r.d) for r in own.where("not out").toLocalIterator()})
+    drop(words, own)
+    model = calibrated(model, rows, spark)
+    drop(known)
+    return model
+
+
+def tail_factor(segs: dict[float, int], total: int, lam: float, share: float = 0.25) -> float:
+    """K, so that K * total * exp(-lam * S) is the number of background segments that score S or more, at the S that the best ``share`` of them reach.
+
+    Without background segments there is one at most: K is that of one segment of the least score."""
+    seen, t = 0, 0.0
+    for t in sorted(segs, reverse=True):
+        seen += segs[t]
+        if seen >= max(10, share * sum(segs.values())):
+            break
+    return max(1e-9, min(10.0, max(seen, 1) * math.exp(min(600.0, lam * t)) / total))
 
 
 def calibrated(model: Model, rows: DataFrame, spark) -> Model:
@@ -168,9 +188,7 @@ def calibrated(model: Model, rows: DataFrame, spark) -> Model:
         mid = (lo + hi) / 2
         lo, hi = (mid, hi) if grow(mid) < 0 else (lo, mid)
     model.lam = max(0.05, (lo + hi) / 2)
-    # E summed over the background is the number of its segments
-    expected = sum(n * math.exp(-model.lam * v) for v, n in segs.items())
-    model.k = max(1e-6, min(10.0, (sum(segs.values()) + 1) / total if expected else 1 / total * math.exp(model.lam)))
+    model.k = tail_factor(segs, total, model.lam)
     shared = spark.sparkContext.broadcast(model)
 
     def make():

@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 
@@ -54,3 +55,44 @@ def test_held_out_accuracy_and_edges(spark):
     assert rest[None].predicted == 1
     assert t.scored(df.limit(0), model).count() == 0
     assert t.train(df, lab.limit(0)).weight == 0
+
+
+def test_odds_follow_their_formula(spark):
+    rng = random.Random(3)
+    vocabulary = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(60)] + ["vile"]
+    docs = [(i, " ".join(rng.choices(vocabulary[:60], k=12) + (["Vile,"] if i % 4 == 0 and rng.random() < 0.9 else []))) for i in range(400)]
+    lab = [(i, int(i % 4 == 0)) for i in range(400)]
+    model = t.train(spark.createDataFrame(docs, "doc_id int, text string"), spark.createDataFrame(lab, "doc_id int, toxic int"))
+    n = {0: {}, 1: {}}
+    for (i, text), (_, y) in zip(docs, lab):
+        if zlib.crc32(str(i).encode()) % 5:
+            for w in {t.bare(x) for x in text.split()}:
+                n[y][w] = n[y].get(w, 0) + 1
+    total = {y: sum(n[y].values()) for y in n}
+    mass = 0.1 * (total[0] + total[1])
+    want = {}
+    for w in {*n[0], *n[1]}:
+        a = {y: n[y].get(w, 0) + 0.1 * (n[0].get(w, 0) + n[1].get(w, 0)) for y in n}
+        d = math.log(a[1] / (total[1] + mass - a[1])) - math.log(a[0] / (total[0] + mass - a[0]))
+        want[w] = d, d / math.sqrt(1 / a[1] + 1 / a[0])
+    stands = {w: d for w, (d, z) in want.items() if z >= 4 and d >= 2}
+    assert set(stands) == {"vile"} == {w for w in model.odds if "~" not in w}
+    assert all(abs(model.odds[w] - d) < 1e-9 for w, d in stands.items())
+    assert set(model.others) == {w for w in want if n[0].get(w, 0) + n[1].get(w, 0) >= 5} - set(stands)
+    assert all(abs(model.others[w] - want[w][0]) < 1e-9 for w in model.others)
+    assert model.word("Vile!") == model.odds["vile"] and model.word("unseen") == model.step
+    w = max(model.others, key=lambda x: abs(want[x][0]))
+    assert model.word(w.upper()) == model.step + max(-2.0, min(0.1, want[w][0]))
+
+
+def test_chance_segments_are_as_many_as_expected(spark):
+    rng = random.Random(4)
+    odds = {f"a{i}": x for i, x in enumerate((2.0, 2.5, 3.0, 4.0))}
+    text = lambda n: " ".join(rng.choice(list(odds)) if rng.random() < 0.08 else "plain" for _ in range(n))
+    rows = spark.createDataFrame([(text(400), 0) for _ in range(400)], "text string, y int")
+    model = t.calibrated(t.Model(dict(odds)), rows, spark)
+    n = 300
+    segs = [e for _ in range(n) for *_, e in model.passages([model.word(w) for w in text(400).split()])]
+    for least in (2.0, 0.5, 0.1):
+        found = sum(e <= least for e in segs) / n
+        assert least / 2.5 < found < least * 2.5, (least, found)
