@@ -13,7 +13,8 @@
    is split at the stretches that take it there, and each part is judged on its own.
 
 The first document keeps its passage; later ones have theirs as spans. A document is (id, text): rows that repeat both are
-one document and get the same spans. A null text has no words; rows with a null id come first in the order. Empty
+one document and get the same spans, and rows that share an id, or have none, are compared like any others. Ids are whole numbers, or else
+anything that is ordered as text. A null text has no words; rows with a null id come first in the order. Empty
 tables give empty results; other columns are ignored. Texts are whole, of any length.
 """
 
@@ -21,10 +22,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ledgerlight.llm.common import WORD, Recent, arrow_schema, map_batches, mixed, shingle_hashes, word_hashes, written
+from ledgerlight.llm.common import WORD, Recent, arrow_schema, drop, map_batches, mixed, shingle_hashes, word_hashes, written
 
 #: Documents up to which their keys are broadcast (32 MB); beyond, texts are shuffled to them.
 BROADCAST = 1_000_000
@@ -33,6 +35,19 @@ NO_ID = -(2**63)
 SEED, GAP = 10.0, 0.1
 
 
+def key_of(df: DataFrame, id_col: str) -> tuple[Column, str]:
+    """An id in its order, null first, without nulls; and its type."""
+    if isinstance(df.schema[id_col].dataType, T.IntegralType):
+        return F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID)), "bigint"
+    return F.when(F.col(id_col).isNull(), "").otherwise(F.concat(F.lit("="), F.col(id_col).cast("string"))), "string"
+
+
+def shown(key: Column, kind: str) -> Column:
+    if kind == "bigint":
+        return F.when(key != NO_ID, key.cast("string")).otherwise("null")
+    return F.when(key != "", F.substring(key, 2, 2**31 - 1)).otherwise("null")
+
+
 def winnowed(kmers: np.ndarray, window: int) -> np.ndarray:
     """Places of the seeds: of each window's least k-mer, the first where equal."""
     n = len(kmers)
@@ -196,7 +211,7 @@ def parts(a: np.ndarray, b: np.ndarray, chain: list[tuple[int, int]], k: int, le
 
 def seeds(docs: DataFrame, k: int, window: int) -> DataFrame:
     """(seed, id, th, pos, plain): plain is the seed without its number, on later occurrences within a text only."""
-    ddl = "seed bigint, id bigint, th bigint, pos int, plain bigint"
+    ddl = f"seed bigint, id {docs.schema['id'].dataType.simpleString()}, th bigint, pos int, plain bigint"
     schema = arrow_schema(ddl)
 
     def run(batches):
@@ -222,18 +237,22 @@ def seeds(docs: DataFrame, k: int, window: int) -> DataFrame:
 
 def passages(df: DataFrame, *, k: int = 5, window: int = 12, least: int = 50, identity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, th, spans): documents with passages of earlier ones. spans: (start, end, first_id, there, matches) in words, by start."""
-    docs = df.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID)).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text")).where("text is not null")
+    key, kind = key_of(df, id_col)
+    docs = df.select(key.alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text")).where("text is not null")
     rows = seeds(docs, k, window)
-    first = written(rows.groupBy("seed").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("seed", F.col("lo").alias("first_id")))
+    doc = F.xxhash64("id", "th")
+    first = rows.groupBy("seed").agg(F.min("id").alias("first_id"), F.min(doc).alias("lo"), F.max(doc).alias("hi"))
+    first = written(first.where("lo <> hi").select("seed", "first_id"))
     shared = written(rows.join(first, "seed", "left").where("first_id is not null or plain is not null"))
+    drop(first)
     # where that document holds the seed first
     there = written(shared.where("id = first_id").groupBy("seed").agg(F.min(F.struct("pos", "th")).alias("x"), F.first("first_id").alias("first_id")).select("seed", "first_id", F.col("x.pos").alias("there"), F.col("x.th").alias("first_th")))
     # occurrences beyond those that the first document of the seed has go with its first one as well
-    own = shared.where("id <> first_id").select("seed", "id", "th", "pos", F.lit(None).cast("bigint").alias("other"))
+    own = shared.where("first_id is not null").select("seed", "id", "th", "pos", F.lit(None).cast(kind).alias("other"))
     beyond = shared.where("plain is not null").select(F.col("plain").alias("seed"), "id", "th", "pos", F.col("first_id").alias("other"))
-    matches = own.union(beyond).join(there, "seed").where("id <> first_id and (other is null or other <> first_id)")
+    matches = own.union(beyond).join(there, "seed").where("(id <> first_id or th <> first_th) and (other is null or other <> first_id)")
     pairs = matches.groupBy("id", "th", "first_id", "first_th").agg(F.collect_list(F.struct("pos", "there")).alias("places")).where(F.size("places") > 1)
-    ddl = "id bigint, th bigint, first_id bigint, first_th bigint, chains array<array<struct<pos:int,there:int>>>"
+    ddl = f"id {kind}, th bigint, first_id {kind}, first_th bigint, chains array<array<struct<pos:int,there:int>>>"
     of_pair = ("id", "th", "first_id", "first_th")
 
     def chain():
@@ -244,13 +263,14 @@ def passages(df: DataFrame, *, k: int = 5, window: int = 12, least: int = 50, id
         return of
 
     chained = written(map_batches(pairs, chain, ddl).where(F.size("chains") > 0))
+    drop(shared, there)
 
     needed = written(chained.select("id", "th").union(chained.select("first_id", "first_th")).distinct())
     few = needed.limit(BROADCAST + 1).count() <= BROADCAST
     texts = written(docs.join(F.broadcast(needed) if few else needed, ["id", "th"]).dropDuplicates(["id", "th"]))
     there_texts = texts.select(F.col("id").alias("first_id"), F.col("th").alias("first_th"), F.col("text").alias("there_text"))
     both = chained.join(texts, ["id", "th"]).join(there_texts, ["first_id", "first_th"])
-    span = "array<struct<start:int,end:int,first_id:bigint,there:int,matches:int>>"
+    span = f"array<struct<start:int,end:int,first_id:{kind},there:int,matches:int>>"
 
     def align():
         hashes = Recent(word_hashes, 64).__getitem__
@@ -272,9 +292,11 @@ def passages(df: DataFrame, *, k: int = 5, window: int = 12, least: int = 50, id
 
         return of
 
-    found = map_batches(both.select("id", "th", "first_id", "chains", "text", "there_text"), align, f"id bigint, th bigint, spans {span}").where(F.size("spans") > 0)
+    found = map_batches(both.select("id", "th", "first_id", "chains", "text", "there_text"), align, f"id {kind}, th bigint, spans {span}").where(F.size("spans") > 0)
     # no more spans for a document than it has words
-    return written(found.groupBy("id", "th").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans")))
+    out = written(found.groupBy("id", "th").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans")))
+    drop(chained, needed, texts)
+    return out
 
 
 def union_of(spans: str):
@@ -292,12 +314,13 @@ def union_of(spans: str):
 def repeated_passages(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """(id_col, n_passages, dup_words, passages), one row for each row: passages are start:end:first_id in words, end exclusive."""
     found = passages(df, id_col=id_col, text_col=text_col, **options)
-    rows = df.select(F.col(id_col), F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID)).alias("id"), F.xxhash64(text_col).alias("th"))
+    key, kind = key_of(df, id_col)
+    rows = df.select(F.col(id_col).alias("_id"), key.alias("id"), F.xxhash64(text_col).alias("th"))
     covered = found.select("id", "th", "spans", union_of("spans").alias("ranges"))
     words = F.aggregate("ranges", F.lit(0), lambda n, x: n + x["end"] - x["start"])
-    text = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"), F.when(s["first_id"] != NO_ID, s["first_id"].cast("string")).otherwise("null"))), ",")
+    text = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"), shown(s["first_id"], kind))), ",")
     out = rows.join(covered.select("id", "th", F.size("spans").alias("n_passages"), words.alias("dup_words"), text.alias("passages")), ["id", "th"], "left")
-    return out.select(id_col, F.coalesce("n_passages", F.lit(0)).cast("bigint").alias("n_passages"), F.coalesce("dup_words", F.lit(0)).cast("bigint").alias("dup_words"), F.coalesce("passages", F.lit("")).alias("passages"))
+    return out.select(F.col("_id").alias(id_col), F.coalesce("n_passages", F.lit(0)).cast("bigint").alias("n_passages"), F.coalesce("dup_words", F.lit(0)).cast("bigint").alias("dup_words"), F.coalesce("passages", F.lit("")).alias("passages"))
 
 
 def without(text: str, ranges: list[dict]) -> str:
@@ -316,7 +339,7 @@ def without_passages(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     found = passages(df, id_col=id_col, text_col=text_col, **options)
     few = found.limit(BROADCAST + 1).count() <= BROADCAST
     ranges = found.select(F.col("id").alias("_id"), F.col("th").alias("_th"), union_of("spans").alias("_ranges"))
-    same = (F.coalesce(df[id_col].cast("bigint"), F.lit(NO_ID)) == F.col("_id")) & (F.xxhash64(df[text_col]) == F.col("_th"))
+    same = (key_of(df, id_col)[0] == F.col("_id")) & (F.xxhash64(F.col(text_col)) == F.col("_th"))
     joined = df.join(F.broadcast(ranges) if few else ranges, same, "left").drop("_id", "_th")
     ddl, names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), df.columns
 
