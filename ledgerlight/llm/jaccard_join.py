@@ -18,12 +18,13 @@ an odd number of its shingles. Two sketches differ in no more bits than the sets
 longer is folded to the shorter, so pairs that differ too much are left out without their texts, and none that links is. What remains is compared exactly, on whole sets (64-bit hashes of shingles).
 
 Nulls: documents without words or text have an empty set and link with nothing. Rows with a null id take part but
-give their component no id. Repeated rows are copies of each other. Empty tables give empty results; columns
-other than the named ones are ignored.
+give their component no id. Repeated rows are copies of each other. Ids may be of any type that has an order. Empty tables give
+empty results; columns other than the named ones are ignored.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from itertools import combinations
 from math import comb
 
@@ -36,8 +37,8 @@ from pyspark.sql import functions as F
 from ledgerlight.llm.common import Recent, arrow_schema, components, mixed, shingle_hashes, word_hashes, written
 from ledgerlight.llm.tiles import forest, tiled
 
-#: Entries of the table of shingle counts, and of a slice of it.
-BUCKETS, SLICE = 1 << 20, 1 << 16
+#: Bits of the table of shingle counts: it grows with the corpus between these, 64 MB at most. And entries of a slice of it.
+LEAST_BITS, MOST_BITS, SLICE = 20, 24, 1 << 16
 #: Least bits of a parity sketch.
 SKETCH = 512
 #: Classes up to which their keys are broadcast (24 MB); beyond, texts are shuffled to them.
@@ -105,27 +106,33 @@ def allowed(a, b, num: int):
     return a + b - 2 * -(-num * (a + b) // (100 + num))
 
 
-def keys_and_counts(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
-    """kind 0: (id, key, n, sketch) of each row; kind 1: a slice of this task's shingle counts."""
-    ddl = "kind int, id bigint, key binary, n bigint, sketch binary, counts binary"
+def buckets_for(n: int) -> int:
+    """Entries of the table of counts for so many documents."""
+    return 1 << min(MOST_BITS, max(LEAST_BITS, (n // 4).bit_length()))
+
+
+def keys_and_counts(docs: DataFrame, k: int, id_col: str, text_col: str, buckets: int) -> DataFrame:
+    """kind 0: (id, th, key, n, sketch) of each row, th a hash of its text; kind 1: a slice (n) of this task's shingle counts."""
+    ddl = f"kind int, id {docs.schema[id_col].dataType.simpleString()}, th bigint, key binary, n bigint, sketch binary, counts binary"
     schema = arrow_schema(ddl)
 
     def run(batches):
-        counts = np.zeros(BUCKETS, np.int32)
+        counts = np.zeros(buckets, np.int32)
         for batch in batches:
-            sets = [set_of(t, k) for t in batch.column(1).to_pylist()]
+            sets = [set_of(t, k) for t in batch.column(2).to_pylist()]
             for at in range(0, len(sets), 256):
-                counts += np.bincount(np.concatenate(sets[at : at + 256]) & np.uint64(BUCKETS - 1), minlength=BUCKETS).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array([0] * len(sets), pa.int32()), batch.column(0).cast(pa.int64()), pa.array(map(key_of, sets), pa.binary()), pa.array(map(len, sets), pa.int64()), pa.array([sketch_of(x) if len(x) else None for x in sets], pa.binary()), pa.nulls(len(sets), pa.binary())], schema=schema)
+                own, n = np.unique(np.concatenate(sets[at : at + 256]) & np.uint64(buckets - 1), return_counts=True)
+                counts[own.astype(np.int64)] += n.astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array([0] * len(sets), pa.int32()), batch.column(0), batch.column(1), pa.array(map(key_of, sets), pa.binary()), pa.array(map(len, sets), pa.int64()), pa.array([sketch_of(x) if len(x) else None for x in sets], pa.binary()), pa.nulls(len(sets), pa.binary())], schema=schema)
         if counts.any():
-            n = BUCKETS // SLICE
-            yield pa.RecordBatch.from_arrays([pa.array([1] * n, pa.int32()), pa.array(range(n), pa.int64()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.array([np.minimum(counts[i * SLICE : (i + 1) * SLICE], 65_535).astype(np.uint16).tobytes() for i in range(n)], pa.binary())], schema=schema)
+            n = buckets // SLICE
+            yield pa.RecordBatch.from_arrays([pa.array([1] * n, pa.int32()), pa.nulls(n, schema.field("id").type), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.array(range(n), pa.int64()), pa.nulls(n, pa.binary()), pa.array([np.minimum(counts[i * SLICE : (i + 1) * SLICE], 65_535).astype(np.uint16).tobytes() for i in range(n)], pa.binary())], schema=schema)
 
-    return docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, ddl)
+    return docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text")).mapInArrow(run, ddl)
 
 
-def bucket_counts(slices: DataFrame) -> np.ndarray:
-    """The counts of all tasks summed, in two steps; BUCKETS numbers in all. They only order shingles, so a task's may be cut off at 65535."""
+def bucket_counts(slices: DataFrame, buckets: int) -> np.ndarray:
+    """The counts of all tasks summed, in two steps; ``buckets`` numbers in all. They only order shingles, so a task's may be cut off at 65535."""
     schema = arrow_schema("id bigint, part int, counts binary")
 
     def summed(table: pa.Table) -> pa.Table:
@@ -133,10 +140,10 @@ def bucket_counts(slices: DataFrame) -> np.ndarray:
         return pa.table([pa.array([table.column("id")[0].as_py()]), pa.array([0], pa.int32()), pa.array([total.tobytes()], pa.binary())], schema=schema)
 
     once = slices.select("id", (F.rand(1) * 16).cast("int").alias("part"), "counts").groupBy("id", "part").applyInArrow(summed, "id bigint, part int, counts binary")
-    out = np.zeros(BUCKETS, np.int64)
-    for r in once.groupBy("id").applyInArrow(summed, "id bigint, part int, counts binary").collect():
-        out[r.id * SLICE : (r.id + 1) * SLICE] = np.frombuffer(bytes(r.counts), np.int64)
-    return np.minimum(out, 2**31 - 1).astype(np.int32)
+    out = np.zeros(buckets, np.int32)
+    for r in once.groupBy("id").applyInArrow(summed, "id bigint, part int, counts binary").toLocalIterator():
+        out[r.id * SLICE : (r.id + 1) * SLICE] = np.minimum(np.frombuffer(bytes(r.counts), np.int64), 2**31 - 1)
+    return out
 
 
 def postings(docs: DataFrame, counts: np.ndarray, boundary: int, num: int, k: int, text_col: str) -> DataFrame:
@@ -161,7 +168,7 @@ def postings(docs: DataFrame, counts: np.ndarray, boundary: int, num: int, k: in
                     for o in subset_sizes(n, boundary, num):
                         out += [xxhash.xxh3_64_intdigest(x[list(c)].tobytes(), o) for c in combinations(range(n), o)]
                 if n > boundary or most_partner(n, num) > boundary:
-                    c = count[x & np.uint64(BUCKETS - 1)]
+                    c = count[x & np.uint64(len(count) - 1)]
                     p = prefix_length(n, num)
                     near = np.flatnonzero(c <= np.partition(c, p - 1)[p - 1])  # those that may be among the first p
                     first = x[near[np.lexsort((x[near], c[near]))[:p]]]
@@ -198,18 +205,29 @@ def shared_lists(listed: DataFrame) -> DataFrame:
     return listed.repartition("token").sortWithinPartitions("token", "key").mapInArrow(run, "token bigint, key binary, n bigint")
 
 
-def docs_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows of wanted (with low, an id) and the text of that document. Few are broadcast to the scan; else texts are shuffled."""
-    few = wanted.limit(BROADCAST + 1).count() <= BROADCAST
-    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    return rows.join(F.broadcast(wanted) if few else wanted, F.col("id").eqNullSafe(F.col("low"))).drop("id", "low")
+@dataclass
+class Source:
+    """The documents, and whether some rows of theirs repeat both id and text."""
+
+    docs: DataFrame
+    id_col: str
+    text_col: str
+    repeated: bool
+
+    def texts(self, wanted: DataFrame) -> DataFrame:
+        """Rows of wanted (with rep_id and rep_th, a document) and the text of that document. Few are broadcast to the scan; else texts are shuffled."""
+        few = wanted.limit(BROADCAST + 1).count() <= BROADCAST
+        rows = self.docs.select(F.col(self.id_col).alias("id"), F.xxhash64(self.text_col).alias("th"), F.col(self.text_col).alias("text"))
+        found = rows.join(F.broadcast(wanted) if few else wanted, F.col("id").eqNullSafe(F.col("rep_id")) & (F.col("th") == F.col("rep_th"))).drop("id", "th", "rep_id", "rep_th")
+        keys = [c for c in found.columns if c != "text"]
+        return found.groupBy(*keys).agg(F.first("text").alias("text")) if self.repeated else found
 
 
-def verified(pairs: DataFrame, lows: DataFrame, docs: DataFrame, id_col: str, text_col: str, num: int, k: int) -> DataFrame:
+def verified(pairs: DataFrame, reps: DataFrame, source: Source, num: int, k: int) -> DataFrame:
     """Those of the pairs (a, b) that link, by their whole sets. The text of a goes to b, once; b may be in many pairs."""
-    left = written(pairs.join(lows.withColumnRenamed("key", "a"), "a"))
-    right = written(pairs.select("b").distinct().join(lows.withColumnRenamed("key", "b"), "b"))
-    both = docs_of(docs, left, id_col, text_col).withColumnRenamed("text", "x").join(docs_of(docs, right, id_col, text_col).withColumnRenamed("text", "y"), "b")
+    left = written(pairs.join(reps.withColumnRenamed("key", "a"), "a"))
+    right = written(pairs.select("b").distinct().join(reps.withColumnRenamed("key", "b"), "b"))
+    both = source.texts(left).withColumnRenamed("text", "x").join(source.texts(right).withColumnRenamed("text", "y"), "b")
     schema = arrow_schema("a binary, b binary")
 
     def run(batches):
@@ -223,7 +241,7 @@ def verified(pairs: DataFrame, lows: DataFrame, docs: DataFrame, id_col: str, te
             for a, b, x, y in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "x", "y")), strict=True):
                 (p, x), (q, y) = sets[x], sets[y]
                 at = np.minimum(np.searchsorted(x, y), len(x) - 1)
-                both = int((x[at] == y).sum()) if p == a and q == b else -1  # an id may stand on rows with other texts
+                both = int((x[at] == y).sum()) if p == a and q == b else -1  # texts of one hash may differ
                 ok.append(both >= 0 and 100 * both >= num * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], schema=schema).filter(pa.array(ok))
 
@@ -303,26 +321,29 @@ def _spanning(pairs: list[tuple[int, int]]) -> list[int]:
 
 def near_copies(docs: DataFrame, *, num: int = 90, k: int = 3, scan_cost: float = 4.0, block: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, n_shingles, component_id), one row for each row: component_id is the smallest id reachable by links."""
-    found = written(keys_and_counts(docs, k, id_col, text_col))
+    buckets = buckets_for(docs.count())
+    found = written(keys_and_counts(docs, k, id_col, text_col, buckets))
     rows = found.where("kind = 0").select("id", "key", "n")
     full = found.where("kind = 0 and key is not null")
     sizes = {r.n: r["count"] for r in full.where(F.col("n") <= 40).groupBy("n").count().collect()}
     boundary = boundary_of(sizes, num, scan_cost)
-    members = written(shared_lists(postings(docs, bucket_counts(found.where("kind = 1").select("id", "counts")), boundary, num, k, text_col)))
-    classes = written(full.groupBy("key").agg(F.min("id").alias("low"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
+    members = written(shared_lists(postings(docs, bucket_counts(found.where("kind = 1").select(F.col("n").alias("id"), "counts"), buckets), boundary, num, k, text_col)))
+    source = Source(docs, id_col, text_col, not full.groupBy("id", "th").count().where("count > 1").isEmpty())
+    classes = full.groupBy("key").agg(F.min("id").alias("low"), F.min(F.struct("id", "th")).alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    classes = written(classes.select("key", "low", F.col("rep.id").alias("rep_id"), F.col("rep.th").alias("rep_th"), "n", "sketch"))
     listed = written(classes.join(members.groupBy("key").agg(F.count(F.lit(1)).alias("degree")), "key"))
 
     hubs = written(members.join(listed.select("key", "degree"), "key").groupBy("token").agg(F.max(F.struct("degree", "key")).alias("hub"), F.count(F.lit(1)).alias("m")).select("token", F.col("hub.key").alias("hub"), F.col("hub.degree").alias("hub_degree"), "m"))
-    lows = listed.select("key", "low")
+    reps = listed.select("key", "rep_id", "rep_th")
     pairs = written(members.join(hubs, "token").where(F.col("key") != F.col("hub")).select(F.col("key").alias("a"), F.col("hub").alias("b"), "hub_degree").distinct())
     pairs = written(likely(pairs, listed, num))
     # each member with its best hub, then with its other hubs where those are in other components still
     best = written(pairs.groupBy("a").agg(F.max(F.struct("hub_degree", "b")).alias("h")).select("a", F.col("h.b").alias("b")))
-    links = written(verified(best, lows, docs, id_col, text_col, num, k))
+    links = written(verified(best, reps, source, num, k))
     comps = components(links)
     of = lambda side: comps.select(F.col("node").alias(side), F.col("component").alias(f"{side}_comp"))
     left = written(pairs.select("a", "b").join(best, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left").where(~F.coalesce("a_comp", "a").eqNullSafe(F.coalesce("b_comp", "b"))).select("a", "b"))
-    others = written(verified(left, lows, docs, id_col, text_col, num, k))
+    others = written(verified(left, reps, source, num, k))
     if not others.isEmpty():
         links = written(links.union(others))
         comps = components(links)
@@ -346,7 +367,7 @@ def near_copies(docs: DataFrame, *, num: int = 90, k: int = 3, scan_cost: float
         got = linked_in_tile(tile, num, k) if len(key) > 1 else []
         return pa.table([pa.array([key[a] for a, _ in got], pa.binary()), pa.array([key[b] for _, b in got], pa.binary())], schema=schema)
 
-    texts = docs_of(docs, written(lows.join(tiles.select("key").distinct(), "key", "left_semi")), id_col, text_col)
+    texts = source.texts(written(reps.join(tiles.select("key").distinct(), "key", "left_semi")))
     more = written(tiles.join(texts, "key").groupBy("token", "i", "j").applyInArrow(compare, "a binary, b binary"))
     if not more.isEmpty():
         comps = components(links.union(more))
