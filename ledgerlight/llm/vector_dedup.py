@@ -9,7 +9,8 @@ the threshold is missed with a chance of ``miss`` at most, and closer pairs with
 
 Nulls: vectors that are null, zero, or hold null or non-finite components, and rows with a null label, link with
 nothing. Repeated rows are vectors of their own (they link with each other). A null id takes its component's id.
-Vectors of different lengths never link. Empty tables give empty results.
+Vectors of different lengths never link. Ids may be of any type that has an order. Vectors are scaled by their largest component
+first, so that no norm over- or underflows. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -39,7 +40,7 @@ def plan(largest: int, threshold: float, per_bucket: int, miss: float) -> tuple[
 
 def near_vectors(df: DataFrame, *, threshold: float = 0.98, per_bucket: int = 32, miss: float = 0.0005, block: int = 512, seed: int = 11, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """(id_col, n_links, component_id, kept), one row for each row of df."""
-    kind = df.schema[label_col].dataType.simpleString()
+    kind, id_kind = df.schema[label_col].dataType.simpleString(), df.schema[id_col].dataType.simpleString()
 
     def make():
         def of(batch):
@@ -47,8 +48,8 @@ def near_vectors(df: DataFrame, *, threshold: float = 0.98, per_bucket: int = 32
             for y, v in zip(batch.column("label").to_pylist(), batch.column("v").to_pylist(), strict=True):
                 ok = y is not None and v and None not in v
                 x = np.array(v, "<f8") if ok else None
-                if ok and np.isfinite(x).all() and (norm := math.sqrt(float(x @ x))) > 0 and math.isfinite(norm):
-                    x = x + 0.0  # -0.0 is 0.0
+                if ok and np.isfinite(x).all() and (most := np.abs(x).max()) > 0:
+                    x = np.ldexp(x, -int(np.frexp(most)[1])) + 0.0  # by a power of two, which is exact; -0.0 is 0.0
                     keys.append(xxhash.xxh3_128_digest(repr(y).encode() + b"|" + x.tobytes()))
                     vecs.append(x.tobytes())
                 else:
@@ -58,7 +59,7 @@ def near_vectors(df: DataFrame, *, threshold: float = 0.98, per_bucket: int = 32
 
         return of
 
-    rows = written(map_batches(df.select(F.col(id_col).cast("bigint").alias("id"), F.col(label_col).alias("label"), F.col(vec_col).cast("array<double>").alias("v")), make, f"id bigint, label {kind}, node binary, vec binary"))
+    rows = written(map_batches(df.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), F.col(vec_col).cast("array<double>").alias("v")), make, f"id {id_kind}, label {kind}, node binary, vec binary"))
     classes = written(rows.where("node is not null").groupBy("node").agg(F.first("label").alias("label"), F.count(F.lit(1)).alias("m"), F.min("id").alias("low"), F.first("vec").alias("vec")))
     largest = classes.groupBy("label", F.length("vec").alias("bytes")).count().agg(F.max("count")).first()[0] or 0
     bits, tables = plan(largest, threshold, per_bucket, miss)
@@ -94,22 +95,24 @@ def near_vectors(df: DataFrame, *, threshold: float = 0.98, per_bucket: int = 32
         out: list[tuple] = []
         if x is not None:
             norm = np.sqrt((x * x).sum(1))
-            sigs, label = np.array(tile.column("sigs").to_pylist()), tile.column("label").to_pylist()
+            sigs, label = np.array(tile.column("sigs").to_pylist()), np.unique([repr(y) for y in tile.column("label").to_pylist()], return_inverse=True)[1]
             alike = (x / norm[:, None]) @ (x / norm[:, None]).T >= threshold - 1e-9
             i, j = tile.column("i")[0].as_py(), tile.column("j")[0].as_py()
             alike &= np.triu(np.ones(alike.shape, bool), 1) if i == j else (block_of[:, None] == i) & (block_of[None, :] == j)
-            links = []
-            for a, b in zip(*np.nonzero(alike), strict=True):
-                first = int((sigs[a] == sigs[b]).argmax())
-                if first == t and label[a] == label[b] and float(x[a] @ x[b]) / (norm[a] * norm[b]) >= threshold:
-                    links.append((int(a), int(b)))
-            if links:
-                ab = np.array(links)
+            pairs = np.argwhere(alike)
+            kept = [pairs[:0]]
+            for some in np.array_split(pairs, -(-len(pairs) // 4096) or 1):
+                a, b = some.T
+                cosine = np.einsum("ij,ij->i", x[a], x[b]) / (norm[a] * norm[b])
+                # a pair that meets in several tables counts in the first
+                kept.append(some[((sigs[a] == sigs[b]).argmax(1) == t) & (label[a] == label[b]) & (cosine >= threshold)])
+            ab = np.concatenate(kept)
+            if len(ab):
                 n = np.zeros(len(node), np.int64)
                 np.add.at(n, ab[:, 0], m[ab[:, 1]])
                 np.add.at(n, ab[:, 1], m[ab[:, 0]])
                 out += [(node[k], None, int(n[k])) for k in np.flatnonzero(n)]
-                out += [(node[a], node[b], 0) for a, b in forest(links)]
+                out += [(node[a], node[b], 0) for a, b in forest(map(tuple, ab.tolist()))]
         return pa.table([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)] if out else [pa.array([], f.type) for f in schema], schema=schema)
 
     found = written(members.groupBy("bucket", "i", "j").applyInArrow(compare, "a binary, b binary, n bigint"))
