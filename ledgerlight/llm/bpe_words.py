@@ -5,7 +5,7 @@
 2. These rows are shuffled by word and sorted, so that all rows of a word stand together: it is encoded once, and its ids
    go back to every block that holds it.
 3. Texts meet their block's words in a second shuffle by block. In its partition a block's words come first and
-   its texts after them, and ids take the places of the words they belong to.
+   its texts after them, and ids take the places of the words they belong to. Both move compressed.
 
 Nothing is collected or broadcast but the vocabulary, and a task holds the words of one block at a time, however large the
 corpus is. A word has no more rows than there are blocks, so no key is hot. Blocks follow the order in which the input is
@@ -25,6 +25,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,6 +36,24 @@ from ledgerlight.llm.pretokens import encoder, splitter
 
 #: Texts and replies that are handled at a time.
 TEXTS, REPLIES = 500, 200_000
+REPLY = "block bigint, words binary, ids binary"
+
+
+def packed(parts: list) -> bytes:
+    """Texts, or byte strings, as one compressed value: these are most of what the shuffles move."""
+    whole = ("" if not parts or isinstance(parts[0], str) else b"").join(parts)
+    lengths = np.fromiter(map(len, parts), "<u4", len(parts)).tobytes()
+    return zstandard.compress(len(parts).to_bytes(4, "little") + lengths + (whole.encode("utf-8", "surrogatepass") if isinstance(whole, str) else whole), 3)
+
+
+def unpacked(value: bytes, as_text: bool) -> list:
+    raw = zstandard.decompress(value)
+    n = int.from_bytes(raw[:4], "little")
+    ends = np.cumsum(np.frombuffer(raw, "<u4", n, 4), dtype=np.int64).tolist()
+    whole = raw[4 + 4 * n :]
+    if as_text:
+        whole = whole.decode("utf-8", "surrogatepass")
+    return [whole[a:b] for a, b in zip([0, *ends], ends)]
 
 
 def in_blocks(batches: Iterator[pa.RecordBatch], text_at: int, block_chars: int) -> Iterator[tuple[int, pa.RecordBatch, list]]:
@@ -84,9 +103,8 @@ def words_of_blocks(docs: DataFrame, path: str, block_chars: int) -> DataFrame:
 
 
 def encoded_words(pairs: DataFrame, path: str, width: str) -> DataFrame:
-    """(block, words, ids): each distinct word is encoded here, once, and given to all blocks that hold it."""
-    ddl = "block bigint, words array<string>, ids array<binary>"
-    schema = arrow_schema(ddl)
+    """Each distinct word is encoded here, once, and given to all blocks that hold it: (block, words, ids), some words packed in each row."""
+    schema = arrow_schema(REPLY)
 
     def run(batches):
         of_part = encoder(path).of_part
@@ -94,7 +112,8 @@ def encoded_words(pairs: DataFrame, path: str, width: str) -> DataFrame:
         words, found, n = defaultdict(list), defaultdict(list), 0
 
         def rows():
-            out = pa.RecordBatch.from_arrays([pa.array(words.keys(), pa.int64()), pa.array(words.values(), schema.field("words").type), pa.array(found.values(), schema.field("ids").type)], schema=schema)
+            cols = [list(words.keys()), list(map(packed, words.values())), list(map(packed, found.values()))]
+            out = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
             words.clear()
             found.clear()
             return out
@@ -113,10 +132,10 @@ def encoded_words(pairs: DataFrame, path: str, width: str) -> DataFrame:
             yield rows()
         trim()
 
-    return pairs.repartition("word").sortWithinPartitions("word").mapInArrow(run, ddl)
+    return pairs.repartition("word").sortWithinPartitions("word").mapInArrow(run, REPLY)
 
 
-def encode(df: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", block_chars: int = 4_000_000, digests: bool = False) -> DataFrame:
+def encode(df: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", block_chars: int = 16_000_000, digests: bool = False) -> DataFrame:
     """(id_col, n_tokens, ids): ids of each row's whole text, as little-endian unsigned 32-bit integers in one binary value.
 
     With ``digests``, (id_col, n_tokens, ids_sha256, decoded_sha256) instead: the round trip, without moving ids and texts."""
@@ -125,15 +144,17 @@ def encode(df: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str =
     kind = df.schema[id_col].dataType.simpleString()
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     replies = encoded_words(words_of_blocks(docs, path, block_chars), path, width)
-    schema = arrow_schema(f"block bigint, kind int, id {kind}, text string")
+    ddl = f"block bigint, kind int, id array<{kind}>, text binary"
+    schema = arrow_schema(ddl)
 
     def numbered(batches):
-        for block, rows, _ in in_blocks(batches, 1, block_chars):
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(rows.num_rows, block, np.int64)), pa.array(np.ones(rows.num_rows, np.int32)), rows.column(0), rows.column(1).cast(pa.string())], schema=schema)
+        for block, rows, texts in in_blocks(batches, 1, block_chars):
+            ids = pa.ListArray.from_arrays(pa.array([0, rows.num_rows], pa.int32()), rows.column(0))
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([1], pa.int32()), ids.cast(schema.field("id").type), pa.array([packed([t or "" for t in texts])], pa.binary())], schema=schema)
 
-    texts = docs.mapInArrow(numbered, f"block bigint, kind int, id {kind}, text string")
-    both = texts.withColumns({"words": F.lit(None).cast("array<string>"), "ids": F.lit(None).cast("array<binary>")}).unionByName(replies.withColumn("kind", F.lit(0)), allowMissingColumns=True)
-    met = both.select("block", "kind", "id", "text", "words", "ids").repartition("block").sortWithinPartitions("block", "kind")
+    texts = docs.mapInArrow(numbered, ddl)
+    both = texts.unionByName(replies.withColumn("kind", F.lit(0)), allowMissingColumns=True)
+    met = both.repartition("block").sortWithinPartitions("block", "kind")
     pieces = pieces_by_id(df.sparkSession, path) if digests else None
     out_ddl = f"`{id_col}` {kind}, n_tokens bigint, " + ("ids_sha256 string, decoded_sha256 string" if digests else "ids binary")
     out_schema = arrow_schema(out_ddl)
@@ -155,7 +176,7 @@ def encode(df: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str =
         def answer(ids: pa.Array, texts: list) -> pa.RecordBatch:
             found, back = [], []
             for text in texts:
-                own = cut.all_parts(text or "")
+                own = cut.all_parts(text)
                 for p in set(own).difference(parts):
                     learn(p)
                 own = [parts[p] for p in own]
@@ -167,23 +188,15 @@ def encode(df: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str =
             return pa.RecordBatch.from_arrays(cols, schema=out_schema)
 
         for batch in batches:
-            blocks, kinds = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            cuts = np.flatnonzero((blocks[1:] != blocks[:-1]) | (kinds[1:] != kinds[:-1])) + 1
-            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
-                if a == b:
-                    continue
-                if blocks[a] != block:
-                    block = blocks[a]
+            for k, (b, kind_of) in enumerate(zip(batch.column("block").to_pylist(), batch.column("kind").to_pylist(), strict=True)):
+                if b != block:
+                    block = b
                     known.clear()
                     parts.clear()
-                rows = batch.slice(a, b - a)
-                if kinds[a] == 0:
-                    for words, ids in zip(rows.column(4), rows.column(5), strict=True):
-                        known.update(zip(words.values.to_pylist(), ids.values.to_pylist(), strict=True))
-                    continue
-                for at in range(0, rows.num_rows, TEXTS):
-                    some = rows.slice(at, TEXTS)
-                    yield answer(some.column(2), some.column(3).to_pylist())
+                if kind_of == 0:
+                    known.update(zip(unpacked(batch.column("words")[k].as_py(), True), unpacked(batch.column("ids")[k].as_py(), False), strict=True))
+                else:
+                    yield answer(batch.column("id")[k].values, unpacked(batch.column("text")[k].as_py(), True))
         del known, parts
         trim()
 

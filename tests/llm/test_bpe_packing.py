@@ -23,7 +23,7 @@ def test_encode_and_decode_like_the_library(spark):
     rows = [(i, t) for i, t in enumerate(texts(300, 5, 40))] + [(300, None), (301, ""), (302, " ".join(f"w{rng.randrange(9000)}" for _ in range(30_000))), (7, "again"), (7, "again"), (None, "no id")]
     theirs = Tokenizer.from_file(PATH)
     want = sorted(((d if d is not None else -1), (e := theirs.encode(t or "", add_special_tokens=False)).ids, theirs.decode(e.ids, skip_special_tokens=False)) for d, t in rows)
-    for block_chars in (3000, 4_000_000):
+    for block_chars in (3000, 16_000_000):
         ids = bpe_words.encode(frame(spark, rows), PATH, block_chars=block_chars)
         got = bpe_words.decode(ids, PATH, keep=("n_tokens", "ids")).collect()
         assert sorted((r.doc_id if r.doc_id is not None else -1, list(struct.unpack(f"<{r.n_tokens}I", r.ids)), r.decoded) for r in got) == want
@@ -35,7 +35,10 @@ def test_each_distinct_word_is_encoded_once_and_goes_to_its_blocks(spark):
     docs = frame(spark, rows).select("text").coalesce(1)
     pairs = bpe_words.words_of_blocks(docs, PATH, 2000).cache()
     assert pairs.count() == pairs.distinct().count() and pairs.select("block").distinct().count() > 3
-    back = {(r.block, w): bytes(x) for r in bpe_words.encoded_words(pairs, PATH, "<u4").collect() for w, x in zip(r.words, r.ids)}
+    back = {}
+    for batch in bpe_words.encoded_words(pairs, PATH, "<u4").toArrow().to_batches():
+        for i, block in enumerate(batch.column("block").to_pylist()):
+            back |= {(block, w): x for w, x in zip(bpe_words.unpacked(batch.column("words")[i].as_py(), True), bpe_words.unpacked(batch.column("ids")[i].as_py(), False))}
     assert set(back) == {(r.block, r.word) for r in pairs.collect()}
     assert all(len({x for (_, w), x in back.items() if w == word}) == 1 for word in {w for _, w in back})
 
