@@ -77,6 +77,11 @@ def sanction_waits(works: DataFrame, today: str, rule: dict = config.SANCTION) -
     return finding(waiting(works, today, rule), "compliance", rule["rule_id"], "low", "work", "work_id", F.format_string("Waiting for %d days", "waited"), ("waited",), standalone=False)
 
 
+def sanction_waits_by_district(works: DataFrame, today: str, rule: dict = config.SANCTION) -> DataFrame:
+    """R-SANC-01: authorities with many works that wait, against all their works."""
+    return district_summary(waiting(works, today, rule), works, rule["rule_id"], rule["district_works"])
+
+
 def sanction_patterns(works: DataFrame, rule: dict = config.SANCTION) -> DataFrame:
     """R-SANC-02: authorities whose median time to sanction is over the limit."""
     rows = works.where("sanction_date is not null and recommended_date is not null and ia_name is not null").withColumn("days", F.datediff("sanction_date", "recommended_date")).where("days >= 0")

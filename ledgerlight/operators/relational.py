@@ -98,9 +98,9 @@ def payments_that_add_up(payments: DataFrame, works: DataFrame, tolerance: float
 
 
 def stratified_sample(rows: DataFrame, stratum: str, score: str, key: str, n: int, seed: int = 7) -> DataFrame:
-    """n rows of each stratum: the top half by score, the rest by a seeded hash. The sample is the point of it."""
+    """n rows of each stratum: the top half by score, the rest by a seeded hash, so that engines agree. The sample is the point of it."""
     top = F.row_number().over(Window.partitionBy(stratum).orderBy(F.desc(score), key))
-    rest = F.row_number().over(Window.partitionBy(stratum, "is_top").orderBy(F.xxhash64(F.lit(seed), key), key))
+    rest = F.row_number().over(Window.partitionBy(stratum, "is_top").orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string"))), key))
     return rows.withColumn("is_top", top <= n // 2).withColumn("_r", rest).where(F.col("is_top") | (F.col("_r") <= n - n // 2)).drop("_r")
 
 

@@ -58,6 +58,12 @@ def with_entities(case: DataFrame, works: DataFrame, retired: DataFrame | None =
     return out
 
 
+def store(case: DataFrame, path: str) -> DataFrame:
+    """Writes cases as the table that read queries go to: in ranges of place, so that files and row groups of other places are passed over."""
+    case.repartitionByRange("state", "district", "entity_id").sortWithinPartitions("state", "district", "entity_id").write.mode("overwrite").parquet(path)
+    return case.sparkSession.read.schema(case.schema).parquet(path)
+
+
 def neighbours(case: DataFrame) -> DataFrame:
     """Cases of the same authority and of the same state. Counts are aggregated first and joined back."""
     by_ia = case.where("ia_name is not null").groupBy("ia_name").agg(F.count(F.lit(1)).alias("authority_cases"))
@@ -143,6 +149,35 @@ def allowed_actions(catalogue: DataFrame, case: DataFrame, role: str) -> DataFra
     return case.join(F.broadcast(rows) if few else rows, (F.col("score") >= F.col("min_score")) & ((F.size("evidence") == 0) | F.arrays_overlap("rules", "evidence"))).select("case_id", "action")
 
 
+def plan_errors(plan: DataFrame, allowed: DataFrame, most: int = 5) -> DataFrame:
+    """(case_id, action, error) for the steps (case_id, step, action) of proposed plans: actions that the case doesn't allow, that come twice, or beyond ``most``."""
+    ok = allowed.select("case_id", "action").distinct().withColumn("ok", F.lit(True))
+    again = F.row_number().over(Window.partitionBy("case_id", "action").orderBy("step")) > 1
+    place = F.row_number().over(Window.partitionBy("case_id").orderBy("step"))
+    rows = plan.withColumns({"again": again, "place": place}).join(ok, ["case_id", "action"], "left")
+    error = F.when(F.col("ok").isNull(), "not allowed").when(F.col("again"), "twice").when(F.col("place") > most, "too many")
+    return rows.select("case_id", "action", error.alias("error")).where("error is not null")
+
+
+def in_script(text: str, script: str = "Devanagari", least: float = 0.5) -> Column:
+    """Whether enough of a text's letters are of a script; texts without letters are not."""
+    letters, own = F.length(F.regexp_replace(text, r"\P{L}", "")), F.length(F.regexp_replace(text, rf"[^\p{{Is{script}}}&&\p{{L}}]", ""))
+    return F.coalesce((letters > 0) & (own >= least * letters), F.lit(False))
+
+
+def planted(works: DataFrame, every: int, changes: dict[str, tuple[str, dict[str, Column]]], seed: int = 7) -> tuple[DataFrame, DataFrame]:
+    """(works with planted cases, planted (pattern, rule_id, entity_id)): of every ``every`` works, chosen by a hash, one is changed for each pattern in turn.
+
+    changes: pattern to (rule, new columns)."""
+    at = F.pmod(F.xxhash64(F.lit(seed), "work_id"), F.lit(every * len(changes)))
+    rows, marks = works.withColumn("_at", at), None
+    for k, (pattern, (rule, columns)) in enumerate(changes.items()):
+        rows = rows.withColumns({c: F.when(F.col("_at") == k * every, v).otherwise(F.col(c)) for c, v in columns.items()})
+        part = works.where(at == k * every).select(F.lit(pattern).alias("pattern"), F.lit(rule).alias("rule_id"), F.col("work_id").alias("entity_id"))
+        marks = part if marks is None else marks.unionByName(part)
+    return rows.drop("_at"), marks
+
+
 def unsupported_numbers(text: str, facts: str) -> Column:
     """Numbers in a text that its facts (array of strings) don't hold: the provenance guard."""
     numbers = F.transform(F.regexp_extract_all(text, F.lit(r"(\d[\d,]*\.?\d*)")), lambda x: F.regexp_replace(F.rtrim(x, F.lit(".")), ",", ""))

@@ -8,6 +8,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ledgerlight.functions import scalar as S
 
@@ -80,6 +81,63 @@ def pages(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return rows.where(F.coalesce("offset", F.lit(0)) + F.col("i") < F.coalesce("total", F.lit(2**62))).select("r.*")
 
 
+class PagedJson(DataSource):
+    """A JSON service that gives its records in pages: ``spark.dataSource.register(PagedJson)``, then ``format("paged_json")`` with a schema.
+
+    Options: url (with {limit} and {offset}), page (records a page), and total, where the service doesn't state it on its first page.
+    Each page is a partition of its own, read by the task that asks for it; what lies beyond the stated total is left out."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "paged_json"
+
+    def reader(self, schema: T.StructType) -> DataSourceReader:
+        return _PageReader(dict(self.options), schema)
+
+
+class _Page(InputPartition):
+    def __init__(self, offset: int, limit: int) -> None:
+        self.offset, self.limit = offset, limit
+
+
+class _PageReader(DataSourceReader):
+    def __init__(self, options: dict[str, str], schema: T.StructType) -> None:
+        self.url, self.page, self.total, self.names = options["url"], int(options.get("page", 1000)), options.get("total"), [(f.name, f.dataType.typeName()) for f in schema]
+
+    def asked(self, offset: int, limit: int) -> dict:
+        import json
+        from urllib.request import urlopen
+
+        with urlopen(self.url.format(limit=limit, offset=offset), timeout=60) as answer:
+            return json.load(answer)
+
+    def partitions(self) -> list[_Page]:
+        total = int(self.total) if self.total else int(self.asked(0, 1).get("total") or 0)
+        return [_Page(at, min(self.page, total - at)) for at in range(0, total, self.page)]
+
+    def read(self, partition: _Page):
+        as_given = {"string": str, "double": float, "long": int, "integer": int, "boolean": bool}
+        for record in self.asked(partition.offset, partition.limit).get("records", [])[: partition.limit]:
+            yield tuple(None if record.get(n) is None else as_given.get(t, lambda x: x)(record[n]) for n, t in self.names)
+
+
+def fund_flows(df: DataFrame, fields: dict[str, str], *, source: str, house: str, fy: str, unit: str = "rupee") -> DataFrame:
+    """Published fund positions of a past regime: amounts in crore, lakh or rupees become rupees; expenditure that isn't published is what was released less what is unspent."""
+    scale = {"rupee": 1.0, "lakh": 1e5, "crore": 1e7}[unit]
+    amounts = ("entitlement", "released", "expenditure", "recommended", "sanctioned", "unspent")
+    have = {to: name for to, name in fields.items() if name in df.columns}
+    cols = {to: (F.round(S.lenient_number(f"`{name}`") * scale, 2) if to in amounts else S.clean_text(F.col(f"`{name}`").cast("string"))) for to, name in have.items()}
+    if "state" in cols:
+        cols["state"] = F.upper(cols["state"])
+    out = df.select(*[c.alias(n) for n, c in cols.items()])
+    if "expenditure" not in cols and {"released", "unspent"} <= set(cols):
+        out = out.withColumn("expenditure", F.col("released") - F.col("unspent"))
+    out = out.drop("unspent").withColumns({"house": F.lit(house), "fy": F.lit(fy), "era": F.lit("pre2023"), "source": F.lit(source)})
+    if {"released", "expenditure"} <= set(out.columns):
+        out = out.withColumn("utilization_pct", F.when(F.col("released") > 0, F.round(100 * F.col("expenditure") / F.col("released"), 2)))
+    return out.withColumn("row_id", F.concat(F.lit(f"{source}-"), F.sha1(F.to_json(F.struct(*out.columns)).cast("binary"))))
+
+
 def tile_json(df: DataFrame, schema: str, body: str = "body") -> DataFrame:
     """Reports whose JSON is a JSON string once more; a lone total is an empty report."""
     text = F.coalesce(F.from_json(F.concat(F.lit('{"x":'), F.col(body), F.lit("}")), "x string")["x"], F.col(body))

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ledgerlight.functions import scalar as S
 from ledgerlight.sources import sinks
@@ -21,6 +25,37 @@ def signatures(probe: DataFrame, key: str = "slice") -> DataFrame:
     return probe.select(key, F.sha1(F.concat_ws("|", F.col("n").cast("string"), F.round("total", 2).cast("string")).cast("binary")).alias("signature"))
 
 
+def changed_below(probes: list[DataFrame], last: list[DataFrame], key: str = "slice", parent: str = "parent") -> DataFrame:
+    """Changed slices of the lowest of several levels. A level is compared only below what changed in the level above, so where nothing moved nothing
+    further is asked; the first level has no parent."""
+    moved = changed_slices(probes[0], last[0], key)
+    for probe, before in zip(probes[1:], last[1:], strict=True):
+        below = probe.join(moved.select(F.col(key).alias(parent)).distinct(), parent, "left_semi")
+        moved = changed_slices(below, before, key)
+    return moved
+
+
+def touched(works: DataFrame, changed: DataFrame, *groups: tuple[str, ...]) -> DataFrame:
+    """Works whose findings may change when some works do: those, and all that share one of the peer groups with them."""
+    hit = works.join(changed.select("work_id").distinct(), "work_id", "left_semi").withColumn("_own", F.lit(True))
+    ids = hit.select("work_id")
+    for g in groups:
+        on = [works[c].eqNullSafe(F.col(f"_{c}")) for c in g]
+        ids = ids.union(works.join(hit.select(*[F.col(c).alias(f"_{c}") for c in g]).distinct(), on, "left_semi").select("work_id"))
+    return works.join(ids.distinct(), "work_id", "left_semi")
+
+
+def recomputed(findings: DataFrame, again: DataFrame, scope: DataFrame) -> DataFrame:
+    """Findings after a change: those of the works in scope come from ``again``, all others stay."""
+    return findings.join(scope.select(F.col("work_id").alias("entity_id")).distinct(), "entity_id", "left_anti").unionByName(again)
+
+
+def due(changed_at: str | None, analysed_at: str | None, now: str, minutes: int = 180) -> bool:
+    """Whether to recompute: something changed since the last analysis, which was long enough ago."""
+    at = lambda t: dt.datetime.fromisoformat(t)
+    return changed_at is not None and (analysed_at is None or (at(changed_at) > at(analysed_at) and at(now) - at(analysed_at) >= dt.timedelta(minutes=minutes)))
+
+
 def payloads(rows: DataFrame, key: str = "slice", without: tuple[str, ...] = ("Sno",)) -> DataFrame:
     """SHA-256 of each slice's rows in any order, serial numbers left out."""
     cols = [c for c in rows.columns if c not in (key, *without)]
@@ -59,6 +94,39 @@ def removals(listed: DataFrame, known: DataFrame, waiting: DataFrame, now: str,
     return gone.unionByName(back)
 
 
+def watched(listings: DataFrame, after_minutes: int = 10) -> DataFrame:
+    """The same on a stream, with state for each work: listings (work_id, read_at, listed, consistent) to (work_id, state, at), a row each time a work's state changes.
+
+    A work that a read doesn't list waits; a consistent read at least ``after_minutes`` later that lacks it too retires it; one that lists it restores it."""
+
+    def step(key, frames, state: GroupState):
+        now, since = state.get if state.exists else ("listed", 0.0)
+        out = []
+        rows = pd.concat(list(frames)).sort_values("read_at")
+        for at, listed, consistent in zip(rows["read_at"], rows["listed"], rows["consistent"]):
+            new = now
+            if listed:
+                new = "listed"
+            elif now == "listed":
+                new, since = "missing", at.timestamp()
+            elif now == "missing" and consistent and at.timestamp() - since >= 60 * after_minutes:
+                new = "retired"
+            if new != now:
+                out.append((key[0], "restored" if new == "listed" else new, at))
+            now = new
+        state.update((now, since))
+        yield pd.DataFrame(out, columns=["work_id", "state", "at"]).astype({"at": "datetime64[us]"})
+
+    kind = listings.schema["work_id"].dataType.simpleString()
+    return listings.groupBy("work_id").applyInPandasWithState(step, f"work_id {kind}, state string, at timestamp", "now string, since double", "append", GroupStateTimeout.NoTimeout)
+
+
+def queued(state: DataFrame, now: str, first_minutes: int = 5, escalate: int = 3, key: str = "slice") -> DataFrame:
+    """(slice, due_at, escalated): slices to read again, each failure doubling the wait; those that failed ``escalate`` times go to a person and stay in the queue."""
+    wait = F.lit(first_minutes * 60) * F.pow(F.lit(2), F.least("failures", F.lit(10)) - 1).cast("bigint")
+    return state.where("failures > 0").select(key, F.timestamp_seconds(F.lit(now).cast("timestamp").cast("bigint") + wait).alias("due_at"), (F.col("failures") >= escalate).alias("escalated"))
+
+
 def parity(stored: DataFrame, portal: DataFrame, key: str, tolerance: float = 1.0) -> DataFrame:
     """Stored figures against the portal's: exact within a rupee and to the row."""
     ours = stored.groupBy(key).agg(F.count(F.lit(1)).alias("our_n"), F.coalesce(F.sum("amount"), F.lit(0.0)).alias("our_total"))

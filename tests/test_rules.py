@@ -105,10 +105,11 @@ def test_duplicates(spark):
     same = "Construction of zephyr quartz obelisk pavilion ward 7"
     rows += [{"description": same}, {"description": same, "mp_name": "SHRI B"}, {"description": same.replace("7", "8")}, {"description": same, "sanctioned_amount": 900000.0, "estimated_cost": 900000.0, "mp_name": "SHRI C"}]
     w = works(spark, *rows)
-    pairs = duplicates.classified(duplicates.candidate_pairs(w, config.DUPLICATE | {"boilerplate_pct": 20.0}))
+    rule = config.DUPLICATE | {"boilerplate_pct": 20.0}
+    pairs = duplicates.classified(duplicates.candidate_pairs(w, rule), w, rule=rule)
     got = {(r.a, r.b): r["class"] for r in pairs.collect()}
     assert got.get(("W60", "W61")) == "held" and got.get(("W60", "W63")) == "cleared" and not any("W62" in k for k in got)
-    found_ = duplicates.duplicate_findings(pairs)
+    found_ = together(*duplicates.near_duplicates(w, rule=rule))
     assert found_.where("not scored").count() == found_.count() >= 2
     vague = works(spark, *[{"description": "Construction of road"} for _ in range(9)])
     assert duplicates.generic_clusters(vague).first().works == 9
