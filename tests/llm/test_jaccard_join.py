@@ -69,3 +69,14 @@ def test_boundary_follows_cost():
     sizes = {n: 10 for n in range(1, 41)}
     assert j.boundary_of(sizes, 90, 0.01) <= j.boundary_of(sizes, 90, 10) <= j.boundary_of(sizes, 90, 1e6)
     assert j.required(10, 10, 90) == 10 and j.prefix_length(10, 90) == 2
+
+
+def test_ids_as_text_and_many_rows_without_one(spark):
+    rows = [(None if d is None else f"d{d:05}", t) for d, t in corpus(4)]
+    rows += [(None, rows[5][1])] * 40 + [(None, rows[8][1] + " more")] * 40 + [("d00001", rows[9][1])] * 5
+    got = j.near_copies(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == brute(rows)
+
+
+def test_counters_grow_with_the_corpus():
+    assert [j.buckets_for(n) for n in (0, 10**6, 15 * 10**6, 10**12)] == [1 << 20, 1 << 20, 1 << 22, 1 << 24]

@@ -118,3 +118,64 @@ def test_copies_beyond_those_of_the_first_document_are_found(spark):
     rows = [(1, text(10) + passage + text(10)), (2, text(20) + passage + text(150) + passage + text(5)), (3, passage + text(200) + passage + text(170) + passage), (4, text(9) + passage), (5, text(20) + (twice := text(60)) + text(90) + twice)]
     got = {r.doc_id: {tuple(map(int, x.split(":")[:2])) for x in r.passages.split(",") if x} for r in p.repeated_passages(spark.createDataFrame([(d, " ".join(w)) for d, w in rows], "doc_id bigint, text string")).collect()}
     assert got == {1: set(), 2: {(20, 80), (230, 290)}, 3: {(0, 60), (260, 320), (490, 550)}, 4: {(9, 69)}, 5: set()}
+
+
+def covered(rows):
+    return {(r.id, r.th): set().union(*(range(s.start, s.end) for s in r.spans)) for r in rows}
+
+
+def test_exact_repeats_are_covered_word_by_word(spark):
+    """Against the definition: words of runs of 50 or more that stand in an earlier document, and no others."""
+    rng = random.Random(9)
+    fresh = iter(range(10**9))
+    unique = lambda n: [f"u{next(fresh)}" for _ in range(n)]
+    shared = [unique(rng.randrange(52, 90)) for _ in range(6)]
+    docs = []
+    for i in range(40):
+        words = unique(rng.randrange(5, 40))
+        for k in rng.sample(range(6), rng.randrange(3)):
+            words += shared[k] + unique(rng.randrange(5, 40))
+        docs.append((i, words))
+    grams = lambda w: {tuple(w[a : a + 50]): a for a in range(len(w) - 49)}
+    seen, want = set(), {}
+    for i, words in docs:
+        own = grams(words)
+        hit = set().union(*(range(a, a + 50) for g, a in own.items() if g in seen))
+        if hit:
+            want[i] = hit
+        seen |= set(own)
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id int, text string")
+    assert {i: x for (i, _), x in covered(p.passages(df).collect()).items()} == want and len(want) > 10
+
+
+def test_rows_that_share_an_id_or_have_none_are_compared(spark):
+    rng = random.Random(10)
+    text = lambda n: " ".join("".join(rng.choices("abcdefghijklm", k=6)) for _ in range(n))
+    passage = text(80)
+    for ids, kind in (((7, 7, None, None, 9), "bigint"), (("b", "b", None, None, "c"), "string")):
+        rows = [(d, f"{text(30)} {passage} {text(20)}") for d in ids]
+        got = p.repeated_passages(spark.createDataFrame(rows, f"doc_id {kind}, text string")).collect()
+        # all but one: the first is one of those without id
+        assert sorted(r.n_passages for r in got) == [0, 1, 1, 1, 1] and [r.n_passages for r in got if r.doc_id is None].count(0) == 1
+        assert all(r.passages.endswith(":null") for r in got if r.n_passages)
+        cut = p.without_passages(spark.createDataFrame(rows, f"doc_id {kind}, text string")).collect()
+        assert sum(passage in r.text for r in cut) == 1 and len(cut) == 5
+
+
+def test_fuzzy_passages_are_found(spark):
+    rng = random.Random(11)
+    vocabulary = ["".join(rng.choices("abcdefghijklmnop", k=rng.randrange(2, 9))) for _ in range(3000)]
+    text = lambda n: rng.choices(vocabulary, k=n)
+    rows, want = [], {}
+    for i in range(0, 240, 2):
+        passage = text(rng.choice([60, 100, 200]))
+        copy = []
+        for w in passage:  # one word in twenty changed, left out or added to
+            copy += {0: [rng.choice(vocabulary)], 1: [], 2: [w, rng.choice(vocabulary)]}.get(rng.randrange(60), [w])
+        before = text(60)
+        rows += [(i, " ".join(text(60) + passage + text(60))), (i + 1, " ".join(before + copy + text(60)))]
+        want[i + 1] = set(range(60, 60 + len(copy)))
+    got = {i: x for (i, _), x in covered(p.passages(spark.createDataFrame(rows, "doc_id int, text string")).collect()).items()}
+    found = [len(got.get(d, set()) & x) >= 0.8 * len(x) for d, x in want.items()]
+    assert sum(found) >= 0.95 * len(found) and set(got) <= set(want)
+    assert sum(len(got[d] - want[d]) for d in got) <= 0.02 * sum(map(len, want.values()))

@@ -60,3 +60,15 @@ def test_near_copies_share_four_fifths_of_their_five_word_shingles(spark, tmp_pa
 def test_no_documents(spark, tmp_path):
     spark.createDataFrame([], "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
     assert c.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_decide_by_id_and_text(spark, tmp_path):
+    rng = random.Random(8)
+    text = lambda n: " ".join("".join(rng.choice("abcdefghijklm") for _ in range(6)) for _ in range(n))
+    a, b, good, shared = text(90), text(90), text(90), text(90)
+    rows = [(1, a), (None, a), (None, b), (2, good), (2, "too short"), (None, "also short"), (3, shared), (3, shared), (4, text(90))]
+    df = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    kept = {(r.doc_id, r.text) for r in c.quality(spark, df, str(tmp_path)).collect()}
+    assert kept == {(d, t) for d, t in rows if "short" not in t}
+    near = sorted((str(r.doc_id), r.text) for r in c.near_copies(spark, df, str(tmp_path)).collect())
+    assert near == sorted((str(d), t) for d, t in [(1, a), (None, b), (2, good), (2, "too short"), (None, "also short"), (3, shared), rows[-1]])

@@ -46,3 +46,11 @@ def test_links_counts_and_components_are_those_of_all_pairs(spark):
         got = v.near_vectors(df, block=block, miss=1e-6).collect()
         assert sorted((str(r.vec_id), r.n_links, str(r.component_id), r.kept) for r in got) == brute(rows)
     assert v.near_vectors(df.limit(0)).count() == 0
+
+
+def test_ids_as_text_and_lengths_beyond_doubles(spark):
+    rng = np.random.default_rng(2)
+    base = rng.standard_normal(8)
+    rows = [(f"v{i:02}", ((base + rng.standard_normal(8) * 0.02) * s).tolist(), "x") for i, s in enumerate((1.0, 1e200, 1e-200, 3e300 / np.abs(base).max()))] + [("w", rng.standard_normal(8).tolist(), "x")]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in v.near_vectors(spark.createDataFrame(rows, "vec_id string, embedding array<double>, label string"), miss=1e-6).collect()}
+    assert got == {f"v{i:02}": (3, "v00") for i in range(4)} | {"w": (0, "w")}
