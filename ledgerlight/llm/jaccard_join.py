@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlight.llm.common import Recent, arrow_schema, components, mixed, shingle_hashes, word_hashes, written
+from ledgerlight.llm.common import Recent, arrow_schema, components, drop, mixed, shingle_hashes, trim, word_hashes, written
 from ledgerlight.llm.tiles import forest, tiled
 
 #: Bits of the table of shingle counts: it grows with the corpus between these, 64 MB at most. And entries of a slice of it.
@@ -106,6 +106,13 @@ def allowed(a, b, num: int):
     return a + b - 2 * -(-num * (a + b) // (100 + num))
 
 
+def some_at_a_time(batches, rows: int = 256):
+    """Batches in slices, so that what is made of them stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def buckets_for(n: int) -> int:
     """Entries of the table of counts for so many documents."""
     return 1 << min(MOST_BITS, max(LEAST_BITS, (n // 4).bit_length()))
@@ -118,15 +125,16 @@ def keys_and_counts(docs: DataFrame, k: int, id_col: str, text_col: str, buckets
 
     def run(batches):
         counts = np.zeros(buckets, np.int32)
-        for batch in batches:
+        for batch in some_at_a_time(batches):
             sets = [set_of(t, k) for t in batch.column(2).to_pylist()]
-            for at in range(0, len(sets), 256):
-                own, n = np.unique(np.concatenate(sets[at : at + 256]) & np.uint64(buckets - 1), return_counts=True)
-                counts[own.astype(np.int64)] += n.astype(np.int32)
+            own, n = np.unique(np.concatenate([np.array([], np.uint64), *sets]) & np.uint64(buckets - 1), return_counts=True)
+            counts[own.astype(np.int64)] += n.astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array([0] * len(sets), pa.int32()), batch.column(0), batch.column(1), pa.array(map(key_of, sets), pa.binary()), pa.array(map(len, sets), pa.int64()), pa.array([sketch_of(x) if len(x) else None for x in sets], pa.binary()), pa.nulls(len(sets), pa.binary())], schema=schema)
         if counts.any():
             n = buckets // SLICE
             yield pa.RecordBatch.from_arrays([pa.array([1] * n, pa.int32()), pa.nulls(n, schema.field("id").type), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.array(range(n), pa.int64()), pa.nulls(n, pa.binary()), pa.array([np.minimum(counts[i * SLICE : (i + 1) * SLICE], 65_535).astype(np.uint16).tobytes() for i in range(n)], pa.binary())], schema=schema)
+        del counts
+        trim()
 
     return docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text")).mapInArrow(run, ddl)
 
@@ -141,7 +149,7 @@ def bucket_counts(slices: DataFrame, buckets: int) -> np.ndarray:
 
     once = slices.select("id", (F.rand(1) * 16).cast("int").alias("part"), "counts").groupBy("id", "part").applyInArrow(summed, "id bigint, part int, counts binary")
     out = np.zeros(buckets, np.int32)
-    for r in once.groupBy("id").applyInArrow(summed, "id bigint, part int, counts binary").toLocalIterator():
+    for r in once.groupBy("id").applyInArrow(summed, "id bigint, part int, counts binary").collect():
         out[r.id * SLICE : (r.id + 1) * SLICE] = np.minimum(np.frombuffer(bytes(r.counts), np.int64), 2**31 - 1)
     return out
 
@@ -155,7 +163,7 @@ def postings(docs: DataFrame, counts: np.ndarray, boundary: int, num: int, k: in
 
     def run(batches):
         count, seen = shared.value, Recent(lambda key: True, 100_000)
-        for batch in batches:
+        for batch in some_at_a_time(batches):
             tokens, keys, sizes = [np.array([], np.uint64)], [], []
             for text in batch.column(0).to_pylist():
                 x = set_of(text, k)
@@ -177,6 +185,8 @@ def postings(docs: DataFrame, counts: np.ndarray, boundary: int, num: int, k: in
                 keys += [key] * len(out)
                 sizes += [n] * len(out)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64())], schema=schema)
+        del seen
+        trim()
 
     return docs.select(F.col(text_col)).mapInArrow(run, "token bigint, key binary, n bigint")
 
@@ -201,6 +211,7 @@ def shared_lists(listed: DataFrame) -> DataFrame:
             t = t.take(pa.array(keep))
             held, out_already = t.slice(len(keep) - 1).combine_chunks().to_batches()[0], gone
             yield from t.filter(pa.array(send)).cast(schema).to_batches()
+        trim()
 
     return listed.repartition("token").sortWithinPartitions("token", "key").mapInArrow(run, "token bigint, key binary, n bigint")
 
@@ -236,7 +247,7 @@ def verified(pairs: DataFrame, reps: DataFrame, source: Source, num: int, k: int
             return key_of(x), x
 
         sets = Recent(named, 64)
-        for batch in batches:
+        for batch in some_at_a_time(batches):
             ok = []
             for a, b, x, y in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "x", "y")), strict=True):
                 (p, x), (q, y) = sets[x], sets[y]
@@ -244,6 +255,8 @@ def verified(pairs: DataFrame, reps: DataFrame, source: Source, num: int, k: int
                 both = int((x[at] == y).sum()) if p == a and q == b else -1  # texts of one hash may differ
                 ok.append(both >= 0 and 100 * both >= num * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], schema=schema).filter(pa.array(ok))
+        del sets
+        trim()
 
     return both.select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
 
@@ -263,6 +276,7 @@ def likely(pairs: DataFrame, listed: DataFrame, num: int) -> DataFrame:
                 size = min(len(x), len(y))
                 ok.append(int(np.bitwise_count(folded(np.frombuffer(x, np.uint8), size) ^ folded(np.frombuffer(y, np.uint8), size)).sum()) <= m)
             yield pa.RecordBatch.from_arrays([batch.column(f.name) for f in schema], schema=schema).filter(pa.array(ok))
+        trim()
 
     return rows.mapInArrow(run, "a binary, b binary, hub_degree bigint")
 
@@ -346,7 +360,9 @@ def near_copies(docs: DataFrame, *, num: int = 90, k: int = 3, scan_cost: float
     others = written(verified(left, reps, source, num, k))
     if not others.isEmpty():
         links = written(links.union(others))
+        drop(comps)
         comps = components(links)
+    drop(pairs, best, left)
 
     # lists in which pairs other than those with the hub are left, each set of members once
     open_lists = members.join(comps.withColumnRenamed("node", "key"), "key", "left").withColumn("comp", F.coalesce("component", "key")).drop("component")
