@@ -146,11 +146,14 @@ class Recent(dict):
         found = self.old.get(key)
         if found is None:
             found = self.make(key)
+        self.add(key, found)
+        return found
+
+    def add(self, key, found) -> None:
         if len(self) >= self.most:
             self.old = dict(self)
             self.clear()
         self[key] = found
-        return found
 
 
 def word_hashes(text: str | None, *, lower: bool = True) -> np.ndarray:

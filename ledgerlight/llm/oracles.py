@@ -44,4 +44,12 @@ links as (select a.vec_id as a, b.vec_id as b from v a join v b on a.label = b.l
 reach as (select vec_id as a, vec_id as b from embeddings union select r.a, l.b from reach r join links l on r.b = l.a)
 select vec_id, (select count(*) from links where a = vec_id) as n_links, (select min(b) from reach where a = vec_id) as component_id, vec_id = (select min(b) from reach where a = vec_id) as kept from embeddings"""
 
-SQL = {"op2_quality_rules": OP2, "op7_jaccard_join": OP7, "op9_vector_dedup": OP9}
+OP11 = """
+with t as (select doc_id, coalesce(text, '') as text, sha256('1:' || doc_id::varchar) as h from documents),
+k as (select *, length(text) as n, (('0x' || h[1:8])::bigint) as h1, (('0x' || h[9:16])::bigint) as h2, (('0x' || h[17:24])::bigint) as h3, (('0x' || h[25:32])::bigint) as h4 from t),
+c as (select *, least(h1 % (n + 1), h2 % (n + 1)) as a, greatest(h1 % (n + 1), h2 % (n + 1)) as b, case when n = 0 or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') or h3 % 100 >= 90 then 'plain' when h4 % 100 < 20 then 'spm' else 'psm' end as form from k),
+o as (select *, substring(text, 1, a) as p, substring(text, a + 1, b - a) as m, substring(text, b + 1) as s from c)
+select doc_id, n, form, case when form <> 'plain' then a end as prefix_chars, case when form <> 'plain' then b - a end as middle_chars,
+ sha256(case form when 'plain' then text when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m else '<S>' || s || '<P>' || p || '<M>' || m end) as output_sha256, sha256(case when form = 'plain' then text else p || m || s end) as restored_sha256 from o"""
+
+SQL = {"op2_quality_rules": OP2, "op7_jaccard_join": OP7, "op9_vector_dedup": OP9, "op11_fill_middle": OP11}

@@ -1,4 +1,4 @@
-"""The queries op1 to op10 and the pipeline, each over its whole table, and their SQL."""
+"""The queries op1 to op13 and the pipeline, each over its whole table, and their SQL."""
 
 from __future__ import annotations
 
@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ledgerlight.llm import bpe_words, chat_format, jaccard_join, oracles, packing, passage_dedup, quality_rules, secret_scan, token_counts, toxicity, vector_dedup
+from ledgerlight.llm import bpe_words, byte_bpe, chat_format, fill_middle, jaccard_join, oracles, packing, passage_dedup, quality_rules, secret_scan, token_counts, toxicity, vector_dedup, whitening
 
 WORD_BPE, BYTE_BPE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
+BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +59,19 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digest(fill_middle.fill_in_middle(table(spark, sf_dir, "documents")))
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = byte_bpe.encode(table(spark, sf_dir, "documents"), BYTE_RANKS, public_tokenizers.PATTERN, decoded=True)
+    return found.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.by_component(whitening.whiten(table(spark, sf_dir, "embeddings")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -64,7 +79,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_chat_format, op2_quality_rules, op3_toxicity, op4_bpe, op5_packing, op6_secret_scan, op7_jaccard_join, op8_passage_dedup, op9_vector_dedup, op10_token_counts, pipeline)
+    found = (op1_chat_format, op2_quality_rules, op3_toxicity, op4_bpe, op5_packing, op6_secret_scan, op7_jaccard_join, op8_passage_dedup, op9_vector_dedup, op10_token_counts, op11_fill_middle, op12_byte_bpe, op13_whitening, pipeline)
     return {f.__name__: f for f in found}
 
 
