@@ -51,4 +51,9 @@ SECULAR = r"\b(shishu|vidya|vidhya|saraswati|bal|balak|gyan|shiksha|sanskar|sama
 LOCATIVE = r"^\s*(?:n[iaeou]|k[aeiou]|no|nu)?\s*(?:ke\s+(?:pas|paas|paass|nikat|samip|samne|nazdik|bagal|piche|aas[\s-]?pas|ass[\s-]?pass)|ki\s+taraf|se\s|se$|tak\b|pase\b|paas\b|pas\b|par\b|thi\b|sudhi\b|najik\b|javal\b|shejari\b|wali\b|wale\b)"
 LOCAL_BODY = r"(^|[^a-z])(g\.?\s?p\.?|gram\s*panch\w*|grampanch\w*|village\s*panch\w*|panch(a?y?a?t|yat|ayt)h?\w*|nagar\s*(palika?|palik|panch\w*|nigam|nigan|parishad|parisad)|municipal\w*|janpad|(zil+a|jila)\s*(parishad|panch\w*)|mandal\s*parishad|sarpanch)([^a-z]|$)"
 VILLAGE_BODY = r"(^|[^a-z])(g\.?\s?p\.?|gram\s*panch\w*|grampanch\w*|village\s*panch\w*|sarpanch)([^a-z]|$)"
-NOISE = r"(?i)\b(construction of|providing and|work of|proposed)\b"
+#: What a title leaves out of a description.
+NOISE = (
+    r"as per (the )?attached( letter| list)?", "attached letter", "continued? work",
+    "continue work", "balance work", "as per estimate", "as per (the )?list",
+    r"under mplads?( fund[s]?)?", r"mplads? fund[s]?", r"work order no\.?\s*\S*",
+)

@@ -117,12 +117,16 @@ def hamming_bits(a, b) -> Column:
     return F.bit_count(half(a, 1).bitwiseXOR(half(b, 1))) + F.bit_count(half(a, 9).bitwiseXOR(half(b, 9)))
 
 
-def short_title(c, most: int = 62) -> Column:
-    """Without noise phrases; cut at a space, capitalised."""
-    t = F.trim(F.regexp_replace(F.regexp_replace(col(c), config.NOISE, " "), r"\s+", " "))
-    cut = F.regexp_replace(F.substring(t, 1, most), r"\s+\S*$", "")
-    t = F.when(F.length(t) > most, F.concat(cut, F.lit("…"))).otherwise(t)
-    return F.concat(F.upper(F.substring(t, 1, 1)), F.substring(t, 2, 2**31 - 2))
+def short_title(c, category=None, most: int = 62) -> Column:
+    """A description without noise phrases, cut at a space, capitalised; the category where too little is left, "Untitled work" where that is missing too."""
+    ends = r"^[ .,\-–—]+|[ .,\-–—]+$"
+    tidy = lambda x: F.regexp_replace(F.trim(F.regexp_replace(F.coalesce(x, F.lit("")), r"(?U)\s+", " ")), ends, "")
+    t = tidy(F.regexp_replace(tidy(col(c)), rf"(?i)\b({'|'.join(config.NOISE)})\b", ""))
+    other = F.trim(F.regexp_replace(F.coalesce(col(category), F.lit("")), r"(?U)\s+", " ")) if category is not None else F.lit("")
+    t = F.when(F.length(t) < 8, other).otherwise(t)
+    cut = F.regexp_replace(F.regexp_replace(F.substring(t, 1, most), r" [^ ]*$", ""), r"[ .,\-–—]+$", "")
+    large = lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.substring(x, 2, 2**31 - 2))
+    return F.when(t == "", "Untitled work").when(F.length(t) > most, F.concat(large(cut), F.lit("…"))).otherwise(large(t))
 
 
 def money(c) -> Column:

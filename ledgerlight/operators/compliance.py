@@ -56,9 +56,9 @@ def cost_limits(works: DataFrame, rule: dict = config.COST_CEILING) -> DataFrame
 
 def district_summary(marked: DataFrame, population: DataFrame, rule_id: str, least: int) -> DataFrame:
     """One finding for an authority with many marked works: its count against its population."""
-    n = marked.where("ia_name is not null").groupBy("ia_name", "state").agg(F.count(F.lit(1)).alias("works"))
-    total = population.where("ia_name is not null").groupBy("ia_name", "state").agg(F.count(F.lit(1)).alias("population"))
-    rows = n.where(F.col("works") >= least).join(total, ["ia_name", "state"]).withColumn("share", F.col("works") / F.col("population"))
+    n = marked.where("ia_name is not null").groupBy("ia_name").agg(F.count(F.lit(1)).alias("works"), F.min("state").alias("state"))
+    total = population.where("ia_name is not null").groupBy("ia_name").agg(F.count(F.lit(1)).alias("population"))
+    rows = n.where(F.col("works") >= least).join(total, ["ia_name"]).withColumn("share", F.col("works") / F.col("population"))
     return finding(rows, "compliance", rule_id, "low", "agency", "ia_name", F.format_string("%d of %d works", "works", "population"), ("state", "works", "population", "share"))
 
 
@@ -67,8 +67,12 @@ def below_minimum_by_district(works: DataFrame, rule: dict = config.COST_CEILING
     return district_summary(base.where(F.col("cost") < rule["least"]), base, rule["rule_id"], rule["district_works"])
 
 
+def pending(works: DataFrame) -> DataFrame:
+    return works.where("sanction_date is null and status = 'Pending for Sanction'")
+
+
 def waiting(works: DataFrame, today: str, rule: dict = config.SANCTION) -> DataFrame:
-    rows = works.where("sanction_date is null and recommended_date is not null and status = 'Pending for Sanction'")
+    rows = pending(works).where("recommended_date is not null")
     return rows.withColumn("waited", F.datediff(F.lit(today).cast("date"), "recommended_date")).where(F.col("waited") > rule["days"])
 
 
@@ -78,8 +82,8 @@ def sanction_waits(works: DataFrame, today: str, rule: dict = config.SANCTION) -
 
 
 def sanction_waits_by_district(works: DataFrame, today: str, rule: dict = config.SANCTION) -> DataFrame:
-    """R-SANC-01: authorities with many works that wait, against all their works."""
-    return district_summary(waiting(works, today, rule), works, rule["rule_id"], rule["district_works"])
+    """R-SANC-01: authorities with many works that wait too long, against all that wait."""
+    return district_summary(waiting(works, today, rule), pending(works), rule["rule_id"], rule["district_works"])
 
 
 def sanction_patterns(works: DataFrame, rule: dict = config.SANCTION) -> DataFrame:

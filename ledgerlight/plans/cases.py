@@ -21,9 +21,11 @@ def weight() -> Column:
 def cases(findings: DataFrame) -> DataFrame:
     """One row an entity with a finding that can stand alone; context and held findings add nothing to the score (0 to 100)."""
     rows = findings.withColumn("points", F.when(F.col("scored"), weight()).otherwise(0))
+    # context never leads
+    lead = F.struct("standalone", S.severity_rank("severity"), "points", "rule_id", "summary")
     out = rows.groupBy("entity_type", "entity_id").agg(
         F.max("standalone").alias("stands"), F.least(F.lit(100), F.sum("points")).cast("int").alias("score"), F.count(F.lit(1)).alias("n_findings"), F.array_sort(F.collect_set("rule_id")).alias("rules"),
-        F.max_by("rule_id", F.struct(S.severity_rank("severity"), "points", "rule_id")).alias("primary_rule"), F.max_by("severity", S.severity_rank("severity")).alias("severity"),
+        F.max_by("rule_id", lead).alias("primary_rule"), F.max_by("summary", lead).alias("primary_signal"), F.max_by("severity", S.severity_rank("severity")).alias("severity"), F.max(F.col("details")["actor"]).alias("actor"),
     ).where("stands").drop("stands")
     return out.withColumns({"case_id": S.hash_id("F-", F.concat_ws("|", "entity_type", "entity_id"), 10, upper=True), "alert": F.col("score") >= config.ALERT, "band": S.band("score")})
 
@@ -49,13 +51,38 @@ def usable(df: DataFrame, *needed: str) -> dict[str, bool]:
 
 
 def with_entities(case: DataFrame, works: DataFrame, retired: DataFrame | None = None) -> DataFrame:
-    """Cases on works with their place; a retired work's place comes from its last record."""
-    meta = works.groupBy(F.col("work_id").alias("entity_id")).agg(*[F.min_by(c, F.struct(F.coalesce("recommended_date", F.lit("9999-12-31").cast("date")), c)).alias(c) for c in ("state", "district", "constituency", "mp_name", "ia_name")])
-    out = case.join(meta, "entity_id", "left")
+    """Cases with their place, a short title and a label. A work's come from its record, or the last one where it is no longer listed;
+    those of a member's seat and of an authority from the id."""
+    place, text = ("state", "district", "constituency", "mp_name", "ia_name"), ("description", "category")
+    meta = works.groupBy(F.col("work_id").alias("entity_id")).agg(*[F.min_by(c, F.struct(F.coalesce("recommended_date", F.lit("9999-12-31").cast("date")), c)).alias(c) for c in (*place, *text)]).withColumn("entity_type", F.lit("work"))
+    out = case.join(meta, ["entity_type", "entity_id"], "left")
     if retired is not None:
-        old = retired.groupBy(F.col("work_id").alias("entity_id")).agg(F.max("record_json").alias("j"))
-        out = out.join(old, "entity_id", "left").select(*[F.coalesce(F.col(c), F.get_json_object("j", f"$.{c}")).alias(c) if c in ("state", "district", "constituency", "mp_name", "ia_name") else F.col(c) for c in out.columns])
-    return out
+        old = retired.groupBy(F.col("work_id").alias("entity_id")).agg(F.max("record_json").alias("j")).withColumn("entity_type", F.lit("work"))
+        out = out.join(old, ["entity_type", "entity_id"], "left").select(*[F.coalesce(F.col(c), F.get_json_object("j", f"$.{c}")).alias(c) if c in (*place, *text) else F.col(c) for c in out.columns])
+    kind, eid = F.col("entity_type"), F.col("entity_id")
+    seat, actor = (kind == "constituency") & eid.contains("|"), (kind == "agency") & eid.rlike("^(vendor|agency):")
+    out = out.withColumns({
+        "constituency": F.when(seat, F.substring_index(eid, "|", 1)).otherwise(F.col("constituency")), "state": F.when(seat, F.expr("substring(entity_id, locate('|', entity_id) + 1)")).otherwise(F.col("state")),
+        "ia_name": F.when((kind == "agency") & ~actor, eid).otherwise(F.col("ia_name")),
+    })
+    name = F.initcap(F.coalesce("actor", F.expr("substring(entity_id, locate(':', entity_id) + 1)")))
+    authority = F.when(F.upper("ia_name").contains("_IDA"), F.trim(F.substring_index("ia_name", "(", 1))).otherwise(F.col("ia_name"))
+    title = F.when(kind == "work", S.short_title("description", "category")).when(kind == "constituency", F.coalesce("constituency", eid)).when(actor, F.substring(name, 1, 62)).otherwise(F.substring(F.initcap(authority), 1, 62))
+    label = F.when(kind == "work", F.concat(F.lit("Work "), eid, F.when(F.coalesce("description", F.lit("")) != "", F.concat(F.lit(" — "), F.substring("description", 1, 70))).otherwise("")))
+    label = label.when(kind == "constituency", F.trim(F.concat(F.coalesce("constituency", eid), F.lit(" ("), F.coalesce("state", F.lit("")), F.lit(")"))))
+    label = label.when(actor, F.concat(F.when(eid.startswith("vendor:"), "Vendor: ").otherwise("Implementing agency: "), name)).otherwise(F.concat(F.lit("District authority: "), F.initcap(authority)))
+    return out.withColumns({"display_title": title, "entity_label": label}).drop(*text)
+
+
+def seen(case: DataFrame, now: str, before: DataFrame | None = None, feedback: DataFrame | None = None) -> DataFrame:
+    """Adds when each case was first seen and its latest decision; both outlive a new analysis. before: (case_id, first_seen), feedback: (case_id, id, decision)."""
+    out = case
+    if before is not None:
+        out = out.join(before.groupBy("case_id").agg(F.min("first_seen").alias("first_seen")), "case_id", "left")
+    if feedback is not None:
+        out = out.join(feedback.groupBy("case_id").agg(F.max_by("decision", "id").alias("review_status")), "case_id", "left")
+    old = lambda c, kind, other: F.coalesce(F.col(c) if c in out.columns else F.lit(None).cast(kind), other)
+    return out.withColumns({"first_seen": old("first_seen", "timestamp", F.lit(now).cast("timestamp")), "review_status": old("review_status", "string", F.lit("open"))})
 
 
 def store(case: DataFrame, path: str) -> DataFrame:
@@ -100,9 +127,14 @@ def last_review(case: DataFrame, feedback: DataFrame, before: DataFrame) -> Data
     return case.join(latest, "case_id", "left").join(before.select("case_id", F.col("first_seen").alias("seen_before")), "case_id", "left").withColumn("review_status", F.coalesce("review_status", F.lit("open")))
 
 
-def filtered(case: DataFrame, *, states=(), districts=(), bands=(), rules=(), min_score: int | None = None, alert: bool | None = None, search: str | None = None) -> DataFrame:
-    """AND of lists; search matches text as it is, with % and _ escaped."""
-    tests = [F.col(c).isin(*v) for c, v in (("state", states), ("district", districts), ("band", bands)) if v]
+#: What a search looks in.
+SEARCHED = ("display_title", "entity_id", "entity_label", "primary_signal")
+
+
+def filtered(case: DataFrame, *, states=(), districts=(), constituencies=(), entity_types=(), statuses=(), bands=(), rules=(), min_score: int | None = None, alert: bool | None = None, search: str | None = None) -> DataFrame:
+    """AND of lists; search matches text as it is, with % and _ escaped, in any case of letters."""
+    lists = (("state", states), ("district", districts), ("constituency", constituencies), ("entity_type", entity_types), ("review_status", statuses), ("band", bands))
+    tests = [F.col(c).isin(*v) for c, v in lists if v]
     if rules:
         tests.append(F.exists("rules", lambda r: r.isin(*rules)))
     if min_score is not None:
@@ -111,17 +143,17 @@ def filtered(case: DataFrame, *, states=(), districts=(), bands=(), rules=(), mi
         tests.append(F.col("alert") == alert)
     if search:
         pattern = "%" + search.replace("\\", "\\\\").replace("%", r"\%").replace("_", r"\_") + "%"
-        tests.append(reduce(lambda a, b: a | b, [F.coalesce(F.col(c).ilike(pattern), F.lit(False)) for c in ("entity_id", "district", "constituency", "mp_name")]))
+        tests.append(reduce(lambda a, b: a | b, [F.coalesce(F.col(c).ilike(pattern), F.lit(False)) for c in SEARCHED]))
     return case.where(reduce(lambda a, b: a & b, tests)) if tests else case
 
 
-ORDERS = {"score": (F.desc, "score"), "newest": (F.desc, "first_seen"), "findings": (F.desc, "n_findings"), "place": (F.asc, "state")}
+ORDERS = {"risk": (F.desc, ("score",)), "risk_asc": (F.asc, ("score",)), "recent": (F.desc, ("first_seen",)), "state": (F.asc, ("state",))}
 
 
-def page(case: DataFrame, order: str = "score", limit: int = 50, offset: int = 0) -> DataFrame:
-    """One page, at most 200 rows; ties by entity."""
-    by, c = ORDERS[order]
-    return case.orderBy(by(c), "entity_type", "entity_id").offset(offset).limit(min(limit, 200))
+def page(case: DataFrame, order: str = "risk", limit: int = 50, offset: int = 0) -> DataFrame:
+    """One page, at most 200 rows; ties by score, then by entity. An order that isn't known is that by risk."""
+    by, columns = ORDERS.get(order, ORDERS["risk"])
+    return case.orderBy(*map(by, columns), F.desc("score"), "entity_type", "entity_id").offset(offset).limit(min(limit, 200))
 
 
 def stats(case: DataFrame) -> DataFrame:
@@ -143,10 +175,12 @@ def facets(case: DataFrame, *columns: str) -> DataFrame:
 
 
 def allowed_actions(catalogue: DataFrame, case: DataFrame, role: str) -> DataFrame:
-    """Actions that a role may take on a case: by role, least score, and evidence the case has."""
-    rows = catalogue.where(F.array_contains("roles", role))
+    """Actions that a role may take on a case: by role, least score, and evidence the case has. Actions meet cases at each rule that is evidence for them, or at none."""
+    none = F.array(F.lit(None).cast("string"))
+    rows = catalogue.where(F.array_contains("roles", role)).select("action", "min_score", F.explode(F.when(F.size("evidence") == 0, none).otherwise(F.col("evidence"))).alias("rule"))
     few = rows.limit(BROADCAST + 1).count() <= BROADCAST
-    return case.join(F.broadcast(rows) if few else rows, (F.col("score") >= F.col("min_score")) & ((F.size("evidence") == 0) | F.arrays_overlap("rules", "evidence"))).select("case_id", "action")
+    held = case.select("case_id", "score", F.explode(F.concat("rules", none)).alias("held"))
+    return held.join(F.broadcast(rows) if few else rows, F.col("held").eqNullSafe(F.col("rule")) & (F.col("score") >= F.col("min_score"))).select("case_id", "action").distinct()
 
 
 def plan_errors(plan: DataFrame, allowed: DataFrame, most: int = 5) -> DataFrame:

@@ -17,9 +17,3 @@ def shared_folder(spark: SparkSession) -> str:
         found = "file://" + tempfile.mkdtemp(prefix="ledgerlight-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
-
-
-def use_checkpoints(spark: SparkSession) -> None:
-    """Sets the checkpoint folder where none is set."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))

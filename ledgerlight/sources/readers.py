@@ -52,7 +52,14 @@ def mapped(df: DataFrame, fields: dict[str, str], *, source: str, id_prefix: str
         out = out.withColumn("work_id", F.sha1(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols]).cast("binary")))
     if era_date:
         out = out.withColumn("era", S.era(S.lenient_date(era_date)))
-    return out.dropDuplicates(["work_id"])
+    return one_each(out, "work_id")
+
+
+def one_each(df: DataFrame, key: str, *order: str) -> DataFrame:
+    """The first row of each key; rows that tie follow their contents, so the choice is the same each time."""
+    from ledgerlight.operators.relational import first_of
+
+    return first_of(df.withColumn("_row", F.to_json(F.struct(*df.columns))), [key], *order, "_row").drop("_row")
 
 
 def united(*frames: DataFrame) -> DataFrame:
@@ -65,13 +72,11 @@ def united(*frames: DataFrame) -> DataFrame:
 
 def first_source_wins(frames: list[DataFrame], key: str) -> DataFrame:
     """Union in which an id comes from the earliest source that has it."""
-    from ledgerlight.operators.relational import first_of
-
     out = None
     for i, f in enumerate(frames):
         part = f.withColumn("_source", F.lit(i))
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
-    return first_of(out, [key], "_source").drop("_source")
+    return one_each(out, key, "_source").drop("_source")
 
 
 def pages(spark: SparkSession, path: str, schema: str) -> DataFrame:

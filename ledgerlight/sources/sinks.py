@@ -39,7 +39,7 @@ def upserted(stored: DataFrame, batch: DataFrame, key: str, observed_at: str, tr
     latest = batch.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(*[F.col(c).asc_nulls_last() for c in batch.columns if c != key]))).where("_n = 1").drop("_n")
     old = stored.select(F.col(key).alias("_k"), *[as_text(c).alias(f"_o_{c}") for c in fields])
     both = latest.join(old, latest[key] == F.col("_k"))
-    edits = both.select(key, F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(f"_o_{c}").alias("old_value"), as_text(c).alias("new_value")) for c in fields])).alias("e")).select(key, "e.*")
+    edits = both.select(key, F.explode(F.array().cast("array<struct<field:string,old_value:string,new_value:string>>") if not fields else F.array(*[F.struct(F.lit(c).alias("field"), F.col(f"_o_{c}").alias("old_value"), as_text(c).alias("new_value")) for c in fields])).alias("e")).select(key, "e.*")
     edits = edits.where("not (old_value <=> new_value)").withColumn("observed_at", F.lit(observed_at).cast("timestamp"))
     table = stored.join(latest.select(key), key, "left_anti").unionByName(latest, allowMissingColumns=True)
     return table, edits

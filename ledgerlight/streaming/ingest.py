@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ledgerlight.functions import scalar as S
-from ledgerlight.sources import sinks
+from ledgerlight.sources.buckets import BucketTable
 
 
 def changed_slices(probe: DataFrame, last: DataFrame, key: str = "slice") -> DataFrame:
@@ -139,23 +139,25 @@ def oldest_first(state: DataFrame, limit: int | None = None) -> DataFrame:
     return rows.limit(limit) if limit else rows
 
 
-def start_upserts(spark: SparkSession, stream: DataFrame, table: str, log: str, checkpoint: str, key: str = "work_id", trigger: str | None = None) -> StreamingQuery:
-    """Upserts each micro-batch and appends its edits. A batch that comes again changes nothing: its edits are in a folder of its own, and the table version is written beside the one it read."""
-    fs = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p).getFileSystem(spark._jsc.hadoopConfiguration())
+def start_upserts(spark: SparkSession, stream: DataFrame, table: str, checkpoint: str, key: str = "work_id", trigger: str | None = None, buckets: int = 64, keep: int = 2) -> StreamingQuery:
+    """Upserts each micro-batch into a table in buckets, of which only those that the batch touches are rewritten, and logs its edits.
 
-    def there(p: str) -> bool:
-        return fs(p).exists(spark._jvm.org.apache.hadoop.fs.Path(f"{p}/_SUCCESS"))
+    A version names the epochs it holds, so a batch that comes again changes nothing. A later epoch of a stream whose table is gone, or
+    that has not had the one before, is an error: the table would start over without what came before. A stream with a checkpoint of
+    its own goes on with the table as it is."""
+    name = checkpoint.rstrip("/")
 
     def write(batch: DataFrame, epoch: int) -> None:
-        before = f"{table}/v={epoch - 1}"
-        if there(before):
-            merged, edits = sinks.upserted(spark.read.parquet(before), batch, key, str(spark.sql("select current_timestamp()").first()[0]))
-            edits.write.mode("overwrite").parquet(f"{log}/epoch={epoch}")
-        else:
-            merged = batch.dropDuplicates([key])
-        merged.write.mode("overwrite").parquet(f"{table}/v={epoch}")
-        # the version before stays: a batch that comes again starts from it
-        fs(table).delete(spark._jvm.org.apache.hadoop.fs.Path(f"{table}/v={epoch - 2}"), True)
+        at, t = str(spark.sql("select current_timestamp()").first()[0]), BucketTable(spark, table)
+        if not t.exists():
+            if epoch:
+                raise FileNotFoundError(f"epoch {epoch} of {name}: the table {table} is gone")
+            t.create(batch.limit(0), key, buckets)
+        last = t.version().epochs.get(name)
+        if epoch and (last is None or epoch > last + 1):
+            raise ValueError(f"epoch {epoch} of {name}: {table} has {'none' if last is None else f'only {last}'} of the epochs before")
+        t.upsert(batch, at, epoch=(name, epoch))
+        t.vacuum(keep)
 
     writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=trigger) if trigger else writer.trigger(availableNow=True)).start()

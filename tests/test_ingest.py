@@ -1,5 +1,4 @@
 import json
-import time
 
 from pyspark.sql import functions as F
 
@@ -57,16 +56,7 @@ def test_removal_needs_two_reads(spark):
     assert {r.state for r in ingest.removals(known, known, first, "2024-01-01 00:11:00").collect()} == {"restored"}
 
 
-def test_streamed_upserts_and_windows(spark, tmp_path):
-    src, schema = tmp_path / "in", "work_id string, state string, estimated_cost double"
-    for i, rows in enumerate(([("1", "UP", 5.0)], [("1", "UP", 8.0), ("2", "MP", 1.0)])):
-        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(src))
-        time.sleep(1.1)
-        stream = spark.readStream.schema(schema).parquet(str(src))
-        ingest.start_upserts(spark, stream, str(tmp_path / "t"), str(tmp_path / "log"), str(tmp_path / "cp")).awaitTermination(60)
-    got = spark.read.parquet(str(tmp_path / "t/v=1"))
-    assert sorted(map(tuple, got.collect())) == [("1", "UP", 8.0), ("2", "MP", 1.0)]
-    assert spark.read.parquet(str(tmp_path / "log")).select("field", "old_value", "new_value").collect()[0] == ("estimated_cost", "5", "8")
+def test_windows(spark):
     events = spark.createDataFrame([("2024-01-01 00:01:00", 1, 2.0), ("2024-01-01 00:59:00", 1, 3.0), ("2024-01-01 02:00:00", 1, 4.0)], "ts string, user_id int, value double").withColumn("ts", F.col("ts").cast("timestamp"))
     assert sorted(r.n for r in ingest.windowed(events, "1 hour").collect()) == [1, 2] and ingest.sessions(events, "30 minutes").count() == 3
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from ledgerlight import config
 from ledgerlight.operators import compliance, duplicates, network, payments, peers, revisions
-from ledgerlight.operators.findings import together
+from ledgerlight.operators.findings import finding, together
 from ledgerlight.plans import analysis, cases
 from ledgerlight.sources.readers import conformed
 
@@ -123,7 +123,7 @@ def test_cases_fold_and_score(spark):
     w = works(spark, {"sanction_date": DAY(2024, 1, 1), "sanctioned_amount": 3e7, "estimated_cost": 3e7}, {"sanctioned_amount": 1e5})
     f = together(compliance.completion_norm(w, TODAY), compliance.cost_limits(w))
     got = {r.entity_id: r for r in cases.cases(f).collect()}
-    assert got["W0"].score == 30 and got["W0"].rules == ["R-COST-01", "R-TIME-01"] and got["W0"].primary_rule == "R-TIME-01" and got["W1"].score == 17
+    assert got["W0"].score == 30 and got["W0"].rules == ["R-COST-01", "R-TIME-01"] and got["W0"].primary_rule == "R-TIME-01" and got["W1"].score == 12
     shuffled = cases.cases(f.orderBy(F.rand(3)))
     assert {r.entity_id: r.score for r in shuffled.collect()} == {k: r.score for k, r in got.items()}
     all_, notes = analysis.findings(analysis.Corpus(w), TODAY)
@@ -136,3 +136,58 @@ def test_allowed_actions_of_a_long_catalogue(spark):
         catalogue = spark.range(n).selectExpr("concat('act ', id) as action", "array('district') as roles", "20 as min_score", "if(id % 2 = 0, array(), array('P-SEQ-02')) as evidence")
         got = cases.allowed_actions(catalogue, case, "district").collect()
         assert {r.action for r in got} == {f"act {i}" for i in range(0, n, 2)} and {r.case_id for r in got} == {"F-1"} and len(got) == (n + 1) // 2
+
+
+def test_context_adds_nothing_to_scores(spark):
+    """By hand: 40 + 12 count; a low cost (context) and a held pair don't, and a case of context alone isn't one."""
+    facts = [
+        ("W0", "R-PROH-01", "critical", True, True), ("W0", "R-TIME-01", "medium", True, True), ("W0", "R-COST-01", "low", False, True), ("W0", "D-DUP-01", "low", True, False),
+        ("W1", "R-SANC-01", "low", False, True), ("W2", "R-TIME-01", "high", True, True), ("W2", "R-COST-01", "critical", False, True),
+    ]
+    df = spark.createDataFrame(facts, "work_id string, rule string, severity string, standalone boolean, scored boolean")
+    f = together(*[finding(df.where(F.col("rule") == r), "x", r, F.col("severity"), "work", "work_id", F.concat(F.lit("S "), "rule"), standalone=F.col("standalone"), scored=F.col("scored")) for r in ("R-PROH-01", "R-TIME-01", "R-COST-01", "D-DUP-01", "R-SANC-01")])
+    got = {r.entity_id: r for r in cases.cases(f).collect()}
+    assert {k: (r.score, r.alert, r.n_findings, r.primary_rule, r.primary_signal) for k, r in got.items()} == {"W0": (52, True, 4, "R-PROH-01", "S R-PROH-01"), "W2": (25, False, 2, "R-TIME-01", "S R-TIME-01")}
+    assert {(r.entity_id, r.rule_id, r.points) for r in cases.contributions(f).collect()} == {("W0", "R-PROH-01", 40), ("W0", "R-TIME-01", 12), ("W2", "R-TIME-01", 25)}
+
+
+def test_actors_are_told_apart(spark):
+    rows = [{"vendor_name": n, "district": f"D{i}"} for i, n in enumerate(["Acme Works ", "acme works", "ACME WORKS", "Acme Works", "Acme works", "xyz", "XYZ", "XYZ", "XYZ", "XYZ"])]
+    rows += [{"implementing_agency": a, "sanctioned_amount": 9e6} for a in ("Rural dept", "RURAL DEPT", "rural dept")] + [{"implementing_agency": "Other Dept", "sanctioned_amount": 4e5 + 9e3 * i} for i in range(20)]
+    rows += [{"ia_name": "Big_IDA", "district": f"D{i}", "category": "School bus"} for i in range(6)]
+    w = works(spark, *rows).withColumn("vendor_id", F.lit(None).cast("string"))
+    rule = config.NETWORK | {"least_works": 3}
+    vendor = found(network.actor_signals(w, "vendor", rule))
+    assert set(vendor) == {"vendor:ACME WORKS"} and vendor["vendor:ACME WORKS"].districts == 5  # by name, as no work has an id; names of three letters tell nothing apart
+    agency = found(network.actor_signals(w, "agency", rule))
+    assert set(agency) == {"agency:RURAL DEPT"} and agency["agency:RURAL DEPT"].severity == "medium"
+    authority = found(network.actor_signals(w, "district_authority", rule))
+    assert authority["Big_IDA"].severity == "low" and authority["Big_IDA"].actor == "BIG_IDA"  # buses are supplied nationally
+    ids = works(spark, *[{"vendor_id": f"V{i // 6}", "vendor_name": "Acme Works", "district": f"D{i}"} for i in range(12)], {"vendor_id": None, "vendor_name": "Acme Works"})
+    assert {k: r.same_name for k, r in found(network.actor_signals(ids, "vendor", rule)).items()} == {"vendor:V0": 1, "vendor:V1": 1}
+
+
+def test_findings_of_an_authority_make_one_case(spark):
+    waits = [{"sanction_date": None, "status": "Pending for Sanction", "recommended_date": DAY(2025, 1, 1), "ia_name": "X_IDA", "district": f"D{i}"} for i in range(12)]
+    fresh = [{"sanction_date": None, "status": "Pending for Sanction", "recommended_date": DAY(2026, 9, 1), "ia_name": "X_IDA"} for _ in range(4)]
+    w = works(spark, *waits, *fresh, *[{"ia_name": "X_IDA"} for _ in range(9)])
+    summary = found(compliance.sanction_waits_by_district(w, TODAY))["X_IDA"]
+    assert (summary.works, summary.population, summary.share) == (12, 16, 0.75)
+    f = together(compliance.sanction_waits_by_district(w, TODAY), network.actor_signals(w, "district_authority"))
+    (case,) = cases.with_entities(cases.cases(f), w).collect()
+    assert case.entity_id == "X_IDA" and case.rules == ["N-NET-01", "R-SANC-01"] and case.score == 17 and case.ia_name == "X_IDA" and case.entity_label == "District authority: X_ida"
+
+
+def test_pages_of_the_stored_table(spark, tmp_path):
+    w = works(spark, {"sanction_date": DAY(2024, 1, 1)}, {"sanction_date": DAY(2024, 2, 1), "state": "MP"}, {"sanctioned_amount": 3e7, "state": None}, {"sanction_date": DAY(2025, 9, 1), "description": "x"})
+    c = cases.with_entities(cases.cases(together(compliance.completion_norm(w, TODAY), compliance.cost_limits(w))), w)
+    before = spark.createDataFrame([(c.where("entity_id = 'W1'").first().case_id, dt.datetime(2020, 1, 1))], "case_id string, first_seen timestamp")
+    feedback = spark.createDataFrame([(before.first().case_id, 1, "open"), (before.first().case_id, 2, "confirmed")], "case_id string, id int, decision string")
+    stored = cases.store(cases.seen(c, TODAY, before, feedback), str(tmp_path / "cases"))
+    ids = lambda df: [r.entity_id for r in df.collect()]
+    by_score = sorted(((-r.score, r.entity_id) for r in c.collect()))
+    assert ids(cases.page(stored)) == ids(cases.page(stored, "no such order")) == [e for _, e in by_score]
+    assert ids(cases.page(stored, "risk_asc")) == [e for s, e in sorted((-s, e) for s, e in by_score)]
+    assert ids(cases.page(stored, "recent"))[-1] == "W1" and ids(cases.page(stored, "state"))[:2] == ["W2", "W1"]
+    assert ids(cases.filtered(stored, statuses=("confirmed",))) == ["W1"] and set(ids(cases.filtered(stored, constituencies=("SITAPUR",), entity_types=("work",)))) == set(ids(stored))
+    assert ids(cases.filtered(stored, search="COMMUNITY HALL at", states=("MP",))) == ["W1"] and ids(cases.filtered(stored, search="days_since")) == [] and len(ids(cases.filtered(stored, search="DAYS since"))) == 4
