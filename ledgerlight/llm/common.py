@@ -1,4 +1,4 @@
-"""What the operators share: intermediate tables, hashing of words and connected components."""
+"""What the operators share: hashing of words and batches of Arrow; intermediate tables and connected components are those of the library."""
 
 from __future__ import annotations
 
@@ -6,19 +6,17 @@ import contextlib
 import ctypes
 import gc
 import re
-import tempfile
-import threading
-import time
-import uuid
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from ledgerlight.session import shared_folder as shared_dir
+from ledgerlight.tables import components, delete, drop, free, n_written, taken, written
+
 #: Words: runs of anything but the six ASCII white-space characters.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: A-Z only; other letters keep their case.
@@ -29,82 +27,6 @@ def words_of(text: str) -> list[str]:
     return WORD.findall(text)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset it is a folder of our own, which only local mode, as in tests, may use."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="ledgerlight-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-_made = threading.local()
-_freed = [0.0]
-
-
-def free(spark: SparkSession, seconds: float = 2.0) -> None:
-    """Lets Spark delete shuffle files of plans that nothing refers to: it does so when the driver collects garbage."""
-    if time.monotonic() - _freed[0] >= seconds:
-        _freed[0] = time.monotonic()
-        gc.collect()
-        spark._jvm.System.gc()
-
-
-def _tables() -> list[str]:
-    """Tables that this thread has written and not deleted."""
-    if not hasattr(_made, "paths"):
-        _made.paths = []
-    return _made.paths
-
-
-def written(df: DataFrame, *, partition_by: Iterable[str] = ()) -> DataFrame:
-    """df as a Parquet table in the shared folder: it cuts the lineage, and it survives lost executors.
-
-    The table goes with ``drop``, or with the application that made it."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/ledgerlight-{uuid.uuid4().hex}"
-    df.write.parquet(path, partitionBy=list(partition_by) or None)
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
-    _tables().append(path)
-    schema = df.schema
-    del df
-    free(spark)
-    out = spark.read.schema(schema).parquet(path)
-    out.__dict__["_table"] = path
-    return out
-
-
-def drop(*frames: DataFrame) -> None:
-    """Deletes tables made by ``written`` that nothing reads any more."""
-    for df in frames:
-        path = df.__dict__.pop("_table", None)
-        if path:
-            delete(df.sparkSession, [path])
-            if path in _tables():
-                _tables().remove(path)
-
-
-def taken(since: int) -> list[str]:
-    """Tables that ``written`` has made since it had made so many; the caller answers for them from now on."""
-    out = _tables()[since:]
-    del _tables()[since:]
-    return out
-
-
-def n_written() -> int:
-    return len(_tables())
-
-
-def delete(spark: SparkSession, paths: list[str]) -> None:
-    """Deletes tables that nothing unread depends on."""
-    for path in paths:
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def arrow_schema(ddl: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -187,32 +109,4 @@ def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, component): connected components of undirected edges by alternating large-star and small-star steps.
-
-    component is the smallest node. Nodes without edges don't appear. Each round is an aggregation with map-side
-    partial minima and a join of two written tables, which Spark can split where a node is hot.
-    """
-    def seen(rows: DataFrame):
-        """Tells tables of different rows apart: their number, and a sum of hashes that their order doesn't change."""
-        return tuple(rows.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first())
-
-    pairs = written(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
-    before = seen(pairs)
-    while True:
-        both = pairs.select("u", "v").union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
-        large = written(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
-        drop(low, pairs)
-        low = written(large.groupBy("u").agg(F.min("v").alias("m")))
-        small = large.join(low, "u")
-        small = written(small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
-        drop(low, large)
-        now = seen(small)
-        if now == before:
-            break
-        pairs, before = small, now
-    low = small.groupBy("u").agg(F.min("v").alias("component"))
-    out = written(low.select(F.col("u").alias("node"), "component").union(low.select(F.col("component").alias("node"), "component").distinct()))
-    drop(small)
-    return out
+__all__ = ["LOWER", "Recent", "WORD", "arrow_schema", "components", "delete", "drop", "free", "map_batches", "mixed", "n_written", "shared_dir", "shingle_hashes", "signed", "taken", "trim", "word_hashes", "words_of", "written"]
