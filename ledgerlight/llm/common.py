@@ -33,6 +33,17 @@ def arrow_schema(ddl: str) -> pa.Schema:
     return to_arrow_schema(T.StructType.fromDDL(ddl))
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for columns of our own, which none of df's has, in any case of letters."""
+    taken_already, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken_already:
+            name = f"_{name}"
+        taken_already.add(name.lower())
+        out.append(name)
+    return out
+
+
 def trim() -> None:
     """Gives a worker's free memory back: idle workers of other stages stay beside those that run."""
     gc.collect()
@@ -109,4 +120,4 @@ def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-__all__ = ["LOWER", "Recent", "WORD", "arrow_schema", "components", "delete", "drop", "free", "map_batches", "mixed", "n_written", "shared_dir", "shingle_hashes", "signed", "taken", "trim", "word_hashes", "words_of", "written"]
+__all__ = ["LOWER", "Recent", "WORD", "arrow_schema", "components", "delete", "drop", "free", "fresh", "map_batches", "mixed", "n_written", "shared_dir", "shingle_hashes", "signed", "taken", "trim", "word_hashes", "words_of", "written"]

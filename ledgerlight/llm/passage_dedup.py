@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerlight.llm.common import WORD, Recent, arrow_schema, drop, map_batches, mixed, shingle_hashes, word_hashes, written
+from ledgerlight.llm.common import WORD, Recent, arrow_schema, drop, fresh, map_batches, mixed, shingle_hashes, word_hashes, written
 
 #: Documents up to which their keys are broadcast (32 MB); beyond, texts are shuffled to them.
 BROADCAST = 1_000_000
@@ -338,14 +338,15 @@ def without_passages(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     """df with repeated passages cut from its texts; rows whose text was nothing else keep an empty one. Columns stay as they are."""
     found = passages(df, id_col=id_col, text_col=text_col, **options)
     few = found.limit(BROADCAST + 1).count() <= BROADCAST
-    ranges = found.select(F.col("id").alias("_id"), F.col("th").alias("_th"), union_of("spans").alias("_ranges"))
-    same = (key_of(df, id_col)[0] == F.col("_id")) & (F.xxhash64(F.col(text_col)) == F.col("_th"))
-    joined = df.join(F.broadcast(ranges) if few else ranges, same, "left").drop("_id", "_th")
+    own_id, own_th, own_ranges = fresh(df, "_id", "_th", "_ranges")
+    ranges = found.select(F.col("id").alias(own_id), F.col("th").alias(own_th), union_of("spans").alias(own_ranges))
+    same = (key_of(df, id_col)[0] == F.col(own_id)) & (F.xxhash64(F.col(text_col)) == F.col(own_th))
+    joined = df.join(F.broadcast(ranges) if few else ranges, same, "left").drop(own_id, own_th)
     ddl, names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), df.columns
 
     def make():
         def of(batch):
-            texts = [t if not r or t is None else without(t, r) for t, r in zip(batch.column(text_col).to_pylist(), batch.column("_ranges").to_pylist(), strict=True)]
+            texts = [t if not r or t is None else without(t, r) for t, r in zip(batch.column(text_col).to_pylist(), batch.column(own_ranges).to_pylist(), strict=True)]
             return {c: batch.column(c) for c in names} | {text_col: texts}
 
         return of

@@ -72,3 +72,20 @@ def test_stages_decide_by_id_and_text(spark, tmp_path):
     assert kept == {(d, t) for d, t in rows if "short" not in t}
     near = sorted((str(r.doc_id), r.text) for r in c.near_copies(spark, df, str(tmp_path)).collect())
     assert near == sorted((str(d), t) for d, t in [(1, a), (None, b), (2, good), (2, "too short"), (None, "also short"), (3, shared), rows[-1]])
+
+
+def test_columns_of_any_name_pass_through(spark, tmp_path):
+    rng = random.Random(9)
+    text = lambda n: " ".join("".join(rng.choice("abcdefghijklm") for _ in range(6)) for _ in range(n))
+    passage = text(60)
+    rows = [(i, f"{text(80)} {passage}") for i in range(4)] + [(9, "too short"), (10, rows_text := text(90)), (11, rows_text)]
+    names = ("_id", "_th", "_ranges", "key", "id", "th", "spans", "row", "text_2", "_ID2")
+    df = spark.createDataFrame([(d, t, "en", "s", len(t), *(f"{n}{d}" for n in names)) for d, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint, " + ", ".join(f"`{n}` string" for n in names))
+    docs = df
+    for k, (_, stage) in enumerate(c.STAGES[:-1]):
+        stage(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/{k}")
+        docs = spark.read.parquet(f"{tmp_path}/{k}")
+        assert docs.columns == df.columns
+    kept = {r.doc_id: r for r in docs.collect()}
+    assert set(kept) == {0, 1, 2, 3, 10} and all(kept[d][n] == f"{n}{d}" for d in kept for n in names)
+    assert sum(passage in r.text for r in kept.values()) == 1
