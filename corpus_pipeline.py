@@ -1,7 +1,7 @@
 """The corpus pipeline: documents through quality rules, near-copies, repeated passages, secrets and packing.
 
 Each stage takes (spark, docs, sf_dir) and gives a DataFrame, which is written as Parquet and read again as the next one's docs. All
-but the last give the columns of docs. A stage's intermediate tables are deleted when a later stage begins, so a
+but the last give the columns of docs, whatever their names. A stage's intermediate tables are deleted when a later stage begins, so a
 stage's result has to be written before the next stage is called, as ``run`` does.
 """
 
@@ -50,9 +50,10 @@ def row_key() -> Column:
 
 def without_rows(docs: DataFrame, chosen: DataFrame) -> DataFrame:
     """Rows of docs whose key isn't in chosen (key)."""
-    chosen = chosen.select("key.*").distinct().withColumnsRenamed({"id": "_id", "th": "_th"})
+    own_id, own_th = common.fresh(docs, "_id", "_th")
+    chosen = chosen.select(F.col("key.id").alias(own_id), F.col("key.th").alias(own_th)).distinct()
     few = chosen.limit(passage_dedup.BROADCAST + 1).count() <= passage_dedup.BROADCAST
-    same = docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_th"))
+    same = F.col("doc_id").eqNullSafe(F.col(own_id)) & (F.xxhash64("text") == F.col(own_th))
     return docs.join(F.broadcast(chosen) if few else chosen, same, "left_anti")
 
 
