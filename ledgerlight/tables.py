@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 
 from ledgerlight.session import shared_folder
 
+#: Edges that a file of a table of theirs holds.
+EDGES = 500_000
+
 _made = threading.local()
 _freed = [0.0]
 
@@ -32,13 +35,13 @@ def _tables() -> list[str]:
     return _made.paths
 
 
-def written(df: DataFrame, *, partition_by: Iterable[str] = ()) -> DataFrame:
-    """df as a Parquet table in the shared folder: it cuts the lineage, and it survives lost executors.
+def written(df: DataFrame, *, partition_by: Iterable[str] = (), parts: int | None = None) -> DataFrame:
+    """df as a Parquet table in the shared folder: it cuts the lineage, and it survives lost executors. parts: files at most, where few rows are known to come.
 
     The table goes with ``drop``, or with the application that made it."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/ledgerlight-{uuid.uuid4().hex}"
-    df.write.parquet(path, partitionBy=list(partition_by) or None)
+    (df.coalesce(parts) if parts else df).write.parquet(path, partitionBy=list(partition_by) or None)
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
     _tables().append(path)
@@ -82,28 +85,31 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): connected components of undirected edges by alternating large-star and small-star steps.
 
     component is the smallest node. Nodes without edges don't appear. Each round is an aggregation with map-side
-    partial minima and a join of two written tables, which Spark can split where a node is hot.
+    partial minima and a join of two written tables, which Spark can split where a node is hot. Tables have a file for each EDGES edges, so
+    that rounds over few edges are few tasks, whatever the number of shuffle partitions.
     """
+
     def seen(rows: DataFrame):
         """Tells tables of different rows apart: their number, and a sum of hashes that their order doesn't change."""
         return tuple(rows.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first())
 
     pairs = written(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
     before = seen(pairs)
+    few = lambda df, n: written(df, parts=-(-2 * n // EDGES) or 1)  # noqa: E731  at most both ends of each edge
     while True:
         both = pairs.select("u", "v").union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
-        large = written(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+        low = few(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), before[0])
+        large = few(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), before[0])
         drop(low, pairs)
-        low = written(large.groupBy("u").agg(F.min("v").alias("m")))
+        low = few(large.groupBy("u").agg(F.min("v").alias("m")), before[0])
         small = large.join(low, "u")
-        small = written(small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
+        small = few(small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), before[0])
         drop(low, large)
         now = seen(small)
         if now == before:
             break
         pairs, before = small, now
     low = small.groupBy("u").agg(F.min("v").alias("component"))
-    out = written(low.select(F.col("u").alias("node"), "component").union(low.select(F.col("component").alias("node"), "component").distinct()))
+    out = few(low.select(F.col("u").alias("node"), "component").union(low.select(F.col("component").alias("node"), "component").distinct()), before[0])
     drop(small)
     return out

@@ -189,7 +189,7 @@ def test_near_duplicates_by_brute_force(spark):
     got = {(r.a, r.b): r.cosine for r in duplicates.candidate_pairs(w, rule).collect()}
     want = brute_pairs(rows, rule)
     assert len(want) > 50 and set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-6 for k in got)
-    tiny = {(r.a, r.b): round(r.cosine, 9) for r in duplicates.nearest_texts(duplicates.block_texts(duplicates.described(w)), 5, 0.75, tile=7).collect()}
+    tiny = {(r.a, r.b): round(r.cosine, 9) for r in duplicates.nearest_texts(duplicates.block_texts(duplicates.described(w)), 5, 0.75, shard=7, chunk=9).collect()}
     assert tiny == {(r.a, r.b): round(r.cosine, 9) for r in duplicates.nearest_texts(duplicates.block_texts(duplicates.described(w)), 5, 0.75).collect()}
 
 
