@@ -991,6 +991,35 @@ def analysis(spark, sf):
     return whole_analysis(spark, sf, lambda a: a.cases.select("entity_type", "entity_id", "score", "n_findings", F.array_join("rules", ",").alias("rules"), "alert", "band", "primary_rule"))
 
 
+CHANGED = "cast(work_id as bigint) % 997 = 3"
+
+
+def changed_corpus(spark, sf):
+    """(works before, the corpus after, ids): of every 997 works some cost three times as much, some have moved or have other names, some are gone."""
+    before = demo_corpus(spark, sf)
+    k = F.col("work_id").cast("bigint")
+    hit = F.expr(CHANGED)
+    after = before.works.where(~hit | (k % 4 != 3)).withColumns({
+        "sanctioned_amount": F.when(hit & (k % 4 == 0), F.col("sanctioned_amount") * 3).otherwise(F.col("sanctioned_amount")), "district": F.when(hit & (k % 4 == 1), F.lit("NATION_9")).otherwise(F.col("district")),
+        "vendor_id": F.when(hit & (k % 4 == 2), F.lit("V7")).otherwise(F.col("vendor_id")), "description": F.when(hit & (k % 4 == 2), F.lit("Construction of welcome gate at village 7")).otherwise(F.col("description")),
+    })
+    from ledgerlight.plans.analysis import Corpus
+
+    return before, Corpus(after, before.payments, before.flows, before.versions), before.works.where(hit).select("work_id")
+
+
+@query("analysis_after_change")
+def analysis_after_change(spark, sf):
+    """An analysis brought up to date after a change; tests hold it against one of everything."""
+    from ledgerlight.plans import incremental
+
+    before, after, ids = changed_corpus(spark, sf)
+    history = incremental.History(spark, new_folder(spark, "analysis"))
+    incremental.run_whole(history, before, TODAY)
+    found = incremental.run_update(history, before.works, after, ids, TODAY).cases
+    return found.select("entity_type", "entity_id", "score", "n_findings", F.array_join("rules", ",").alias("rules"), "alert", "band", "primary_rule")
+
+
 # ---------------------------------------------------------------- more of the read and text surface
 @query("j_enrich", f"with {WORKS_SQL} select work_id, sanction_date is not null as is_sanctioned, completion_date is not null or cast(work_id as bigint) % 50 = 0 as is_completed from works")
 def j_enrich(spark, sf):

@@ -74,6 +74,42 @@ def n_written() -> int:
     return len(_tables())
 
 
+def _at(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def put_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file, there as a whole or not at all."""
+    fs, p = _at(spark, path)
+    _, part = _at(spark, f"{path}.{uuid.uuid4().hex}.part")
+    stream = fs.create(part, True)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+    fs.delete(p, False)
+    if not fs.rename(part, p):
+        raise OSError(f"can't write {path}")
+
+
+def get_text(spark: SparkSession, path: str) -> str | None:
+    fs, p = _at(spark, path)
+    if not fs.exists(p):
+        return None
+    stream = fs.open(p)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders in a folder."""
+    fs, p = _at(spark, path)
+    return [s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory()] if fs.exists(p) else []
+
+
 def delete(spark: SparkSession, paths: list[str]) -> None:
     """Deletes tables that nothing unread depends on."""
     for path in paths:
