@@ -1,20 +1,23 @@
 """Chat formatting: transcripts are parsed into turns, a hidden Markov model recovers their roles, then one canonical form.
 
 A row's text may hold one turn or a whole transcript. It is cut at lines that open with a speaker marker (``User:``,
-``### Assistant``, ``<|im_start|>system``, ``[TOOL]``, ``**Bot:**`` and the like), but not inside code fences or quotes. Hidden states are
+``### Assistant``, ``<|im_start|>system``, ``[TOOL]``, ``**Bot:**`` and the like), but not inside code fences or quotes. A word and a colon alone may
+as well be a label in a form ("Model: X100"), so further on in a row it counts only where the row supports it: the same word
+comes again with another speaker between, or the row opens with a speaker and all its words go together as speakers do. Hidden states are
 the roles. A part's observations are whom its marker names, if it has one, and features of its lines: its length, its line
 count, a question mark, code or lists, a leading instruction word, and whether it opens the conversation. Start, transition and
 emission tables are learned by counting on labelled rows of one part in the training folds; a marker names its own role by a prior of
 ``trust`` counts, which labelled markers add to, so that markers are understood where no labelled row has any. Viterbi then finds the likeliest roles of
-each whole conversation. A marker inside a row whose part has the role of the part before it is no marker but text, and stays;
-others are left out, and turns are rendered with the role.
+each whole conversation. A marker goes only where the role found is the one it names, and turns are rendered with the role instead; it stays
+as text where its part goes on with the role of the part before it in the row, where the role found is another, and where a lone label that is an
+ordinary noun is the only marker of its conversation. So no text is lost.
 
 A conversation may be of any length: it is cut into blocks, a block is reduced to a matrix of best scores from each
 state to each state (max-plus products), blocks are joined level by level in the same way, and the path goes down again, so
 no task ever holds more than a block, and the result is the same as one pass over the whole.
 
 Nulls: turns with a null conversation are conversations of one row each; a null turn comes first; a null text is
-empty; null and unknown roles don't train. Rows of one turn number are in the order of a hash of their text, then by role; repeated
+empty; null and unknown roles don't train. Texts of any length are whole, and other columns are ignored, whatever their names. Rows of one turn number are in the order of a hash of their text, then by role; repeated
 rows are turns of their own. Turns that aren't whole numbers come first, in their own order. Empty tables give empty results.
 """
 
@@ -22,6 +25,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from dataclasses import dataclass
 from functools import reduce
 
@@ -35,6 +39,13 @@ from ledgerlight.llm.common import arrow_schema, drop, written
 ROLES = ("system", "user", "assistant", "tool")
 #: What markers say; fixed values.
 SPEAKERS = {"system": 0, "user": 1, "human": 1, "customer": 1, "question": 1, "q": 1, "prompt": 1, "instruction": 1, "assistant": 2, "ai": 2, "bot": 2, "gpt": 2, "model": 2, "agent": 2, "answer": 2, "a": 2, "response": 2, "tool": 3, "function": 3, "observation": 3}
+#: Words that stand for speakers together: whose of users go with whose of assistants; fixed values.
+PARTNERS = {
+    "user": ("assistant", "ai", "bot", "gpt", "model"), "human": ("assistant", "ai", "bot", "gpt", "model"), "customer": ("agent", "assistant", "ai", "bot"), "question": ("answer", "a"), "q": ("answer", "a"),
+    "prompt": ("response", "answer", "model"), "instruction": ("response", "answer", "assistant"),
+}
+#: Words that are hardly anything but speakers.
+CLEAR = ("system", "user", "human", "assistant")
 _WHO = "(?:" + "|".join(SPEAKERS) + ")"
 #: A marker at the start of a text may be a bare line; further on it has to be set off.
 MARKER = re.compile(rf"\s*(?:#{{1,4}}\s*|<\|?(?:im_start\|>)?\s*|\[|\*\*)?({_WHO})\s*(?:\|?>|\]|\*\*)?\s*(?::\*\*|:|\n|\|?>)\s*", re.I)
@@ -46,21 +57,54 @@ NAMED = re.compile(_WHO, re.I)
 SIZES = (5, 8, 4, 2, 2, 2, 2)
 
 
+def speaker(marker: str) -> str | None:
+    found = NAMED.search(marker.replace("im_start", ""))
+    return found[0].lower() if found else None
+
+
+def is_plain(marker: str) -> bool:
+    """A word and a colon, or a line break, without anything that sets it off."""
+    return marker.lstrip()[:1].isalpha()
+
+
+def partners(a: str, b: str) -> bool:
+    return b in PARTNERS.get(a, ()) or a in PARTNERS.get(b, ())
+
+
+def supported(words: list[str], opens: bool) -> set[str]:
+    """Of the speakers' words of a row, in order, those that count as speakers without being set off. opens: the first stands at the row's start."""
+    last, again = {}, set()
+    for i, w in enumerate(words):
+        # the same word again, with another role since
+        if w in last and any(SPEAKERS[x] != SPEAKERS[w] for x in words[last[w] + 1 : i]):
+            again.add(w)
+        last[w] = i
+    if again:
+        return again | {"system"} | {w for w in last if any(partners(w, x) for x in again)}
+    users, others = ({w for w in last if SPEAKERS[w] == role} for role in (1, 2))
+    turns = [SPEAKERS[w] for w in words if SPEAKERS[w] in (1, 2)]
+    together = users and others and all(partners(a, b) for a in users for b in others)
+    return {*users, *others, "system"} if opens and together and all(a != b for a, b in zip(turns, turns[1:])) else set()
+
+
 def parts(text: str) -> list[tuple[str, str]]:
     """(marker, body) of each turn in a text, in order; joined, they are the text again."""
     fences = [m.start() for m in FENCE.finditer(text)]
-    cuts = [(m.start(), m.end()) for m in LATER.finditer(text) if m.start() and sum(f < m.start() for f in fences) % 2 == 0]
-    first = MARKER.match(text)
-    spans = [(0, first.end() if first else 0), *((a, b) for a, b in cuts if a >= (first.end() if first else 0))]
+    first = MARKER.match(text) or LATER.match(text)
+    begin = first.end() if first else 0
+    cuts = [m for m in LATER.finditer(text) if m.start() >= max(1, begin) and bisect_left(fences, m.start()) % 2 == 0]
+    words = [speaker(m[0]) for m in ([first] if first else []) + cuts]
+    ok = supported(words, first is not None) if any(is_plain(m[0]) for m in cuts) else set()
+    spans = [(0, begin), *(m.span() for m in cuts if not is_plain(m[0]) or speaker(m[0]) in ok)]
     return [(text[a:b], text[b:end]) for (a, b), end in zip(spans, [*(a for a, _ in spans[1:]), len(text)], strict=True)]
 
 
 def features(marker: str, body: str) -> list[int]:
     """All but the last of SIZES."""
     lines = body.strip().count("\n")
-    who = NAMED.search(marker.replace("im_start", ""))
+    who = speaker(marker)
     return [
-        SPEAKERS[who[0].lower()] + 1 if who else 0,
+        SPEAKERS[who] + 1 if who else 0,
         min(7, max(0, len(body.strip()).bit_length() - 3)),
         min(3, lines.bit_length()),
         int(body.rstrip().endswith("?")),
@@ -95,9 +139,9 @@ def rows_of(df: DataFrame, conv_col: str, turn_col: str, role_col: str, text_col
 
 
 def parsed(rows: DataFrame) -> DataFrame:
-    """One row for each part, numbered from 0, with its marker and features; text is the body. only: its row has no other part."""
+    """One row for each part, numbered from 0, with its marker and features; text is the body. only: its row has no other part; noun: the marker may be an ordinary label."""
     keep = [c for c in rows.columns if c != "text"]
-    ddl = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep) + ", part int, only boolean, marker string, text string, seen array<int>"
+    ddl = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep) + ", part int, only boolean, noun boolean, marker string, text string, seen array<int>"
     schema = arrow_schema(ddl)
 
     def run(batches):
@@ -105,7 +149,7 @@ def parsed(rows: DataFrame) -> DataFrame:
             found = [parts(t) for t in batch.column("text").to_pylist()]
             at = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]))
             flat = [p for x in found for p in x]
-            cols = [batch.column(c).take(at) for c in keep] + [[k for x in found for k in range(len(x))], [len(x) == 1 for x in found for _ in x], [m for m, _ in flat], [CLOSED.sub("", t) for _, t in flat], [features(m, t) for m, t in flat]]
+            cols = [batch.column(c).take(at) for c in keep] + [[k for x in found for k in range(len(x))], [len(x) == 1 for x in found for _ in x], [is_plain(m) and speaker(m) not in CLEAR for m, _ in flat], [m for m, _ in flat], [CLOSED.sub("", t) for _, t in flat], [features(m, t) for m, t in flat]]
             yield pa.RecordBatch.from_arrays([c.cast(f.type) if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
     return rows.select(*keep, "text").mapInArrow(run, ddl)
@@ -255,7 +299,12 @@ def chat_turns(df: DataFrame, *, folds: int = 5, per_block: int = 512, conv_col:
     roles = written(recovered(turns.select("group", "place", "block", "obs"), model, per_block))
     near = lambda by, name: roles.select("group", (F.col("place") + by).alias("place"), F.col("role").alias(name))
     out = turns.join(roles, ["group", "place"]).join(near(1, "before"), ["group", "place"], "left").join(near(-1, "after"), ["group", "place"], "left")
+    marked = F.col("obs")[0]
+    lone = turns.groupBy("group").agg(F.count_if(marked > 0).alias("marks"), F.max("noun").alias("noun")).where("noun and marks < 2").select("group", F.lit(True).alias("lone"))
+    out = out.join(lone, "group", "left")
     goes_on, ends = F.col("before").eqNullSafe(F.col("role")), ~F.col("after").eqNullSafe(F.col("role"))
-    text = F.regexp_replace(F.when(goes_on & (F.col("part") > 0), F.concat("marker", "text")).otherwise(F.col("text")), r"^\s+|\s+$", "")
+    other = (marked > 0) & (F.get(F.array(*map(F.lit, ROLES)), marked - 1) != F.col("role"))
+    stays = (goes_on & (F.col("part") > 0)) | other | (F.col("noun") & F.coalesce("lone", F.lit(False)))
+    text = F.regexp_replace(F.when(stays, F.concat("marker", "text")).otherwise(F.col("text")), r"^\s+|\s+$", "")
     rendered = F.concat(F.when(goes_on, "").otherwise(F.concat(F.lit("<|"), "role", F.lit("|>\n"))), text, F.when(ends, "\n<|end|>").otherwise(""))
     return out.select(F.col("conv").alias(conv_col), F.col("turn").alias(turn_col), "part", "held_out", F.col("given").alias("given_role"), F.col("role").alias("role"), rendered.alias("rendered"))

@@ -114,9 +114,9 @@ def identifiers(spark: SparkSession, n: int, seed: int = 0, words=WORDS) -> Data
 
 
 def plain_words(df: DataFrame, most_docs: int, text_col: str) -> DataFrame:
-    """(token): the distinct words of letters only, of 3 to 20, in at most ``most_docs`` texts, taken by their hash: a sample to train on."""
-    every = max(1, -(-df.count() // most_docs))
-    rows = df.where(F.pmod(F.xxhash64(text_col), F.lit(every)) == 0).select(F.col(text_col).alias("text")).limit(most_docs)
+    """(token): the distinct words of letters only, of 3 to 20, in the ``most_docs`` texts of the smallest hashes: a sample to train on, the same one however rows are dealt."""
+    every = max(1, -(-df.count() // (2 * most_docs)))
+    rows = df.select(F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h")).where(F.pmod("h", F.lit(every)) == 0).orderBy("h", "text").limit(most_docs)
     return rows.select(F.explode(F.split("text", r"[\s.,;:!?()]+")).alias("token")).where(F.col("token").rlike("^[A-Z]?[a-z]{2,19}$")).distinct()
 
 

@@ -52,6 +52,14 @@ def test_transcripts_are_cut_at_markers_only():
         "### Assistant:\nlook:\n```\nUser: not me\n```\n> User: nor me\n[USER] yes": [3, 2],
         "**Bot:** hi\n**User:** and you?": [3, 2],
         "the user: of a thing": [0],
+        "Please check this order.\nCustomer: ACME\nModel: X100\nFunction: pump\nAgent: Smith": [0],
+        "Customer: ACME\nModel: X100\nFunction: pump": [2],
+        "User: which one?\nAssistant: this:\nFunction: pump\nAnswer: 42\nUser: thanks": [2, 3, 2],
+        "Q: one?\nA: yes\nQ: two?\nA: no": [2, 3, 2, 3],
+        "Human: a\nAI: b\nUser: c\nAssistant: d": [2, 3, 2, 3],
+        "look\nuser: a\nbot: b\nuser: c": [0, 2, 3, 2],
+        "[USER] a\nModel: b": [2, 3],
+        "```\n" * 30_001 + "User: a": [0],
         "": [0],
     }
     for text, who in texts.items():
@@ -80,8 +88,8 @@ def test_whole_transcripts_against_all_paths(spark):
         rows = sorted(got[conv], key=lambda r: (r.turn, r.part))
         assert [r.role for r in rows] == [c.ROLES[k] for k in best_of_all(model_of, obs)]
     last = sorted(got[200], key=lambda r: r.part)
-    assert [r.role for r in last] == ["user", "assistant", "assistant", "user"]
-    assert "".join(r.rendered + "|" for r in last) == "<|user|>\nhow are you?\n<|end|>|<|assistant|>\nI am well.|Answer: 42\n<|end|>|<|user|>\ngood.\n<|end|>|"
+    assert [r.role for r in last] == ["user", "assistant", "user"]
+    assert "".join(r.rendered + "|" for r in last) == "<|user|>\nhow are you?\n<|end|>|<|assistant|>\nI am well.\nAnswer: 42\n<|end|>|<|user|>\ngood.\n<|end|>|"
 
 
 def test_roles_are_recovered_in_blocks_of_any_size(spark):
@@ -102,3 +110,20 @@ def test_roles_are_recovered_in_blocks_of_any_size(spark):
     assert c.chat_turns(df.limit(0)).count() == 0
     as_text = spark.createDataFrame([("a", "first", "user", "hi"), ("a", "second", None, "x" * 200_000), ("a", None, "user", "User: so")], "conv_id string, turn string, role string, text string")
     assert [(r.turn, len(r.rendered) > 100_000) for r in c.chat_turns(as_text).collect() if r.turn == "second"] == [("second", True)]
+
+
+def test_no_text_is_lost(spark):
+    """Whatever roles are found, rendered turns hold every word of their row but markers that name the role found."""
+    form = "Please check this order.\nCustomer: ACME\nModel: X100\nFunction: pump\nAgent: Smith"
+    data = [(1, 0, None, form), (2, 0, None, "Model: X100 is what you want"), (3, 0, None, "Q: is it?"), (3, 1, None, "A: it is"), (4, 0, None, "User: hi\nAssistant: hello\nTool: 7\nAssistant: so 7\nUser: thanks"), (5, 0, None, "Function: pump")]
+    data += [(i + 10, t, r, {"user": "what is this?", "assistant": "It is a long story. " * 6}[r]) for i in range(40) for t, r in enumerate(("user", "assistant"))]
+    got = {}
+    for r in c.chat_turns(spark.createDataFrame(data, "conv_id bigint, turn bigint, role string, text string")).orderBy("conv_id", "turn", "part").collect():
+        got.setdefault(r.conv_id, []).append(r)
+    assert len(got[1]) == 1 and form in got[1][0].rendered
+    assert "Model: X100 is what you want" in got[2][0].rendered and "Function: pump" in got[5][0].rendered  # the only marker there, and a noun
+    assert [(r.role, r.rendered) for r in got[3]] == [("user", "<|user|>\nis it?\n<|end|>"), ("assistant", "<|assistant|>\nit is\n<|end|>")]
+    for conv in got:
+        for r, (marker, body) in zip(got[conv], [p for row in data if row[0] == conv for p in c.parts(row[3])], strict=True):
+            assert body.strip() in r.rendered
+            assert not marker.strip() or marker.strip() in r.rendered or c.ROLES[c.features(marker, body)[0] - 1] == r.role
