@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -14,15 +14,19 @@ from ledgerlight.functions import scalar as S
 from ledgerlight.sources.buckets import BucketTable
 
 
+def signature() -> Column:
+    """Of a slice's count and total, to the hundredth."""
+    return F.sha1(F.concat_ws("|", F.col("n").cast("string"), F.round("total", 2).cast("string")).cast("binary"))
+
+
 def changed_slices(probe: DataFrame, last: DataFrame, key: str = "slice") -> DataFrame:
     """Slices whose count or total differs from the signature of the last read, or was never read."""
-    signature = F.sha1(F.concat_ws("|", F.col("n").cast("string"), F.round("total", 2).cast("string")).cast("binary"))
-    now = probe.withColumn("signature", signature)
+    now = probe.withColumn("signature", signature())
     return now.join(last.select(key, F.col("signature").alias("_last")), key, "left").where("_last is null or _last <> signature").drop("_last")
 
 
 def signatures(probe: DataFrame, key: str = "slice") -> DataFrame:
-    return probe.select(key, F.sha1(F.concat_ws("|", F.col("n").cast("string"), F.round("total", 2).cast("string")).cast("binary")).alias("signature"))
+    return probe.select(key, signature().alias("signature"))
 
 
 def changed_below(probes: list[DataFrame], last: list[DataFrame], key: str = "slice", parent: str = "parent") -> DataFrame:

@@ -1,6 +1,6 @@
-"""State with timers: works that reads stop mentioning, and slices whose reads fail.
+"""State of what reads have seen: works that they stop mentioning, slices whose reads fail, and figures that moved.
 
-Both keep a few values for each key and one timer, so what doesn't come is noticed too: a timer fires when its time has come, with or
+The first two keep a few values for each key and one timer, so what doesn't come is noticed too: a timer fires when its time has come, with or
 without input, also after a restart. ``event_time`` counts time by the reads' own (the stream needs a watermark on ``at``); else it is
 the clock's. State lives in RocksDB (``use_timers``).
 """
@@ -13,6 +13,8 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from ledgerlight.streaming.ingest import signature
+
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -150,3 +152,42 @@ def attempts(verdicts: DataFrame, *, first_minutes: float = 5, escalate: int = 3
     which each failure doubles, is over, and live when a slice that had failed is read. Slices that don't fail keep no state."""
     kind = verdicts.schema["slice"].dataType.simpleString()
     return verdicts.groupBy("slice").transformWithState(Attempts(round(60_000 * first_minutes), escalate, event_time), f"slice {kind}, lifecycle string, failures int, due_at timestamp, escalated boolean", "append", "EventTime" if event_time else "ProcessingTime")
+
+
+class Signatures(StatefulProcessor):
+    """The signature of each slice of a root, by level. A slice is compared only below one that moved in the same read."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getMapState("seen", "level int, slice string", "signature string")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: N802, N803
+        reads: dict[dt.datetime, dict[int, list[Row]]] = {}
+        for r in rows:
+            reads.setdefault(r["at"], {}).setdefault(r["level"], []).append(r)
+        for at in sorted(reads):
+            moved: set[str] | None = None
+            for level in sorted(reads[at]):
+                here = set()
+                for r in sorted(reads[at][level], key=lambda r: (r["slice"], r["signature"])):
+                    place = (level, r["slice"])
+                    if moved is not None and r["parent"] not in moved:
+                        continue
+                    if self.seen.containsKey(place) and self.seen.getValue(place)[0] == r["signature"]:
+                        continue
+                    self.seen.updateValue(place, (r["signature"],))
+                    here.add(r["slice"])
+                    yield Row(root=key[0], level=level, slice=r["slice"], at=at)
+                moved = here
+
+    def close(self) -> None:
+        pass
+
+
+def moved(probes: DataFrame) -> DataFrame:
+    """Probes (root, level, slice, parent, at, n, total) to (root, level, slice, at) of the slices that moved since they were last compared.
+
+    Levels count from the top of a root; a level is compared only below what moved above it in the same read, so where nothing moved nothing
+    further is asked. A slice never seen has moved. A root's slices are those of one place, as many as the source has there; roots are
+    dealt over the cluster. For payloads, a level of one and their hash in place of n do (T4)."""
+    rows = probes.withColumn("signature", signature()).select("root", "level", "slice", "parent", "at", "signature")
+    return rows.groupBy("root").transformWithState(Signatures(), f"root {probes.schema['root'].dataType.simpleString()}, level int, slice string, at timestamp", "append", "None")

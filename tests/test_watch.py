@@ -1,6 +1,7 @@
 """Streams with timers: what is noticed without input, and after a restart."""
 
 import datetime as dt
+import random
 import time
 
 import pytest
@@ -82,3 +83,31 @@ def test_failures_are_queued_and_come_due(timed, tmp_path):
     got = {(r.slice, r.lifecycle, r.failures, r.escalated) for r in rows}
     assert got >= {("once", "retry", 1, False), ("thrice", "retry", 1, False), ("thrice", "quarantined", 3, True), ("once", "live", 0, False), ("thrice", "due", 3, True)} and not any(r.slice in ("ok", "other") for r in rows)
     assert {r.due_at for r in rows if r.slice == "thrice" and r.lifecycle == "quarantined"} == {at(22)}
+
+
+def test_figures_that_moved_are_those_of_the_batch(timed, tmp_path):
+    from ledgerlight.streaming import ingest
+
+    rng = random.Random(2)
+    schema = "root string, level int, slice string, parent string, at timestamp, n bigint, total double"
+    places = [(f"S{s}", 0, f"S{s}", None) for s in range(5)] + [(f"S{s}", 1, f"S{s}D{d}", f"S{s}") for s in range(5) for d in range(4)] + [(f"S{s}", 2, f"S{s}D{d}T{t}", f"S{s}D{d}") for s in range(5) for d in range(4) for t in range(3)]
+    figures, seen, want = {p[2]: (5, 1.0) for p in places}, {}, set()
+    for read in range(4):
+        for p in places:
+            if rng.random() < 0.3:
+                figures[p[2]] = (rng.randrange(9), round(rng.random(), 3))
+        rows = [(*p, T0 + dt.timedelta(hours=read), *figures[p[2]]) for p in places]
+        frame = timed.createDataFrame(rows, schema)
+        # in a batch: what each slice was when it was last compared
+        last = timed.createDataFrame(list(seen.items()) or [("none", "none")], "slice string, signature string")
+        levels = [frame.where(f"level = {k}") for k in range(3)]
+        for k in range(3):
+            found = ingest.changed_below(levels[: k + 1], [last] * (k + 1)).collect()
+            want |= {(read, k, r.slice) for r in found}
+        marks = {r.slice: r.signature for r in ingest.signatures(frame).collect()}
+        seen |= {s: marks[s] for x, _, s in want if x == read}
+        put(timed, tmp_path / "in", rows, schema)
+        started(timed, watch.moved(timed.readStream.schema(schema).parquet(str(tmp_path / "in"))), tmp_path, availableNow=True).awaitTermination()
+        got = {((r.at - T0).seconds // 3600, r.level, r.slice) for r in timed.read.parquet(f"{tmp_path}/out").collect()}
+        assert got == want
+    assert len(places) < len(want) < 4 * len(places)
