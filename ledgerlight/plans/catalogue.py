@@ -14,7 +14,7 @@ from ledgerlight.operators import compliance, duplicates, network, payments, pee
 from ledgerlight.operators.findings import together
 from ledgerlight.plans import cases, reads
 from ledgerlight.session import shared_folder
-from ledgerlight.sources import demo, readers, sinks
+from ledgerlight.sources import demo, readers, sinks, switch
 from ledgerlight.sources.buckets import BucketTable
 from ledgerlight.sources.demo import FLOWS_SQL, PAYMENTS_SQL, TODAY, WORKS_SQL
 from ledgerlight.streaming import ingest
@@ -866,6 +866,20 @@ def s_switched(spark, sf):
     return sinks.switched(o.where("k % 3 = 0"), o.where("k % 2 = 0")).select("work_id", "era")
 
 
+@query("s_carried_edits", """with w as (select 'ES-' || o_orderkey as work_id, case when o_custkey % 3 = 0 then 'RS' else 'LS' end as house, o_orderkey as k from orders),
+v as (select 'ES-' || l_orderkey as work_id, l_shipdate as seen_at, case when l_linenumber = 1 then 'house' else 'category' end as field, l_returnflag as new_value, case when l_linenumber % 2 = 0 then '2:x' end as shard, l_orderkey as k from lineitem),
+clean as (select * from v where (work_id, seen_at) not in (select (work_id, seen_at) from v where field = 'house')), r as (select distinct 'ES-' || case when shard = '2:x' then 'LS' else house end || '-' || v.k as work_id, seen_at, field, new_value, shard from clean v join w using (work_id))
+select work_id, field, count(*) as n from r where work_id in (select 'ES-' || house || '-' || k from w where k % 5 <> 0) group by all""")
+def s_carried_edits(spark, sf):
+    """The edit log under the ids of a new corpus, without occasions on which one work was written over another."""
+    o, li = demo.table(spark, sf, "orders"), demo.table(spark, sf, "lineitem")
+    house = F.when(F.col("o_custkey") % 3 == 0, "RS").otherwise("LS")
+    old = o.select(F.concat(F.lit("ES-"), "o_orderkey").alias("work_id"), house.alias("house"))
+    v = li.select(F.concat(F.lit("ES-"), "l_orderkey").alias("work_id"), F.col("l_shipdate").alias("observed_at"), F.when(F.col("l_linenumber") == 1, "house").otherwise("category").alias("field"), F.col("l_returnflag").alias("new_value"), F.when(F.col("l_linenumber") % 2 == 0, "2:x").alias("shard_id"))
+    new = o.where("o_orderkey % 5 <> 0").select(F.concat(F.lit("ES-"), house, F.lit("-"), "o_orderkey").alias("work_id"))
+    return switch.carried({"works": old, "versions": v}, new)["versions"].groupBy("work_id", "field").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("e_plan_errors", "select o_custkey as case_id, o_orderpriority as action, case when o_orderpriority = '5-LOW' then 'not allowed' else 'twice' end as error from (select *, row_number() over (partition by o_custkey, o_orderpriority order by o_orderkey) as n from orders) where o_orderpriority = '5-LOW' or n > 1")
 def e_plan_errors(spark, sf):
     plan = demo.table(spark, sf, "orders").select(F.col("o_custkey").alias("case_id"), F.col("o_orderkey").alias("step"), F.col("o_orderpriority").alias("action"))
