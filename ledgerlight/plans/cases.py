@@ -147,6 +147,30 @@ def filtered(case: DataFrame, *, states=(), districts=(), constituencies=(), ent
     return case.where(reduce(lambda a, b: a & b, tests)) if tests else case
 
 
+def trigrams(text: Column) -> Column:
+    """Distinct runs of three characters, in lower case; none of shorter texts."""
+    t = F.lower(F.coalesce(text, F.lit("")))
+    return F.when(F.length(t) >= 3, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(t) - 2), lambda i: F.substring(t, i, F.lit(3))))).otherwise(F.array().cast("array<string>"))
+
+
+def store_postings(case: DataFrame, path: str) -> DataFrame:
+    """(gram, case_id) of what a search looks in, in ranges of grams, so that a search reads the row groups of its own grams only."""
+    grams = F.array_distinct(F.concat(*[trigrams(F.col(c)) for c in SEARCHED]))
+    rows = case.select("case_id", F.explode(grams).alias("gram")).select("gram", "case_id")
+    rows.repartitionByRange("gram", "case_id").sortWithinPartitions("gram", "case_id").write.mode("overwrite").parquet(path)
+    return case.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def searched(case: DataFrame, postings: DataFrame, text: str) -> DataFrame:
+    """Cases that hold a text, as ``filtered`` finds them: those with all its trigrams, each then looked at. A text of one or two characters has none and is looked for everywhere."""
+    low = text.lower()
+    grams = sorted({low[i : i + 3] for i in range(len(low) - 2)})
+    if not grams:
+        return filtered(case, search=text)
+    ids = postings.where(F.col("gram").isin(*grams)).groupBy("case_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == len(grams)).select("case_id")
+    return filtered(case.join(ids, "case_id", "left_semi"), search=text)
+
+
 ORDERS = {"risk": (F.desc, ("score",)), "risk_asc": (F.asc, ("score",)), "recent": (F.desc, ("first_seen",)), "state": (F.asc, ("state",))}
 
 

@@ -626,6 +626,7 @@ cas as (select ca.*, score >= 40 as alert, case when score >= 70 then 'High' whe
 
 
 _stored: dict[tuple, DataFrame] = {}
+_postings: dict[tuple, DataFrame] = {}
 
 
 def new_folder(spark, what: str) -> str:
@@ -640,9 +641,18 @@ def stored_cases(spark, sf):
     """Builds the case table that the read queries go to."""
     out = cases.store(cases.seen(cases.with_entities(cases.cases(all_findings(spark, sf)), demo.works(spark, sf)), TODAY), new_folder(spark, "cases"))
     _stored[_corpus_key(spark, sf)] = out
+    _postings.pop(_corpus_key(spark, sf), None)
     return out
 
 
+def all_postings(spark, sf):
+    """What searches in the stored cases read first, built once for them."""
+    key = _corpus_key(spark, sf)
+    if key not in _postings:
+        _postings[key] = cases.store_postings(all_cases(spark, sf), new_folder(spark, "postings"))
+    return _postings[key]
+
+
 def _corpus_key(spark, sf) -> tuple:
     """An application and the files of the corpus as they are now: a table that is written again is another one."""
     fs = spark._jvm.org.apache.hadoop.fs
@@ -705,6 +715,12 @@ def q_search(spark, sf):
     return cases.filtered(all_cases(spark, sf), search="01").select("entity_id", "display_title", "entity_label", "primary_signal", "score")
 
 
+@query("q_search_postings", f"{FINDINGS_SQL} select entity_id, display_title, score from cas where entity_id ilike '%LIBRARY in ward 1%' or display_title ilike '%LIBRARY in ward 1%' or entity_label ilike '%LIBRARY in ward 1%' or primary_signal ilike '%LIBRARY in ward 1%'")
+def q_search_postings(spark, sf):
+    """A search that reads postings and then the cases they name."""
+    return cases.searched(all_cases(spark, sf), all_postings(spark, sf), "LIBRARY in ward 1").select("entity_id", "display_title", "score")
+
+
 @query("q_cases_by_state", f"{FINDINGS_SQL} select entity_id, state, score from cas where constituency in ('C7', 'C8', 'C9') order by state, score desc, entity_id limit 200")
 def q_cases_by_state(spark, sf):
     """One page of another order: the limit is the feature."""

@@ -214,3 +214,12 @@ def test_batches_villages_records_and_photos(spark):
     found = together(*duplicates.near_duplicates(w, payments, None, rule)).collect()
     pairs = {(r.entity_id, r.details["pair"]): r.details for r in found if "pair" in r.details}
     assert pairs[("W0", "W1")]["class"] == "held" and "bamhani" in pairs[("W0", "W1")]["payee"].lower() and ("W0", "W2") not in pairs
+
+
+def test_photos_of_held_pairs(spark):
+    rows = [{"description": f"Repair of marble{x} lantern{x} orchard{x} fountain{x}", "mp_name": m, "completion_date": dt.date(2026, 1, 1) if x != "e" else None} for x in "abcde" for m in ("A", "B")]
+    photos = [("W0", "p", "0f" * 8, "f0" * 8), ("W1", "q", "0f" * 7 + "0e", "f0" * 8), ("W2", "r", "00" * 8, "00" * 8), ("W3", "s", "ff" * 8, "00" * 8), ("W4", "t", "00" * 8, "00" * 8), ("W6", "u", "01" * 8, "00" * 8), ("W7", "u", "01" * 8, "00" * 8), ("W8", "v", "00" * 8, "00" * 8)]
+    photos = spark.createDataFrame(photos, "work_id string, sha256 string, row_hash string, col_hash string")
+    found = {r.entity_id: r for r in together(*duplicates.near_duplicates(works(spark, *rows), None, photos, config.DUPLICATE | {"boilerplate_pct": 90.0})).collect() if "pair" in r.details}
+    assert {k: (r.details["photo_check"], r.severity, r.scored) for k, r in found.items() if k in ("W0", "W2", "W4", "W6", "W8")} == {"W0": ("look_alike", "low", False), "W2": ("different_photos", "low", False), "W4": ("no_photo", "low", False), "W6": ("same_file", "critical", True), "W8": ("not_completed", "low", False)}
+    assert found["W0"].details["photo_bits"] == "1" and found["W0"].summary.endswith("their photos look alike")

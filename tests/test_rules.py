@@ -191,3 +191,17 @@ def test_pages_of_the_stored_table(spark, tmp_path):
     assert ids(cases.page(stored, "recent"))[-1] == "W1" and ids(cases.page(stored, "state"))[:2] == ["W2", "W1"]
     assert ids(cases.filtered(stored, statuses=("confirmed",))) == ["W1"] and set(ids(cases.filtered(stored, constituencies=("SITAPUR",), entity_types=("work",)))) == set(ids(stored))
     assert ids(cases.filtered(stored, search="COMMUNITY HALL at", states=("MP",))) == ["W1"] and ids(cases.filtered(stored, search="days_since")) == [] and len(ids(cases.filtered(stored, search="DAYS since"))) == 4
+
+
+def test_searches_by_postings(spark, tmp_path):
+    texts = ["Hall at Rampur", "HALL AT RAMPUR 100%", "road_7 at Rampur", "Rämpur ghat", "a", None, "aaa aaaa", "ha", "at Rampur, a hall"]
+    rows = [(f"F-{i}", t, f"E{i}", None, "seen " * 3 if i % 2 else None) for i, t in enumerate(texts)]
+    case = spark.createDataFrame(rows, "case_id string, display_title string, entity_id string, entity_label string, primary_signal string")
+    postings = cases.store_postings(case, str(tmp_path / "p"))
+    assert postings.groupBy("gram", "case_id").count().where("count > 1").count() == 0
+    for text in ("hall at", "RAMPUR", "100%", "road_7", "d_7", "ämp", "aaaa", "aaaaa", "a", "%", "seen s", "nowhere", "E3", "e 3"):
+        ids = lambda df: sorted(r.case_id for r in df.collect())
+        want = sorted(i for i, *found in rows if any(x and text.lower() in x.lower() for x in found))
+        assert ids(cases.searched(case, postings, text)) == ids(cases.filtered(case, search=text)) == want, text
+    plan = cases.searched(case, postings, "rampur")._jdf.queryExecution().toString()
+    assert "PushedFilters: [In(gram" in plan or "PushedFilters: [IsNotNull(gram), In(gram" in plan or "In(gram" in plan
