@@ -9,6 +9,7 @@ import pytest
 
 import __spark_entry__ as entry
 from ledgerlight import registry
+from ledgerlight.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -43,3 +44,10 @@ def test_query(spark, name):
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 def test_entry(spark):
     assert entry.entry(spark).count() > 0 and set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_contributions_hold_every_finding(spark):
+    found = catalogue.all_findings(spark, SF)
+    assert found.where("not scored").count() > 0
+    assert sum(r.times for r in registry.queries()["e_contributions"](spark, SF).collect()) == found.count()
