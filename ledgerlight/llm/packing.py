@@ -151,20 +151,18 @@ def pieces(df: DataFrame, path: str, *, size: int = 4096, end: int | None = 1, i
 def pack(cut: DataFrame, *, size: int = 4096, per_cell: int = 2000, islands: int = 2, epochs: int = 2, full: float = 0.98, tail: int = 8, most_levels: int = 6, seed: int = 7) -> DataFrame:
     """Adds sequence_id and offset to rows with length and slot (as of ``pieces``). cut is read twice: give a written table."""
     names = [c for c in cut.columns if c != "slot"]
-    item = "struct<" + ",".join(f"`{f.name}`:{f.dataType.simpleString()}" for f in cut.schema if f.name != "slot") + ",slot:bigint>"
-    ddl = f"cell bigint, island int, items array<{item}>, elite array<array<int>>"
+    ddl = "cell bigint, island int, elite array<array<int>>"
     schema = arrow_schema(ddl)
 
     def epoch(k: int):
         def run(batches):
             for batch in batches:
-                items = batch.column("items")
                 got = []
                 for j in range(batch.num_rows):
-                    lengths = items[j].values.field("length").to_pylist()
+                    lengths = batch.column("lengths")[j].as_py()
                     elite = batch.column("elite")[j].as_py()
                     got.append(evolve(lengths, size, seed * 1_000_003 + batch.column("cell")[j].as_py() * 31 + batch.column("island")[j].as_py() * 7 + k, elite))
-                yield pa.RecordBatch.from_arrays([batch.column("cell"), batch.column("island"), items.cast(schema.field("items").type), pa.array(got, schema.field("elite").type)], schema=schema)
+                yield pa.RecordBatch.from_arrays([batch.column("cell"), batch.column("island"), pa.array(got, schema.field("elite").type)], schema=schema)
 
         return run
 
@@ -175,13 +173,13 @@ def pack(cut: DataFrame, *, size: int = 4096, per_cell: int = 2000, islands: int
         parts = max(1, min(cells, rest.sparkSession.sparkContext.defaultParallelism * 4))
         grouped = rest.withColumn("cell", F.pmod(F.xxhash64("slot", F.lit(level)), F.lit(cells))).groupBy("cell").agg(F.sort_array(F.collect_list(F.struct(F.hash("slot").alias("h"), F.struct(*names, "slot").alias("i")))).alias("s")).select("cell", F.transform("s", lambda x: x["i"]).alias("items"))
         grouped = written(grouped)
-        state = grouped.repartition(parts, "cell").select("cell", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"), "items", F.lit(None).cast("array<array<int>>").alias("elite"))
-        for k in range(epochs):
-            state = written(state.mapInArrow(epoch(k), ddl).withColumn("bins", F.size("elite")))
-            if k + 1 < epochs:
-                moved = state.select("cell", F.pmod(F.col("island") + 1, F.lit(islands)).cast("int").alias("island"), "elite")
-                state = grouped.join(moved, "cell").select("cell", "island", "items", "elite").repartition(parts, "cell", "island")
-        best = state.groupBy("cell").agg(F.min_by("elite", F.struct("bins", "island")).alias("elite"))
+        # the epochs are one plan with the bins: tables between them would only be more files
+        sizes = grouped.select("cell", F.col("items.length").alias("lengths"))
+        state = sizes.repartition(parts, "cell").select("cell", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"), "lengths", F.lit(None).cast("array<array<int>>").alias("elite")).mapInArrow(epoch(0), ddl)
+        for k in range(1, epochs):
+            moved = state.select("cell", F.pmod(F.col("island") + 1, F.lit(islands)).cast("int").alias("island"), "elite")
+            state = sizes.join(moved, "cell").select("cell", "island", "lengths", "elite").repartition(parts, "cell", "island").mapInArrow(epoch(k), ddl)
+        best = state.groupBy("cell").agg(F.min_by("elite", F.struct(F.size("elite"), "island")).alias("elite"))
         best = grouped.join(best, "cell").select("cell", "items", F.size("elite").alias("n_bins"), F.posexplode("elite").alias("bin", "at"))
         bins = best.select((F.lit(level * 2**56).cast("bigint") + F.col("cell") * 2**20 + F.col("bin")).alias("sequence_id"), F.transform("at", lambda i: F.get("items", i)).alias("b"), "cell", "bin", "n_bins").withColumn("fill", F.aggregate("b", F.lit(0).cast("bigint"), lambda s, x: s + x["length"]))
         last = cells == 1 or level == most_levels

@@ -77,6 +77,16 @@ def test_packing_is_whole_and_tight(spark):
     assert packing.pack(packing.pieces_written(frame(spark, []), PATH)).count() == 0
 
 
+def test_epochs_write_no_tables_of_their_own(spark, monkeypatch):
+    rng = random.Random(5)
+    cut = packing.pieces_written(frame(spark, [(i, "alpha " * rng.choice([3, 40, 90, 250])) for i in range(300)]), PATH, size=256)
+    made, written = [], packing.written
+    monkeypatch.setattr(packing, "written", lambda df, **how: made.append(df.columns) or written(df, **how))
+    got = packing.pack(cut, size=256, epochs=3).collect()
+    assert [c[0] for c in made] == ["cell", "sequence_id"]  # the cells' pieces, and their bins
+    assert len(got) == cut.count() and len({(r.doc_id, r.piece) for r in got}) == len(got)
+
+
 def test_evolution_beats_best_fit_where_that_is_not_the_best():
     for seed in range(4):
         rng, size = random.Random(seed), 1000
