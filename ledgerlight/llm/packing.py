@@ -134,8 +134,8 @@ def pieces(df: DataFrame, path: str, *, size: int = 4096, end: int | None = 1, i
 
         def of(batch):
             out: list[tuple] = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = np.concatenate([code.ids(text or ""), tail])
+            for doc, found in zip(batch.column(0).to_pylist(), code.of_all(batch.column(1)), strict=True):
+                ids = np.concatenate([found, tail])
                 for k, at in enumerate(range(0, len(ids), size)):
                     part = ids[at : at + size]
                     row[0] += 1

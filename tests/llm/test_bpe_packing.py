@@ -4,10 +4,11 @@ import zlib
 from collections import defaultdict
 
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from ledgerlight.llm import bpe_words, packing, token_counts
+from ledgerlight.llm import bpe_words, packing, pretokens, token_counts
 from tests.llm.test_tokens import texts
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -125,3 +126,43 @@ def test_counts_with_prefixes_and_budgets(spark):
     assert [r.n_tokens for r in got] == [len(theirs.encode(t or "", add_special_tokens=False).ids) for _, t in rows]
     assert rows[0][1][: got[0].fits_2] == "Hello there" and got[0].prefixes[-1] == got[0].n_tokens
     assert token_counts.token_counts(frame(spark, []), path).count() == 0
+
+
+def test_texts_of_a_batch_have_the_ids_of_the_library():
+    theirs, encoder = Tokenizer.from_file(PATH), pretokens.Encoder(PATH)
+    found = [None, "", " ", "a", " two\twords\n", "a\x1cb \x1f", "<|endoftext|> x<|startoftext|>", "e\u0301 \u4e2d\u6587, ok", "it's 'S 1234 a,b", "a\x00b \x00", "w" * 5000, None]
+    found += [x for c in map(chr, range(0x300)) for x in (c, f"A{c},b {c}{c}9", f"x {c}'s")] + texts(200, 9, 40)
+    want = [theirs.encode(t or "", add_special_tokens=False).ids for t in found]
+    for kind in (pa.string(), pa.large_string()):
+        for block_bytes in (1, 700, 32_000_000):
+            assert [x.tolist() for x in encoder.of_all(pa.array(found, kind), block_bytes)] == want
+        assert [x.tolist() for x in encoder.of_all(pa.array(found, kind).slice(3, 50))] == want[3:53]
+        assert [x.tolist() for x in encoder.of_all(pa.array([None, ""], kind))] == [[], []]
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    theirs = Tokenizer.from_file(path)
+    assert [x.tolist() for x in pretokens.Encoder(path).of_all(pa.array(found))] == [theirs.encode(t or "", add_special_tokens=False).ids for t in found]
+
+
+def test_pieces_of_letters_whose_lower_case_lies_beyond_their_block(spark):
+    theirs = Tokenizer.from_file(PATH)
+    rows = [(c, f"a{chr(c)},b {chr(c)}'s {chr(c)}{chr(c)}9") for c in (0x130, 0x23A, 0x23E)]
+    got = {r.doc_id: (r.length, r.ids_crc32) for r in packing.pieces(frame(spark, rows), PATH).collect()}
+    want = {d: [*theirs.encode(t, add_special_tokens=False).ids, 1] for d, t in rows}
+    assert got == {d: (len(x), zlib.crc32(struct.pack(f"<{len(x)}I", *x))) for d, x in want.items()}
+
+
+def test_packing_merges_each_distinct_word_of_a_batch_once(spark, monkeypatch):
+    """Counted in the workers' own code, run here: words that are more than the encoder remembers come again and again."""
+    encoder = pretokens.Encoder(PATH, most=10)
+    merged, alone, flat, of_part = [], [], getattr(encoder, "flat", None), encoder.of_part
+    encoder.flat = lambda text: merged.extend(text.split()) or flat(text)
+    encoder.part = lambda part: alone.append(part) or of_part(part)
+    monkeypatch.setattr(packing, "encoder", lambda path: encoder)
+    monkeypatch.setattr("pyspark.TaskContext.get", lambda: type("Task", (), {"partitionId": lambda self: 0})())
+    made = []
+    monkeypatch.setattr(packing, "map_batches", lambda df, make, ddl: made.append(make()))
+    rows = [(i, " ".join(f"{chr(97 + j // 26)}{chr(97 + j % 26)}word" for j in range(i, i + 300))) for i in range(40)]
+    packing.pieces(frame(spark, rows), PATH)
+    got = made[0](pa.record_batch({"doc_id": [d for d, _ in rows], "text": [t for _, t in rows]}))
+    assert len(got["doc_id"]) == 40 and not alone
+    assert sorted(merged) == sorted({w for _, t in rows for w in t.split()})
