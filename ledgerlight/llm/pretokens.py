@@ -130,7 +130,7 @@ class Encoder:
     def ids(self, text: str) -> np.ndarray:
         return np.frombuffer(b"".join(map(self.part, self.splitter.all_parts(text))), "<u4")
 
-    def of_all(self, texts: pa.Array, block_bytes: int = 32_000_000) -> Iterator[np.ndarray]:
+    def of_all(self, texts: pa.Array, block_bytes: int = 4_000_000) -> Iterator[np.ndarray]:
         """Ids of each text (null: none), in blocks of about so many bytes: each distinct word of a block is split and merged once."""
         if not self.splitter.words:
             yield from (self.ids(t or "") for t in texts.to_pylist())
