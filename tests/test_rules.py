@@ -217,3 +217,18 @@ def test_searches_by_postings(spark, tmp_path):
         assert ids(cases.searched(case, postings, text)) == ids(cases.filtered(case, search=text)) == want, text
     plan = cases.searched(case, postings, "rampur")._jdf.queryExecution().toString()
     assert "PushedFilters: [In(gram" in plan or "PushedFilters: [IsNotNull(gram), In(gram" in plan or "In(gram" in plan
+
+
+def cases_of_one_id(spark):
+    """Three cases, of which two have the same ten digits as their id, as a few dozen have among nine million works."""
+    facts = [("196515", "P-SEQ-01", "critical"), ("196515", "R-TIME-01", "high"), ("1045638", "R-TIME-01", "high"), ("7", "R-TIME-01", "low")]
+    df = spark.createDataFrame(facts, "work_id string, rule string, severity string")
+    c = cases.cases(finding(df, "x", F.col("rule"), F.col("severity"), "work", "work_id", "S"))
+    assert len({r.case_id for r in c.collect()}) == 2
+    return c
+
+
+def test_actions_of_cases_of_one_id(spark):
+    catalogue = spark.createDataFrame([("request", ["district"], 20, []), ("hold", ["district"], 40, ["P-SEQ-01"])], "action string, roles array<string>, min_score int, evidence array<string>")
+    got = [(r.entity_id, r.action) for r in cases.allowed_actions(catalogue, cases_of_one_id(spark), "district").collect()]
+    assert sorted(got) == [("1045638", "request"), ("196515", "hold"), ("196515", "request")]
