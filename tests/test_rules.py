@@ -232,3 +232,17 @@ def test_actions_of_cases_of_one_id(spark):
     catalogue = spark.createDataFrame([("request", ["district"], 20, []), ("hold", ["district"], 40, ["P-SEQ-01"])], "action string, roles array<string>, min_score int, evidence array<string>")
     got = [(r.entity_id, r.action) for r in cases.allowed_actions(catalogue, cases_of_one_id(spark), "district").collect()]
     assert sorted(got) == [("1045638", "request"), ("196515", "hold"), ("196515", "request")]
+
+
+def test_reviews_of_cases_of_one_id(spark):
+    c = cases_of_one_id(spark)
+    feedback = spark.createDataFrame([("work", "196515", 1, "open"), ("work", "196515", 3, "refuted"), ("work", "1045638", 2, "confirmed")], "entity_type string, entity_id string, id int, decision string")
+    before = spark.createDataFrame([("work", "196515", dt.datetime(2020, 1, 1)), ("work", "1045638", dt.datetime(2021, 1, 1))], "entity_type string, entity_id string, first_seen timestamp")
+    want = {"196515": ("refuted", 2020), "1045638": ("confirmed", 2021)}
+    rows = cases.last_review(c, feedback, before).where("entity_id <> '7'").collect()
+    assert len(rows) == 2 and {r.entity_id: (r.review_status, r.seen_before.year) for r in rows} == want
+    rows = cases.seen(c, TODAY, before, feedback).collect()
+    assert len(rows) == 3 and {r.entity_id: (r.review_status, r.first_seen.year) for r in rows} == want | {"7": ("open", int(TODAY[:4]))}
+    # where only ids are known, they count, and rows stay single
+    rows = cases.last_review(c, spark.createDataFrame([], "case_id string, id int, decision string"), c.select("case_id", F.lit(dt.datetime(2020, 1, 1)).alias("first_seen"))).collect()
+    assert len(rows) == 3
