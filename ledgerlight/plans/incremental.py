@@ -109,7 +109,7 @@ def run_whole(history: History, corpus: analysis.Corpus, today: str, number: int
 
 
 def folded(found: DataFrame, corpus: analysis.Corpus) -> DataFrame:
-    return cases.with_entities(cases.cases(found), corpus.works, corpus.retired)
+    return cases.with_entities(cases.cases(found), corpus.records(), corpus.retired)
 
 
 def union(*frames: DataFrame) -> DataFrame:
@@ -141,7 +141,7 @@ class Update:
 
     def __init__(self, before: Kept, old: DataFrame, corpus: analysis.Corpus, changed: DataFrame, today: str) -> None:
         self.before, self.corpus, self.today = before, corpus, today
-        self.spark, self.works = corpus.works.sparkSession, corpus.works.withColumn("work_id", F.col("work_id").cast("string"))
+        self.spark, self.works = corpus.works.sparkSession, corpus.records().withColumn("work_id", F.col("work_id").cast("string"))
         self.ids = written(changed.select(F.col("work_id").cast("string").alias("work_id")).distinct())
         self.was, self.now = (written(within(w.withColumn("work_id", F.col("work_id").cast("string")), self.ids)) for w in (old, self.works))
         self.removed: list[DataFrame] = []
@@ -172,17 +172,18 @@ class Update:
         rules = [r for r in OF_WORK if r not in dated]
         frames = []
         for w, names in ((self.now, rules), (self.works, dated)):
+            if not names:
+                continue
             own = [compliance.completion_norm(w, today), compliance.cost_limits(w)]
             own += [compliance.sanction_waits(w, today)] if have["recommended_date"] else []
             own += [compliance.prohibited(w)] if have["description"] else []
             if c.payments is not None:
-                m = payments.marked(within(c.payments.withColumn("work_id", F.col("work_id").cast("string")), self.ids) if names is rules else c.payments, w)
-                own += [payments.before_sanction(m), payments.long_after(m), payments.repeated(m)]
+                p = within(c.payments.withColumn("work_id", F.col("work_id").cast("string")), self.ids) if names is rules else c.payments
+                own += payments.found(written(payments.measured(p, w)))
             if c.versions is not None:
                 v = revisions.with_occasion(within(c.versions.withColumn("work_id", F.col("work_id").cast("string")), self.ids) if names is rules else c.versions, w)
                 own += [revisions.amount_changes(v), revisions.agency_changes(v), revisions.vendor_changes(v), revisions.payment_reversals(v)]
-            if names:
-                frames.append((names, own))
+            frames.append((names, own))
         for names, own in frames:
             if names is rules:
                 self.replace(names, self.ids, own)
@@ -204,7 +205,7 @@ class Update:
             again[name] = written(within(mine, written(moved(old, new, group, groups))).select("work_id").union(self.ids).distinct())
             self.looked_at[name] = again[name].count()
         # costs, and the overruns that N-NET-01 counts
-        rated = written(peers.cost_rated(within(self.works, again["cost"]), stats=self.frames["cost"]))
+        rated = written(peers.far_above(within(self.works, again["cost"]), analysis.FAR, self.frames["cost"]))
         self.replace(["A-COST-01"], again["cost"], [peers.cost_outliers(self.works, rated=rated)])
         kept, new = self.before.frames["overruns"].withColumn("work_id", F.col("work_id").cast("string")), network.overruns(rated)
         stay = beyond(kept, again["cost"])
@@ -277,7 +278,8 @@ class Update:
         if self.before.have["is_sc_constituency"]:
             frames.append(compliance.reserved_shares(self.works))
         if c.flows is not None:
-            frames += [peers.expenditure_outliers(c.flows), compliance.area_shares(c.flows), compliance.utilization_spikes(c.flows, self.today), compliance.pileups(c.flows)]
+            f = c.keep(c.flows)
+            frames += [peers.expenditure_outliers(f), compliance.area_shares(f), compliance.utilization_spikes(f, self.today), compliance.pileups(f)]
         if c.versions is not None:
             v = c.keep(revisions.with_occasion(c.versions, self.works))
             frames += [revisions.place_changes(v), revisions.frequent_revisions(v)]
@@ -308,9 +310,9 @@ def run_update(history: History, old: DataFrame, corpus: analysis.Corpus, change
     """The next version, brought up to date from the newest one. old: the works as that one saw them; corpus: everything as it is now; changed:
     work_id of works that are new, gone or different, or whose payments or edits are."""
     before = history.newest()
-    if before is None or cases.usable(corpus.works, *analysis.NEEDED) != before.have or set(analysis.stood_down(corpus, before.have)) != set(before.notes):
-        return run_whole(history, corpus, today)
     try:
+        if before is None or cases.usable(corpus.records(), *analysis.NEEDED) != before.have or set(analysis.stood_down(corpus, before.have)) != set(before.notes):
+            return run_whole(history, corpus, today)
         return history.write(Update(before, old, corpus, changed, today).run())
     finally:
         corpus.release()

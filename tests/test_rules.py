@@ -1,4 +1,5 @@
 import datetime as dt
+import os
 import random
 
 from pyspark.sql import functions as F
@@ -246,3 +247,24 @@ def test_reviews_of_cases_of_one_id(spark):
     # where only ids are known, they count, and rows stay single
     rows = cases.last_review(c, spark.createDataFrame([], "case_id string, id int, decision string"), c.select("case_id", F.lit(dt.datetime(2020, 1, 1)).alias("first_seen"))).collect()
     assert len(rows) == 3
+
+
+def test_an_analysis_moves_payments_once_and_leaves_nothing(spark):
+    rng = random.Random(5)
+    w = works(spark, *[{"completion_date": rng.choice([None, DAY(2025, 8, 1)]), "sanction_date": rng.choice([None, DAY(2025, 7, 1)])} for _ in range(40)])
+    rows = [(f"W{rng.randrange(45)}", DAY(2025, 5, 1) + dt.timedelta(days=60 * rng.randrange(12)), rng.choice([5.0, 2e5, None]), rng.choice(["V", None])) for _ in range(300)]
+    p = spark.createDataFrame(rows, "work_id string, paid_on date, amount double, vendor_id string")
+    marked = payments.marked(p, w)
+    texts = lambda frames: sorted(str((r.rule_id, r.entity_id, r.severity, r.summary, sorted(r.details.items()))) for r in together(*frames).collect())
+    want = texts([payments.before_sanction(marked), payments.long_after(marked), payments.repeated(marked)])
+    measured = payments.measured(p, w)
+    assert texts(payments.found(measured)) == want and len({x.split(",")[0] for x in want}) == 3
+    joined = payments.measured(p.hint("merge"), w)._jdf.queryExecution().executedPlan().toString()
+    assert joined.count("Exchange hashpartitioning") <= 2  # payments and works, each by work
+    corpus = analysis.Corpus(w, p)
+    found_, _ = analysis.findings(corpus, TODAY)
+    assert texts([found_.where("agent = 'payments'")]) == want
+    tables = [df.__dict__["_table"].removeprefix("file://") for df in corpus.kept]
+    assert tables and all(os.path.isdir(t) for t in tables) and not spark._jsc.getPersistentRDDs()
+    corpus.release()
+    assert not any(os.path.isdir(t) for t in tables)
