@@ -268,3 +268,17 @@ def test_an_analysis_moves_payments_once_and_leaves_nothing(spark):
     assert tables and all(os.path.isdir(t) for t in tables) and not spark._jsc.getPersistentRDDs()
     corpus.release()
     assert not any(os.path.isdir(t) for t in tables)
+
+
+def test_grams_of_most_cases_have_no_postings(spark, tmp_path):
+    """Searches find the same with and without postings of common grams, also where two cases have one id."""
+    rows = [(f"F-{i // 2}", f"Hall {'at' if i % 3 else 'near'} Rampur {i}", f"E{i}", None, "seen" if i % 20 else "quartz \U0001d400b") for i in range(40)]
+    case = spark.createDataFrame(rows, "case_id string, display_title string, entity_id string, entity_label string, primary_signal string")
+    postings = cases.store_postings(case, str(tmp_path / "p"), many=10)
+    common = {r.gram for r in postings.where("case_id is null").collect()}
+    assert {"ram", "hal", "see"} <= common and "qua" not in common
+    assert postings.where(F.col("gram") == "ram").count() == 1 and postings.where(F.col("gram") == "qua").count() == 2
+    for text in ("rampur", "RAMPUR 3", "quartz", "near rampur 3", "\U0001d400b", "hall at rampur 17", "e39", "nowhere"):
+        ids = lambda df: sorted(r.entity_id for r in df.collect())
+        want = sorted(e for _, *found in rows for e in [found[1]] if any(x and text.lower() in x.lower() for x in found))
+        assert ids(cases.searched(case, postings, text)) == want, text
