@@ -282,3 +282,29 @@ def test_grams_of_most_cases_have_no_postings(spark, tmp_path):
         ids = lambda df: sorted(r.entity_id for r in df.collect())
         want = sorted(e for _, *found in rows for e in [found[1]] if any(x and text.lower() in x.lower() for x in found))
         assert ids(cases.searched(case, postings, text)) == want, text
+
+
+def test_villages_by_the_plain_way():
+    """The heads that bounds leave, against a comparison with every head."""
+    from ledgerlight.functions import fuzzy
+
+    rng = random.Random(6)
+    parts = ["GP", "gp", "Gram", "Panchayat", "panchayt", "Rampur", "Rampura", "Karéli", "kareli", "Vendor", "1", "12", "123", "1234", "Bamhani", "a", "  "]
+    names = sorted({" ".join(rng.choice(parts) for _ in range(rng.randrange(5))) for _ in range(500)} | {f"GP Vendor {rng.randrange(10**5)}" for _ in range(300)} | {"", "é", "x y z"})
+    for least in (90.0, 75.0, 100.0):
+        heads, want = [], []
+        for i, name in enumerate(names):
+            k = next((h for h in heads if fuzzy.token_set_ratio(name.lower(), names[h].lower()) >= least), None)
+            if k is None:
+                heads.append(i)
+            want.append(i if k is None else k)
+        assert duplicates.first_near(names, least) == want
+
+
+def test_villages_of_many_names_compare_few(monkeypatch):
+    from ledgerlight.functions import fuzzy
+
+    calls, plain = [], fuzzy.token_set_ratio
+    monkeypatch.setattr(fuzzy, "token_set_ratio", lambda a, b: calls.append(1) or plain(a, b))
+    names = sorted(f"GP Vendor {k}" for k in range(10_000, 24_000, 7))
+    assert len(set(duplicates.first_near(names, 90.0))) > 100 and len(calls) < len(names) * 30  # all heads so far would be some hundreds each
